@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import crosssplit, garbled, lines, looks, neardup, sentences, splitting
+from lodestrand.llm import crosssplit, garbled, lines, looks, mixing, neardup, neighbours, packing, sentences, splitting
 from lodestrand.session import staged, table
 
 LIMIT, OVERLAP = 420, 60
@@ -55,6 +55,15 @@ def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     return chunks.union(cases)
 
 
+def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, d, "chunk_vectors"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbours.neighbours(table(spark, d, "chunk_vectors"), least_cosine=0.9)
+    return near.select(F.least("chunk_id", "neighbour_id").alias("chunk_id_a"), F.greatest("chunk_id", "neighbour_id").alias("chunk_id_b")).distinct()
+
+
 def _collected_day() -> F.Column:
     stamp = F.try_element_at("metadata", F.lit("collected_at"))
     tries = [F.try_to_timestamp(stamp, F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", "yyyy-MM-dd[ HH:mm:ss]", "yyyy/MM/dd[ HH:mm:ss]", "dd.MM.yyyy[ HH:mm:ss]")]
@@ -81,6 +90,22 @@ def p7_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return lines.without_lines(table(spark, d, "chunks"), found, "chunk_id", "text")
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_containers(table(spark, d, "documents"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_report(p8_containers(spark, d))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(p9_mix(spark, d), table(spark, d, "mix_targets"))
+
+
 def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return garbled.restore(table(spark, d, "documents"))
 
