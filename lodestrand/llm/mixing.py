@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrand.llm.samples import least_hashes
 from lodestrand.llm.tokens import TOKENIZER, token_ids
 from lodestrand.session import staged
 
@@ -93,7 +94,7 @@ def memberships(df: DataFrame, targets: dict[str, tuple[float, int]], id_col: st
     """``(k, label, n_tokens, post)`` for every document."""
     domains = sorted(targets)
     rows = df.select(F.col(id_col).alias("k"), F.col(label_col).alias("label"), F.coalesce(F.concat_ws(" ", *column_cols), F.lit("")).alias("c"), F.col(text_col).alias("t")).where("k is not null and t is not null")
-    picked = rows.where(F.col("label").isin(domains)).withColumn("h", F.xxhash64(F.col("k").cast("string"))).orderBy("h", "t").limit(sample_rows).toPandas()
+    picked = least_hashes(rows.where(F.col("label").isin(domains)), df.count(), sample_rows).toPandas()
     model = learn(token_ids(picked["t"].tolist(), tokenizer), picked["c"].tolist(), picked["label"].tolist(), domains)
     shared = df.sparkSession.sparkContext.broadcast(model)  # buckets x domains numbers
     kind = rows.schema["k"].dataType.simpleString()
