@@ -13,4 +13,4 @@ def least_hashes(rows: DataFrame, n_rows: int, most: int) -> DataFrame:
     twice as many rows are sent on before the choice, however many tasks read the table (``n_rows`` rows)."""
     h = F.xxhash64(F.col("k").cast("string"))
     share = min(1.0, 2.0 * most / max(n_rows, 1))
-    return rows.withColumn("h", h).where(F.pmod("h", F.lit(SCALE)) <= int(share * SCALE)).orderBy("h", "t").limit(most).drop("h")
+    return rows.withColumn("h", F.pmod(h, F.lit(SCALE))).where(F.col("h") <= int(share * SCALE)).orderBy("h", "k", "t").limit(most).drop("h")
