@@ -199,10 +199,10 @@ def test_html_and_files(spark, tmp_path):
 
 def test_stream_equals_batch(spark, tmp_path):
     folder = "/root/testdata/sf0.001/events.parquet"
-    batch = spark.read.parquet(folder)
+    batch = spark.read.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
     (tmp_path / "in").mkdir()
     batch.write.parquet(str(tmp_path / "in/part"))
-    stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in/part"))
+    stream = events.read_log(spark, str(tmp_path / "in/part"))
     q = events.first_of_key(stream, "event_id").writeStream.format("memory").queryName("firsts").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("firsts").count() == batch.select("event_id").distinct().count()
