@@ -26,6 +26,7 @@ LEAF = 64
 TREES = 5
 BRANCHES = 2
 DEPTH = 12
+COPIES = 1000
 _GUARD = np.uint64(sum(1 << (LANE_BITS * i + 8) for i in range(LANES)))
 _LOW = np.uint64(sum(0xFF << (LANE_BITS * i) for i in range(LANES)))
 SKETCH = ["s0", "s1", "s2", "s3"]
@@ -239,8 +240,8 @@ class NearDuplicates:
     in both. Null ids and texts and texts of fewer than 5 letters take part in nothing; an id's repeated rows count
     once; copies form one class; other columns are ignored; an empty table gives empty results."""
 
-    def __init__(self, df: DataFrame, similarity: float = 0.7, id_col: str = "chunk_id", text_col: str = "text") -> None:
-        self.id_col = id_col
+    def __init__(self, df: DataFrame, similarity: float = 0.7, id_col: str = "chunk_id", text_col: str = "text", copies: int = COPIES) -> None:
+        self.id_col, self.copies = id_col, copies
         self.members = staged(members(df, id_col, text_col), "members")
         classes = self.members.groupBy("cls").agg(F.min("k").alias("k"), *(F.first(c).alias(c) for c in SKETCH))
         spread = (POSITIONS * similarity * (1 - similarity)) ** 0.5
@@ -256,13 +257,19 @@ class NearDuplicates:
         return self.linked
 
     def pairs(self) -> DataFrame:
-        """Every pair of ids, the smaller first: between linked classes and within a class."""
+        """Every pair of ids, the smaller first: between linked classes and within a class.
+
+        A class of more than ``copies`` copies is not expanded: each copy is paired with the least id of its class,
+        and that one with the other classes. No link between different texts is lost by it."""
         m = self.members.select("k", "cls")
-        across = self.linked.join(m.toDF("x", "a"), "a").join(m.toDF("y", "b"), "b").select("x", "y")
-        many = m.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls")
-        copies = m.join(many, "cls", "left_semi").select("k", "cls")
-        within = copies.toDF("x", "cls").join(copies.toDF("y", "cls"), "cls").where("x < y").select("x", "y")
-        both = across.union(within)
+        sizes = m.groupBy("cls").agg(F.count("*").alias("n"), F.min("k").alias("first")).where("n > 1")
+        sized = m.join(sizes, "cls", "left").select("k", "cls", F.coalesce("n", F.lit(1)).alias("n"), "first")
+        shown = sized.where((F.col("n") <= self.copies) | (F.col("k") == F.col("first"))).select("k", "cls")
+        across = self.linked.join(shown.toDF("x", "a"), "a").join(shown.toDF("y", "b"), "b").select("x", "y")
+        few = sized.where((F.col("n") > 1) & (F.col("n") <= self.copies)).select("k", "cls")
+        within = few.toDF("x", "cls").join(few.toDF("y", "cls"), "cls").where("x < y").select("x", "y")
+        star = sized.where((F.col("n") > self.copies) & (F.col("k") != F.col("first"))).select(F.col("first").alias("x"), F.col("k").alias("y"))
+        both = across.union(within).union(star)
         return both.select(F.least("x", "y").alias(f"{self.id_col}_a"), F.greatest("x", "y").alias(f"{self.id_col}_b"))
 
     def groups(self) -> DataFrame:

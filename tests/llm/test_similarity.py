@@ -64,6 +64,14 @@ def test_crowded_nodes_are_compared_whole(spark):
     assert links.count() == 90 * 89 // 2
 
 
+def test_large_classes_form_stars(spark):
+    rows = [(f"k{i:02}", "the same text in many copies") for i in range(20)] + [("z", "the same text in many copies!s")]
+    df = spark.createDataFrame(rows, "chunk_id string, text string")
+    got = {(r.chunk_id_a, r.chunk_id_b) for r in neardup.NearDuplicates(df, 0.7, copies=5).pairs().collect()}
+    assert got == {("k00", f"k{i:02}") for i in range(1, 20)} | {("k00", "z")}
+    assert neardup.NearDuplicates(df, 0.7).pairs().count() == 21 * 20 // 2
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "chunk_id string, text string")
     found = neardup.NearDuplicates(df)
