@@ -78,3 +78,28 @@ def citation_issues(generations: DataFrame, context: DataFrame) -> DataFrame:
 
 def item_size(text: Column | str) -> Column:
     return F.length(squeezed(text))
+
+
+def managed_context(segments: DataFrame, budget: int) -> DataFrame:
+    """The ``segments(query_id, priority, segment_id, size)`` that fit a token budget: by falling priority, then id;
+    whatever still fits is taken. Segments of a query are a bounded list."""
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("ids"))
+
+    def step(s: Column, x: Column) -> Column:
+        used = s["used"] + x["size"]
+        return F.when(used <= budget, F.struct(used.cast("long").alias("used"), F.concat(s["ids"], F.array(x["segment_id"])).alias("ids"))).otherwise(s)
+
+    ordered = segments.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("o"), "segment_id", F.col("size").cast("long").alias("size")))).alias("x"))
+    return ordered.select("query_id", F.explode(F.aggregate("x", start, step)["ids"]).alias("segment_id"))
+
+
+ANSWER_SCHEMA = "answer string, cited_chunk_ids array<string>, sufficient boolean"
+
+
+def parsed_generations(rows: DataFrame, json_col: str) -> DataFrame:
+    """Adds ``answer``, ``cited``, ``sufficient`` and ``error``: ``invalid_json``, ``missing_field`` or null."""
+    parsed = rows.withColumn("p", F.from_json(json_col, ANSWER_SCHEMA, {"mode": "PERMISSIVE"}))
+    broken = F.try_parse_json(json_col).isNull()
+    missing = F.col("p.answer").isNull() | F.col("p.cited_chunk_ids").isNull() | F.col("p.sufficient").isNull()
+    error = F.when(broken, "invalid_json").when(missing, "missing_field")
+    return parsed.select(*rows.columns, F.col("p.answer").alias("answer"), F.col("p.cited_chunk_ids").alias("cited"), F.col("p.sufficient").alias("sufficient"), error.alias("error"))

@@ -206,3 +206,35 @@ def test_stream_equals_batch(spark, tmp_path):
     q = events.first_of_key(stream, "event_id").writeStream.format("memory").queryName("firsts").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("firsts").count() == batch.select("event_id").distinct().count()
+
+
+def test_encoder_finds_the_like(spark):
+    import numpy as np
+
+    from lodestrand.operators import encoding
+
+    rng = random.Random(2)
+    topics = {"a": "vector index search latency", "b": "gardening soil tomato seeds", "c": "检索增强生成与重排服务"}
+    rows = [(f"{k}{i}", " ".join(rng.sample(t.split(), len(t.split()))) + f" {i}") for k, t in topics.items() for i in range(30)]
+    df = spark.createDataFrame([*rows, ("none", None), ("void", "")], "id string, t string")
+    encoder = encoding.fit(df, "id", "t", dimensions=8)
+    got = {r.id: np.array(r.embedding) for r in encoding.encode(df, encoder, "id", "t").collect()}
+    assert "none" not in got and len(got) == 91
+    assert got["a1"] @ got["a2"] > 0.8 > abs(got["a1"] @ got["b2"])
+
+
+def test_index_round_trip(spark, small, tmp_path):
+    index = lexical.build_index(small)
+    lexical.save_index(index, str(tmp_path / "i"))
+    q = spark.createDataFrame([("q", "Python RAG 检索")], "query_id string, query string")
+    again = lexical.load_index(spark, str(tmp_path / "i"))
+    assert sorted(map(tuple, lexical.bm25(again, q).collect())) == sorted(map(tuple, lexical.bm25(index, q).collect()))
+    index.df.limit(1).write.mode("overwrite").parquet(str(tmp_path / "i/df"))
+    with pytest.raises(ValueError, match="do not agree"):
+        lexical.load_index(spark, str(tmp_path / "i"))
+
+
+def test_managed_context(spark):
+    rows = [("q", 70, "b", 50), ("q", 100, "query", 30), ("q", 70, "a", 40), ("q", 50, "c", 10)]
+    got = context.managed_context(spark.createDataFrame(rows, "query_id string, priority int, segment_id string, size int"), 85)
+    assert {r.segment_id for r in got.collect()} == {"query", "a", "c"}
