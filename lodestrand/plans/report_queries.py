@@ -48,10 +48,10 @@ def f30(spark, d):
     return gates.regressions(expected, case_routes(spark, d).select(F.col("query_id").alias("case_id"), F.col("intent").alias("result")))
 
 
-@query("k3_support_verdicts", f"WITH {CASES}, c AS (SELECT r.case_id, CASE WHEN d.license_status IS NULL THEN NULL ELSE d.license_status = 'unknown' END AS unsupported FROM (SELECT case_id, unnest(relevant_chunk_ids) AS chunk_id FROM ca) r JOIN (SELECT DISTINCT chunk_id, CAST(metadata['document_id'] AS BIGINT) AS doc_id FROM chunks WHERE text IS NOT NULL) l USING (chunk_id) JOIN documents d USING (doc_id)) SELECT case_id, CASE WHEN coalesce(bool_or(unsupported), false) THEN true WHEN count(unsupported) < count(*) THEN NULL ELSE false END AS unsupported FROM c GROUP BY case_id")
+@query("k3_support_verdicts", f"WITH {CASES}, c AS (SELECT r.case_id, CASE WHEN d.license_status IS NULL THEN NULL ELSE d.license_status = 'unknown' END AS unsupported FROM (SELECT case_id, unnest(relevant_chunk_ids) AS chunk_id FROM ca) r JOIN (SELECT DISTINCT chunk_id, TRY_CAST(metadata['document_id'] AS BIGINT) AS doc_id FROM chunks WHERE text IS NOT NULL) l USING (chunk_id) JOIN documents d USING (doc_id)) SELECT case_id, CASE WHEN coalesce(bool_or(unsupported), false) THEN true WHEN count(unsupported) < count(*) THEN NULL ELSE false END AS unsupported FROM c GROUP BY case_id")
 def k3(spark, d):
     labels = cases(spark, d).select("case_id", F.explode("relevant_chunk_ids").alias("chunk_id"))
-    owner = table(spark, d, "chunks").where("text is not null").select("chunk_id", F.col("metadata")["document_id"].cast("long").alias("doc_id")).distinct()
+    owner = table(spark, d, "chunks").where("text is not null").select("chunk_id", F.col("metadata")["document_id"].try_cast("long").alias("doc_id")).distinct()
     rows = labels.join(owner, "chunk_id").join(table(spark, d, "documents").select("doc_id", "license_status"), "doc_id")
     return gates.verdict(rows.withColumn("unsupported", F.col("license_status") == "unknown"), "case_id", "unsupported")
 

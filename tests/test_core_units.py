@@ -172,6 +172,7 @@ def test_graph_reaches_by_hops(spark):
     links = spark.createDataFrame([("q", "j")], "query_id string, node string")
     queries = spark.createDataFrame([("q", "岗位要求")], "query_id string, query string")
     assert {(r.node, r.hops) for r in graph.reach(links, edges, 2).collect()} == {("j", 0), ("s", 1), ("p", 2)}
+    assert {(r.node, r.hops) for r in graph.reach(links, edges, 2, 2).collect()} == {("j", 0), ("s", 1)}
     got = graph.graph_hits(queries, nodes, edges, links, 2, 5).orderBy("rank").collect()
     assert [(r.chunk_id, r.hops) for r in got] == [("c1", 0), ("c2", 1)]
     assert graph.graph_hits(queries, nodes, edges, links.limit(0), 2, 5).count() == 0
