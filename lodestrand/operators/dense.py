@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.functions.vectors import dot, unit
-from lodestrand.operators.ranking import top_k
+from lodestrand.functions.vectors import unit
+from lodestrand.operators.ranking import DIGITS, top_k
+from lodestrand.session import shuffle_partitions
 
 
 def usable(vectors: DataFrame, dimensions: int) -> DataFrame:
@@ -15,14 +18,38 @@ def usable(vectors: DataFrame, dimensions: int) -> DataFrame:
     return rows.withColumn("unit", unit(F.col("embedding")))
 
 
-def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, positive_only: bool = True, blocks: int = 16) -> DataFrame:
-    """``(query_id, chunk_id, score, rank)``: the ``k`` nearest of ``vectors(grp, chunk_id, source_type, unit)`` for
-    each of ``queries(grp, query_id, unit)`` of its group.
+def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, positive_only: bool = True, blocks: int | None = None) -> DataFrame:
+    """``(query_id, chunk_id, source_type, score, rank)``: the ``k`` nearest of ``vectors(grp, chunk_id, source_type,
+    unit)`` for each of ``queries(grp, query_id, unit)`` of its group.
 
     The vectors are dealt to blocks and the queries go to every block, so each pair meets once, the work is even and
-    neither side has to fit into one task."""
-    left = vectors.withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int"))
-    right = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumnRenamed("unit", "query_unit")
-    hits = left.join(right, ["grp", "block"]).withColumn("score", dot(F.col("unit"), F.col("query_unit"))).where("chunk_id <> query_id")
-    hits = hits.where("score > 0") if positive_only else hits
-    return top_k(hits.select("query_id", "chunk_id", "source_type", "score"), k, "source_type", "chunk_id")
+    neither side has to fit into one task. A block is one matrix product; it sends on what may be among the k best of
+    a query, ties included, and the last choice is made over all blocks."""
+    blocks = blocks or 2 * shuffle_partitions(vectors.sparkSession)
+    left = vectors.select(F.col("grp").alias("v_grp"), F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int").alias("v_block"), "chunk_id", "source_type", F.col("unit").alias("v_unit"))
+    right = queries.select("grp", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "query_id", "unit")
+    kinds = {c: vectors.schema[c].dataType.simpleString() for c in ("chunk_id", "source_type")} | {"query_id": queries.schema["query_id"].dataType.simpleString()}
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        names = ["query_id", "chunk_id", "source_type", "score"]
+        if not a.num_rows or not b.num_rows:
+            return pa.table([b.column("query_id").slice(0, 0), a.column("chunk_id").slice(0, 0), a.column("source_type").slice(0, 0), pa.array([], pa.float64())], names)
+        x, q = (t.combine_chunks().column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t, c in ((a, "v_unit"), (b, "unit")))
+        ids, own = np.array(a.column("chunk_id").to_pylist(), object), np.array(b.column("query_id").to_pylist(), object)
+        at, by, scores = [], [], []
+        for first in range(0, len(q), 256):
+            s = np.round(q[first : first + 256] @ x.T, DIGITS + 3)
+            s[own[first : first + 256, None] == ids[None, :]] = -np.inf
+            if positive_only:
+                s[s <= 0] = -np.inf
+            low = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+            rows, columns = np.nonzero((np.round(s, DIGITS) >= np.round(low, DIGITS)[:, None]) & np.isfinite(s))
+            by.append(rows + first)
+            at.append(columns)
+            scores.append(s[rows, columns])
+        at, by = pa.array(np.concatenate(at)), pa.array(np.concatenate(by))
+        return pa.table([b.column("query_id").take(by), a.column("chunk_id").take(at), a.column("source_type").take(at), pa.array(np.concatenate(scores))], names)
+
+    schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, source_type {kinds['source_type']}, score double"
+    hits = left.groupBy("v_grp", "v_block").cogroup(right.groupBy("grp", "block")).applyInArrow(compare, schema)
+    return top_k(hits, k, "source_type", "chunk_id")

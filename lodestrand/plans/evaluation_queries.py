@@ -298,10 +298,14 @@ def j1(spark, d):
     return cases(spark, d).where("query is not null").select("case_id", F.array_join(graph.relations(F.col("query")), ",").alias("relations"))
 
 
-@query("d18_graph_topk", f"""WITH {REACH}, wt AS (SELECT query_id, {RELATIONS} AS wanted FROM se), gc AS (SELECT query_id, unnest(chunk_ids) AS chunk_id, 1.0 / (1 + hops) AS score, hops FROM s2 JOIN nd ON nd.node_id = s2.node UNION ALL SELECT query_id, unnest(eg.chunk_ids), 0.8 / (1 + hops) + CASE WHEN list_contains(wanted, aj.edge_type) THEN 0.2 ELSE 0.0 END, hops + 1 FROM s2 JOIN aj USING (node) JOIN eg USING (edge_id) JOIN wt USING (query_id) WHERE hops < 2),
+NODES = 160  # nodes followed for a query
+CAPPED = REACH.replace("FROM r1) GROUP BY query_id, node)", f"FROM r1) GROUP BY query_id, node QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY min(hops), node) <= {NODES})").replace("FROM r2) GROUP BY query_id, node)", f"FROM r2) GROUP BY query_id, node QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY min(hops), node) <= {NODES})")
+
+
+@query("d18_graph_topk", f"""WITH {CAPPED}, wt AS (SELECT query_id, {RELATIONS} AS wanted FROM se), gc AS (SELECT query_id, unnest(chunk_ids) AS chunk_id, 1.0 / (1 + hops) AS score, hops FROM s2 JOIN nd ON nd.node_id = s2.node UNION ALL SELECT query_id, unnest(eg.chunk_ids), 0.8 / (1 + hops) + CASE WHEN list_contains(wanted, aj.edge_type) THEN 0.2 ELSE 0.0 END, hops + 1 FROM s2 JOIN aj USING (node) JOIN eg USING (edge_id) JOIN wt USING (query_id) WHERE hops < 2),
 gb AS (SELECT query_id, chunk_id, CAST(score AS DOUBLE) AS score, CAST(hops AS INTEGER) AS hops FROM gc QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY round(score, 9) DESC, hops) = 1)
 SELECT query_id, chunk_id, round(score, 6) AS score, hops, rank FROM {ranked('gb', 10, 'hops, chunk_id', 'true')}""")
 def d18(spark, d):
     nodes, edges, catalogue = built(spark, d)
-    hits = graph.graph_hits(text_searches(spark, d), nodes, edges, links(spark, d, catalogue), 2, 10)
+    hits = graph.graph_hits(text_searches(spark, d), nodes, edges, links(spark, d, catalogue), 2, 10, NODES)
     return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "hops", "rank")
