@@ -102,7 +102,7 @@ def learn(sample: np.ndarray, parts: int, s: Settings) -> Router:
     """A router learned from a sample of unit vectors; one part needs no learning."""
     if parts < 2 or len(sample) < 2 * parts:
         return Router(np.zeros((s.dimensions, 1), np.float32), np.zeros(1, np.float32))
-    near, _ = exact_neighbours(sample, sample, s.graph_degree + 1)
+    near, _ = exact_neighbours(sample, sample, s.graph_degree + 1, block=256)
     label = balanced_parts(sample, near[:, 1:], parts)
     target = np.zeros((len(sample), parts), np.float32)  # where a vector and its neighbours are
     np.add.at(target, (np.repeat(np.arange(len(sample)), near.shape[1]), label[near.reshape(-1)]), 1 / near.shape[1])
