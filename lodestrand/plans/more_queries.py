@@ -123,12 +123,12 @@ def k1(spark, d):
     return rows.select("case_id", "point", F.when(F.contains(T.match_text("text"), T.match_text("point")), "matched").otherwise("unmatched").alias("verdict"))
 
 
-@query("k8_similar_answers", f"WITH {VEC}, {CASES}, p AS (SELECT DISTINCT relevant_chunk_ids[1] AS a, relevant_chunk_ids[2] AS b FROM ca WHERE len(relevant_chunk_ids) >= 2) SELECT p.a, p.b, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 9) >= 0.5 AS similar FROM p JOIN ve x ON x.chunk_id = p.a JOIN ve y ON y.chunk_id = p.b AND x.embedding_version = y.embedding_version")
+@query("k8_similar_answers", f"WITH {VEC}, {CASES}, p AS (SELECT DISTINCT relevant_chunk_ids[1] AS a, relevant_chunk_ids[2] AS b FROM ca WHERE len(relevant_chunk_ids) >= 2) SELECT p.a, p.b, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 9) >= 0.5 AS is_similar FROM p JOIN ve x ON x.chunk_id = p.a JOIN ve y ON y.chunk_id = p.b AND x.embedding_version = y.embedding_version")
 def k8(spark, d):
     pairs = cases(spark, d).where("size(relevant_chunk_ids) >= 2").select(F.col("relevant_chunk_ids")[0].alias("a"), F.col("relevant_chunk_ids")[1].alias("b")).distinct()
     v = vectors(spark, d).select("embedding_version", "chunk_id", "embedding")
     rows = pairs.join(v.toDF("g", "a", "x"), "a").join(v.toDF("g", "b", "y"), ["b", "g"])
-    return rows.select("a", "b", (F.round(V.cosine(F.col("x"), F.col("y")), 9) >= 0.5).alias("similar"))
+    return rows.select("a", "b", (F.round(V.cosine(F.col("x"), F.col("y")), 9) >= 0.5).alias("is_similar"))
 
 
 @query("l11_spans", "SELECT event_id, user_id, lag(event_id) OVER w AS previous_id, row_number() OVER w = 1 AS is_root, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS gap_us FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
