@@ -115,59 +115,80 @@ def mix(df: DataFrame, targets_df: DataFrame, total_tokens: int | None = None, i
     """``(id_col, source_col, n_tokens, rate, repeats)``: the documents of the mix, each ``repeats`` times.
 
     ``targets_df`` holds ``source``, ``target_share`` and ``max_repeats`` (few rows; null sources and shares that are
-    not above 0 are left out). The total is ``total_tokens``, or by default the largest for which all sources that have
-    tokens can meet their shares exactly within their repeats. Null ids and texts take no part; documents without a
-    source are mixed by their posterior; sources without a target stay out; an id's repeated rows count once."""
+    not above 0 are left out). The total is ``total_tokens``, or by default all tokens of the documents that belong to a
+    targeted source. A source whose repeats don't suffice for its share of the total comes with all of its documents,
+    ``max_repeats`` times each, and stays below its share; the others keep theirs, so the mix is smaller than the total
+    by what is short. Null ids and texts take no part; documents without a source are mixed by their posterior; sources
+    without a target stay out; an id's repeated rows count once."""
+    return mix_and_supply(df, targets_df, total_tokens, id_col, text_col, source_col, column_cols, label_trust, tokenizer, sample_rows, steps, tolerance)[0]
+
+
+def mix_and_supply(df: DataFrame, targets_df: DataFrame, total_tokens: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", column_cols: tuple[str, ...] = ("source_path", "source_type", "lang"), label_trust: float = 0.9, tokenizer: str = TOKENIZER, sample_rows: int = SAMPLE_ROWS, steps: int = 12, tolerance: float = 1e-4) -> tuple[DataFrame, dict[str, int]]:
+    """What ``mix`` gives, and the tokens that each targeted source has in ``df``."""
     found = targets_df.where("source is not null and target_share > 0").groupBy("source").agg(F.max("target_share").alias("s"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("m")).collect()
     targets = {r.source: (float(r.s), int(r.m)) for r in found}
     domains = sorted(targets)
     kind = df.schema[id_col].dataType.simpleString()
     if not domains:
-        return df.select(F.col(id_col), F.col(source_col), F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("rate"), F.lit(0).alias("repeats")).limit(0)
+        return df.select(F.col(id_col), F.col(source_col), F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("rate"), F.lit(0).alias("repeats")).limit(0), {}
     rows = staged(memberships(df, targets, id_col, text_col, source_col, list(column_cols), label_trust, tokenizer, sample_rows), "memberships")
     share, most = np.array([targets[s][0] for s in domains]), np.array([targets[s][1] for s in domains])
 
-    def totals(history: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Expected tokens of each domain at the present rates, and at rate 1."""
+    at = {s: j for j, s in enumerate(domains)}
+
+    def own_domain(post: np.ndarray, labels: list[str | None]) -> np.ndarray:
+        """The stated source's number, that of the likeliest without one, -1 for sources without a target."""
+        likely = post.argmax(1) if len(post) else np.zeros(0, int)
+        return np.array([likely[i] if x is None else at.get(x, -1) for i, x in enumerate(labels)], np.int64)
+
+    def caps(own: np.ndarray) -> np.ndarray:
+        return np.where(own >= 0, most[own], 0).astype(float)
+
+    def totals(history: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Expected tokens of each domain at the present rates and at rate 1, and both of its own documents alone."""
 
         def run(batches):
             for batch in batches:
                 if len(batch):
                     post, n = batch.column(1).flatten().to_numpy().reshape(-1, len(domains)).astype(np.float64), batch.column(0).to_numpy()
-                    rate = _steps(post, post @ most, history)
-                    own = np.concatenate([(rate * n) @ post, n @ post])
-                    yield pa.record_batch([pa.array(np.arange(len(own), dtype=np.int32)), pa.array(own)], ["i", "x"])
+                    own = own_domain(post, batch.column(2).to_pylist())
+                    rate = _steps(post, caps(own), history)
+                    sums = np.concatenate([(rate * n) @ post, n @ post, *(np.bincount(own[own >= 0], x[own >= 0], len(domains)) for x in (rate * n, n))])
+                    yield pa.record_batch([pa.array(np.arange(len(sums), dtype=np.int32)), pa.array(sums)], ["i", "x"])
 
-        got = rows.select("n_tokens", "post").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()  # two rows a domain
-        out = np.zeros(2 * len(domains))
+        got = rows.select("n_tokens", "post", "label").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()  # four rows a domain
+        out = np.zeros(4 * len(domains))
         for r in got:
             out[r.i] = r.x
-        return out[: len(domains)], out[len(domains) :]
+        return tuple(out.reshape(4, -1))
 
-    _, supply = totals([])
-    stated = {r.label: r.n for r in rows.where(F.col("label").isin(domains)).groupBy("label").agg(F.sum("n_tokens").alias("n")).collect()}
-    can = np.array([max(stated.get(s, 0), 0) for s in domains], float)
-    can = np.where(can > 0, np.minimum(can, np.where(supply > 0, supply, can)), supply) * most
-    total = float(total_tokens) if total_tokens is not None else float(min((c / s for c, s in zip(can, share) if c > 0), default=0.0))
+    _, supply, _, held_tokens = totals([])
+    total = float(total_tokens) if total_tokens is not None else float(held_tokens.sum())
     goal = share / share.sum() * total
+    short = goal >= held_tokens * most
+    goal = np.minimum(goal, held_tokens * most)
     history: list[np.ndarray] = []
     for _ in range(steps):
-        now, _ = totals(history)
+        now, *_ = totals(history)
         residual = (goal - now) / np.maximum(supply, 1e-9)
         if not len(history) or np.abs(goal - now).max() > tolerance * max(total, 1):
             history.append(residual)
         else:
             break
+    # what a domain expects of other sources' documents is not counted in its share, so its own make up for it
+    got = totals(history)[2]
+    scale = np.where(got > 0, goal / np.maximum(got, 1e-9), 1.0)
 
     def rates(batches):
         for batch in batches:
             post = batch.column(3).flatten().to_numpy().reshape(-1, len(domains)).astype(np.float64) if len(batch) else np.zeros((0, len(domains)))
-            yield pa.record_batch([*batch.columns[:3], pa.array(_steps(post, post @ most, history)), pa.array(post.argmax(1).astype(np.int32) if len(post) else np.zeros(0, np.int32))], ["k", "label", "n_tokens", "rate", "likely"])
+            own = own_domain(post, batch.column(1).to_pylist())
+            rate = np.where(short[own], caps(own), np.minimum(_steps(post, caps(own), history) * scale[own], caps(own)))
+            yield pa.record_batch([*batch.columns[:3], pa.array(rate), pa.array(own.astype(np.int32))], ["k", "label", "n_tokens", "rate", "own"])
 
-    rated = rows.mapInArrow(rates, f"k {kind}, label string, n_tokens long, rate double, likely int")
+    rated = rows.mapInArrow(rates, f"k {kind}, label string, n_tokens long, rate double, own int")
     known = F.array(*map(F.lit, domains))
-    rated = rated.withColumn("domain", F.coalesce("label", F.element_at(known, F.col("likely") + 1)))
-    rated = rated.where(F.col("domain").isin(domains)).withColumn("cap", F.element_at(F.create_map(*(F.lit(x) for s in domains for x in (s, int(targets[s][1])))), F.col("domain")))
+    rated = rated.where("own >= 0").withColumn("domain", F.element_at(known, F.col("own") + 1)).withColumn("cap", F.element_at(F.create_map(*(F.lit(x) for s in domains for x in (s, int(targets[s][1])))), F.col("domain")))
     rated = rated.withColumn("rate", F.least("rate", F.col("cap").cast("double")))
     whole = F.floor(F.col("rate") + 1e-6).cast("int")
     part = F.greatest(F.col("rate") - whole, F.lit(0.0))
@@ -187,13 +208,24 @@ def mix(df: DataFrame, targets_df: DataFrame, total_tokens: int | None = None, i
     threshold = F.element_at(F.create_map(*(F.lit(x) for s in domains for x in (s, int(cut[s])))), F.col("domain"))
     repeats = F.col("whole") + F.when(F.col("bin") < threshold, 1).otherwise(0)
     out = rated.select(F.col("k").alias(id_col), F.col("domain").alias(source_col), "n_tokens", "rate", repeats.cast("int").alias("repeats"))
-    return out.where("repeats > 0")
+    return out.where("repeats > 0"), {s: round(held_tokens[j]) for j, s in enumerate(domains)}
 
 
-def shares(mixed: DataFrame, targets_df: DataFrame, source_col: str = "source") -> DataFrame:
-    """``(source_col, target_share, max_repeats, n_docs, n_tokens, actual_share, most_repeats)``: what each source got."""
-    own = mixed.groupBy(source_col).agg(F.count("*").alias("n_docs"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("n_tokens"), F.max("repeats").alias("most_repeats"))
+def shares(mixed: DataFrame, targets_df: DataFrame, source_col: str = "source", supply: dict[str, int] | None = None) -> DataFrame:
+    """``(source_col, target_share, max_repeats, n_docs, n_tokens, actual_share, most_repeats)``: what each source got.
+    With ``supply``, the tokens that each source has, also ``n_source_tokens`` and ``used_share``: the part of them
+    that is in the mix, however often; ``corpus_used_share`` is the same over all targeted sources."""
+    own = mixed.groupBy(source_col).agg(F.count("*").alias("n_docs"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("n_tokens"), F.max("repeats").alias("most_repeats"), F.sum("n_tokens").alias("once"))
     total = own.agg(F.sum("n_tokens").alias("total"))
     goal = targets_df.where("source is not null").select(F.col("source").alias(source_col), "target_share", "max_repeats")
     rows = goal.join(own, source_col, "left").join(F.broadcast(total))  # one row
-    return rows.select(source_col, "target_share", "max_repeats", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce(F.col("n_tokens") / F.col("total"), F.lit(0.0)).alias("actual_share"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"))
+    out = rows.select(source_col, "target_share", "max_repeats", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce(F.col("n_tokens") / F.col("total"), F.lit(0.0)).alias("actual_share"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"))
+    if supply is None:
+        return out
+    has = F.create_map(*(F.lit(x) for pair in supply.items() for x in pair)) if supply else F.create_map().cast("map<string,bigint>")
+    used = own.select(F.col(source_col).alias("s"), "once")
+    everything = used.agg((F.sum("once") / F.lit(max(1, sum(supply.values())))).alias("corpus_used_share"))
+    out = out.join(used, F.col(source_col) == F.col("s"), "left").drop("s").join(F.broadcast(everything))  # one row
+    n = F.coalesce(F.try_element_at(has, F.col(source_col)).cast("long"), F.lit(0).cast("long"))
+    used_share = F.when(n > 0, F.coalesce("once", F.lit(0)) / n).otherwise(0.0)
+    return out.select(*(c for c in out.columns if c not in ("once", "corpus_used_share")), n.alias("n_source_tokens"), used_share.alias("used_share"), F.coalesce("corpus_used_share", F.lit(0.0)).alias("corpus_used_share"))

@@ -103,7 +103,9 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.shares(p9_mix(spark, d), table(spark, d, "mix_targets"))
+    targets = table(spark, d, "mix_targets")
+    mixed, supply = mixing.mix_and_supply(table(spark, d, "documents"), targets)
+    return mixing.shares(mixed, targets, supply=supply)
 
 
 def p10_restored(spark: SparkSession, d: str) -> DataFrame:

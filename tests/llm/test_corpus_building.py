@@ -87,6 +87,22 @@ def test_mix_meets_shares(spark, sources, total):
     assert got["none"].actual_share == 0.0
 
 
+def test_scarce_source_does_not_shrink_the_mix(spark):
+    rows = [(i, f"{s}word{i % 7} " * 30, s) for i, s in enumerate("ab" * 200)] + [(1000, "short", "c")]
+    rows += [(1001 + i, f"dword{i} " * 30, "d") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'' as source_path", "'' as source_type", "'' as lang")
+    targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.35, 1), ("c", 0.1, 1), ("d", 0.15, 20)], "source string, target_share double, max_repeats int")
+    mixed, supply = mixing.mix_and_supply(docs, targets)
+    got = {r.source: r for r in mixing.shares(mixed, targets, supply=supply).collect()}
+    total = sum(supply.values())
+    assert all(abs(got[s].n_tokens - share * total) < 0.02 * total for s, share in (("a", 0.4), ("b", 0.35), ("d", 0.15)))
+    assert got["c"].n_docs == 1 and got["c"].most_repeats == 1 and 0 < got["c"].actual_share < 0.01
+    assert got["d"].n_docs == 6 and 1 < got["d"].most_repeats <= 20 and got["d"].used_share == 1
+    assert 0.7 < got["a"].corpus_used_share < 1
+    large = mixing.mix(docs, targets, 100 * total).collect()  # nothing suffices, so all come as often as they may
+    assert len(large) == len(rows) and all(r.repeats == {"d": 20}.get(r.source, 1) for r in large)
+
+
 def test_mix_of_nothing(spark, sources):
     docs, targets = sources
     assert mixing.mix(docs.limit(0), targets).count() == 0
