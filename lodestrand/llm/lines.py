@@ -42,7 +42,7 @@ def keyed_lines(df: DataFrame, id_col: str, source_col: str, text_col: str, date
                 for no, line in enumerate(text.split("\n"), 1):
                     key = line_key(line, 0).encode("utf-8", "surrogatepass")
                     whole.update(key + b"\n")
-                    if len(key) >= least_chars and line_key(line, least_chars) is not None:
+                    if line_key(line, least_chars) is not None:
                         own.append({"line_no": no, "key": xxhash.xxh3_64_intdigest(key) - (1 << 63)})
                 clusters.append(whole.intdigest() - (1 << 63))
                 lines.append(own)

@@ -182,3 +182,10 @@ def test_repeated_lines_equal_brute_force(spark):
     assert cleaned["k000"].n_removed == 1 and "Share this page" not in cleaned["k000"].text and cleaned["k001"].text == by["k001"][2]
     empty = lines.keyed_lines(df.limit(0), "chunk_id", "source_type", "text")
     assert lines.found_lines(empty, lines.repeated_lines(empty)).count() == 0
+
+
+def test_repeated_dates_and_phone_lines_are_found(spark):
+    rows = [(f"c{i}", "jd", f"Text number {'abcdefgh'[i]} stands alone\n2024-05-0{i + 1} 10:00\nTel: 030123456{i}\n2024-05-0{i + 1}") for i in range(8)]
+    docs = lines.keyed_lines(spark.createDataFrame(rows, "chunk_id string, source_type string, text string"), "chunk_id", "source_type", "text")
+    got = {(r.k, r.line_no) for r in lines.found_lines(docs, lines.repeated_lines(docs)).collect()}
+    assert got == {(f"c{i}", n) for i in range(8) for n in (2, 3)}  # the last line has 10 characters only
