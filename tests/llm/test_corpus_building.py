@@ -159,3 +159,15 @@ def test_restore_table(spark):
     assert got[500].restored == "x " + CLEAN[0] + " y" and got[501].restored == "Prüfung für alle" and got[506].restored == "a" * 200_000 + CLEAN[0]
     assert got[502].n_restored == 0
     assert garbled.restore(df.limit(0)).count() == 0
+
+
+def test_languages_that_the_sample_lacks_are_found(spark):
+    rng = random.Random(1)
+    rare = "მოვიდა წერილი და შეხვედრა გადაიდო ხვალისთვის"
+    rows = [(i, " ".join(rng.sample(CLEAN[:5], 3))) for i in range(300)] + [(1500 + i, f"{rare} {i}") for i in range(4)]
+    rows += [(1510, "x " + "".join(map(garbled.byte_table("cp1251").__getitem__, rare.encode())) + " y"), (1511, "x " + "".join(map(garbled.byte_table("latin-1").__getitem__, rare.encode())) + " y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    picked = garbled.least_hashes(df.selectExpr("doc_id as k", "text as t"), len(rows), 12).collect()
+    assert all(r.k < 1000 for r in picked)
+    got = {r.doc_id: r.restored for r in garbled.restore(df, sample_rows=12).collect()}
+    assert got == {1510: f"x {rare} y", 1511: f"x {rare} y"}
