@@ -11,7 +11,7 @@ from lodestrand.plans.evaluation_queries import GRAPH, HITS5, METRICS, REACH, RU
 from lodestrand.plans.registry import CASES, CHUNKS, cases, chunks, query, searches
 from lodestrand.plans.retrieval_queries import KEYWORD, bm25_hits, ranked
 from lodestrand.plans.text_queries import MATCH
-from lodestrand.session import table
+from lodestrand.session import staged, table
 
 
 def keyword_metrics(spark, d):
@@ -84,6 +84,11 @@ def c15(spark, d):
     return paths.groupBy("b").agg(F.count("*").alias("n_paths"), F.count_distinct("edge_key").alias("n_edge_sets"))
 
 
+@query("c15_path_counts")
+def c15_counts(spark, d):
+    return graph.path_counts(staged(built(spark, d)[1].drop("chunk_ids"), "edges"))
+
+
 @query("c17_edge_validity", f"WITH {GRAPH} SELECT edge_type, count(*) AS n_edges, count(a.node_id) AS n_sources, count(b.node_id) AS n_targets FROM eg LEFT JOIN nd a ON a.node_id = source_node_id LEFT JOIN nd b ON b.node_id = target_node_id GROUP BY edge_type")
 def c17(spark, d):
     nodes, edges, _ = built(spark, d)

@@ -178,6 +178,25 @@ def test_graph_reaches_by_hops(spark):
     assert graph.graph_hits(queries, nodes, edges, links.limit(0), 2, 5).count() == 0
 
 
+def test_path_counts_equal_listed_paths(spark):
+    import itertools
+
+    rng = random.Random(5)
+    ends = {(t, *rng.sample("abcdefgh", 2)) for t in "xyz" for _ in range(9)} | {("x", "a", "a")} | {("y", "a", n) for n in "bcdefgh"}
+    rows = [(f"e{i}", *x) for i, x in enumerate(sorted(ends))]
+    edges = spark.createDataFrame(rows, "edge_id string, edge_type string, source_node_id string, target_node_id string")
+    steps = [(s, t, e) for e, _, s, t in rows] + [(t, s, e) for e, _, s, t in rows if s != t]
+    want = {}
+    for n in (2, 3):
+        paths = [((a, b), (e,)) for a, b, e in steps if a != b]
+        for _ in range(n - 1):
+            paths = [((*p, b), (*q, e)) for (p, q), (a, b, e) in itertools.product(paths, steps) if p[-1] == a and b not in p]
+        for middle, _ in {(p[1] if n == 2 else q[1], frozenset(q)) for p, q in paths}:
+            want[n, middle] = want.get((n, middle), 0) + 1
+    assert {(r.hops, r.middle): r.n_paths for r in graph.path_counts(edges).collect()} == want
+    assert graph.path_counts(edges.limit(0)).count() == 0
+
+
 def test_html_and_files(spark, tmp_path):
     assert html.visible_text("<div>A&amp;B<script>x<b>y</b></script> c</div><p>d<br>e</p>") == "A&B c\nd\ne"
     df = spark.createDataFrame([(1, "<p>x</p>"), (2, None)], "id long, h string")
