@@ -22,6 +22,14 @@ def reciprocal_rank_fusion(a: DataFrame, b: DataFrame, k: int, rrf_k: int = 60)
     return top_k(both.withColumn("score", part("rank_a") + part("rank_b")), k, "chunk_id")
 
 
+def fusion_or_second(a: DataFrame, b: DataFrame, k: int, rrf_k: int = 60) -> DataFrame:
+    """``reciprocal_rank_fusion``, but a query without hits in ``a`` keeps the ranking and the scores of ``b``."""
+    fused = reciprocal_rank_fusion(a, b.join(a.select("query_id").distinct(), "query_id", "left_semi"), k, rrf_k)
+    alone = b.join(a.select("query_id").distinct(), "query_id", "left_anti").where(F.col("rank") <= k)
+    names = ["query_id", "chunk_id", "score", "rank_a", "rank_b", "rank"]
+    return fused.select(names).union(alone.select("query_id", "chunk_id", "score", F.lit(None).cast("int"), "rank", "rank"))
+
+
 def rerank(hits: DataFrame, scorer: Column, k: int) -> DataFrame:
     """Hits in the order of another score (ties keep the former rank): adds ``rerank_score``, ``rerank_rank``."""
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("rerank_score", DIGITS)), "rank", "chunk_id")

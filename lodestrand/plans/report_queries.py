@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions import text as T
 from lodestrand.operators import gates, graph, lexical, metrics, ranking, routing
-from lodestrand.plans.evaluation_queries import GRAPH, HITS5, METRICS, REACH, RULE, built, case_routes, links, search_metrics, semantic, text_searches, CENTROID
+from lodestrand.plans.evaluation_queries import GRAPH, HITS5, METRICS, NODES, REACH, RULE, built, case_routes, links, search_metrics, semantic, text_searches, CENTROID
 from lodestrand.plans.registry import CASES, CHUNKS, cases, chunks, query, searches
-from lodestrand.plans.retrieval_queries import KEYWORD, bm25_hits, ranked
+from lodestrand.plans.retrieval_queries import KEYWORD, bm25_hits, dense_hits, ranked
 from lodestrand.plans.text_queries import MATCH
 from lodestrand.session import staged, table
 
@@ -123,6 +123,16 @@ def d19(spark, d):
     return ranking.reciprocal_rank_fusion(linked, ranking.top_k(same, 20, "chunk_id"), 10).select("query_id", "chunk_id", "rank_a", "rank_b", "rank")
 
 
+@query("d19_graph_vector_fusion")
+def d19_vectors(spark, d):
+    """Graph hits as in D18 fused with the nearest stored vectors, for the chunks that are searches of both."""
+    nodes, edges, catalogue = built(spark, d)
+    q = text_searches(spark, d)
+    linked = graph.graph_hits(q, staged(nodes, "nodes"), staged(edges, "edges"), links(spark, d, catalogue), 2, 20, NODES)
+    near = dense_hits(spark, d, 20).join(q.select("query_id"), "query_id", "left_semi")
+    return ranking.fusion_or_second(staged(linked, "graph_hits"), staged(near, "vector_hits"), 10)
+
+
 @query("e3_last_events", "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS n FROM events QUALIFY n <= 4")
 def e3(spark, d):
     order = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))

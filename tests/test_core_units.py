@@ -70,6 +70,22 @@ def test_rank_fusion(spark, a, b, k, want):
         assert got[0].rank_a is None
 
 
+def test_fusion_without_graph_hits_keeps_the_vector_ranking(spark):
+    kind = "query_id string, chunk_id string, score double, rank int"
+    a = spark.createDataFrame([("q", "x", 1.0, 1), ("q", "y", 0.5, 2)], kind)
+    b = spark.createDataFrame([("q", "y", 0.9, 1), ("q", "z", 0.8, 2), ("e", "v", 0.7, 1), ("e", "w", 0.6, 2), ("e", "u", 0.5, 3)], kind)
+    got = {(r.query_id, r.rank): (r.chunk_id, round(r.score, 6)) for r in ranking.fusion_or_second(a, b, 2).collect()}
+    assert got == {("q", 1): ("y", round(1 / 62 + 1 / 61, 6)), ("q", 2): ("x", round(1 / 61, 6)), ("e", 1): ("v", 0.7), ("e", 2): ("w", 0.6)}
+
+
+def test_graph_vector_fusion_takes_both_lists(spark):
+    from lodestrand.plans import core_queries
+
+    rows = core_queries()["d19_graph_vector_fusion"](spark, "/root/testdata/sf0.001").collect()
+    assert any(r.rank_a for r in rows) and any(r.rank_b for r in rows) and all(r.chunk_id != r.query_id for r in rows if r.rank_b)
+    assert len(rows) == len({(r.query_id, r.rank) for r in rows}) and all(1 <= r.rank <= 10 for r in rows)
+
+
 def test_retrieval_metrics(spark):
     labels = spark.createDataFrame([("q", ["b", "d"]), ("none", None)], "query_id string, relevant array<string>")
     got = {r.query_id: r for r in metrics.per_query(ranks(spark, "a", "b", "c"), labels, 2).collect()}
