@@ -53,3 +53,36 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, positive_onl
     schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, source_type {kinds['source_type']}, score double"
     hits = left.groupBy("v_grp", "v_block").cogroup(right.groupBy("grp", "block")).applyInArrow(compare, schema)
     return top_k(hits, k, "source_type", "chunk_id")
+
+
+def best_by_source(queries: DataFrame, vectors: DataFrame, blocks: int | None = None) -> DataFrame:
+    """``(query_id, source_type, score)``: for each of ``queries(grp, query_id, unit)`` its best cosine among the
+    ``vectors(grp, chunk_id, source_type, unit)`` of each source type and of its group, itself left out. Blocks as in
+    ``exact_top_k``; a block sends on one number for a query and source type."""
+    blocks = blocks or 2 * shuffle_partitions(vectors.sparkSession)
+    left = vectors.select(F.col("grp").alias("v_grp"), F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int").alias("v_block"), "chunk_id", "source_type", F.col("unit").alias("v_unit"))
+    right = queries.select("grp", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "query_id", "unit")
+    kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "source_type": vectors.schema["source_type"].dataType.simpleString()}
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        names = ["query_id", "source_type", "score"]
+        if not a.num_rows or not b.num_rows:
+            return pa.table([b.column("query_id").slice(0, 0), a.column("source_type").slice(0, 0), pa.array([], pa.float64())], names)
+        x, q = (t.combine_chunks().column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t, c in ((a, "v_unit"), (b, "unit")))
+        ids, own = np.array(a.column("chunk_id").to_pylist(), object), np.array(b.column("query_id").to_pylist(), object)
+        sources = np.array(a.column("source_type").to_pylist(), object)
+        by, of, scores = [], [], []
+        for first in range(0, len(q), 256):
+            s = q[first : first + 256] @ x.T
+            s[own[first : first + 256, None] == ids[None, :]] = -np.inf
+            for source in dict.fromkeys(sources.tolist()):
+                best = s[:, sources == source].max(1)
+                rows = np.flatnonzero(np.isfinite(best))
+                by += (rows + first).tolist()
+                of += [source] * len(rows)
+                scores += best[rows].tolist()
+        return pa.table([b.column("query_id").take(pa.array(by, pa.int64())), pa.array(of, pa.string()), pa.array(scores, pa.float64())], names)
+
+    schema = f"query_id {kinds['query_id']}, source_type {kinds['source_type']}, score double"
+    found = left.groupBy("v_grp", "v_block").cogroup(right.groupBy("grp", "block")).applyInArrow(compare, schema)
+    return found.groupBy("query_id", "source_type").agg(F.max("score").alias("score"))

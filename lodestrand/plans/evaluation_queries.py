@@ -131,6 +131,20 @@ def i2(spark, d):
     return semantic(spark, d).select("query_id", "intent", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"))
 
 
+def semantic_all(spark, d):
+    """As ``semantic``, with every vector but the search itself as a prototype."""
+    from lodestrand.operators import dense
+
+    v = dense.usable(table(spark, d, "chunk_vectors"), 64).select(F.col("embedding_version").alias("grp"), "chunk_id", "source_type", "unit")
+    q = v.where("try_cast(split_part(chunk_id, '-', 2) as bigint) % 100 = 0").select("grp", F.col("chunk_id").alias("query_id"), "unit")
+    return routing.semantic_routes(dense.best_by_source(q, v).withColumnRenamed("source_type", "intent"))
+
+
+@query("i2_semantic_routes_all")
+def i2_all(spark, d):
+    return semantic_all(spark, d).select("query_id", "intent", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"))
+
+
 EVIDENCE = f"{FUSED}, h5 AS (SELECT f.*, ch.source_type FROM {ranked('fu', 5, 'chunk_id')} f JOIN ch USING (chunk_id)), ev AS (SELECT se.query_id, se.expected_intent, coalesce(se.expected_sources, []) AS sources, count(h5.chunk_id) AS n, max(h5.score) AS top_score, list_distinct(list(h5.source_type)) AS got FROM se LEFT JOIN h5 USING (query_id) GROUP BY ALL)".replace("GROUP BY ALL", "GROUP BY se.query_id, se.expected_intent, coalesce(se.expected_sources, [])")
 
 

@@ -182,6 +182,26 @@ def test_rule_routes(spark):
     assert got == {"a": ("analyze_jd", 1.0), "b": ("unknown", 0.0), "c": ("match_resume", 0.5), "d": ("unknown", 0.0)}
 
 
+def test_all_vectors_but_the_search_are_prototypes(spark):
+    from lodestrand.operators import dense
+    from lodestrand.plans import core_queries
+
+    folder = "/root/testdata/sf0.001"
+    vectors = {(r.embedding_version, r.chunk_id): (r.source_type, r.unit) for r in dense.usable(spark.read.parquet(f"{folder}/chunk_vectors.parquet"), 64).collect()}
+    want = {}
+    for (group, own), (_, a) in vectors.items():
+        if (number := own.split("-")[1]).isdigit() and int(number) % 100 == 0:
+            for (other_group, other), (source, b) in vectors.items():
+                if group == other_group and own != other:
+                    best = want.setdefault(own, {})
+                    best[source] = max(best.get(source, -2.0), sum(x * y for x, y in zip(a, b)))
+    got = {r.query_id: r for r in core_queries()["i2_semantic_routes_all"](spark, folder).collect()}
+    assert set(got) == set(want) and want
+    for k, best in want.items():
+        first, second = sorted([*best.values(), *[0.0] * (len(best) < 2)], reverse=True)[:2]
+        assert abs(got[k].score - first) < 2e-6 and abs(got[k].margin - (first - second)) < 2e-6
+
+
 def test_graph_reaches_by_hops(spark):
     nodes = spark.createDataFrame([("j", "job", "job", ["c1"]), ("s", "skill", "Python", ["c1", "c2"]), ("p", "project", "proj", ["c2"])], "node_id string, node_type string, name string, chunk_ids array<string>")
     edges = spark.createDataFrame([("e1", "requires", "j", "s", ["c1"]), ("e2", "demonstrates", "p", "s", ["c2"])], "edge_id string, edge_type string, source_node_id string, target_node_id string, chunk_ids array<string>")
