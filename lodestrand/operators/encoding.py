@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS, DIMENSIONS, SAMPLE_ROWS = 4096, 128, 2000
+from lodestrand.session import staged
+
+BUCKETS, DIMENSIONS = 4096, 128
 
 
 @dataclass(frozen=True)
 class Encoder:
-    """``idf`` by bucket and the ``basis`` (buckets x dimensions); both are learned from a bounded sample."""
+    """``idf`` by bucket and the ``basis`` (buckets x dimensions); both are learned from all texts."""
 
     idf: np.ndarray
     basis: np.ndarray
@@ -26,9 +28,8 @@ class Encoder:
         out = np.zeros((len(texts), len(self.idf)), np.float32)
         for i, text in enumerate(texts):
             t = text.lower()
-            for n in range(self.low, self.high + 1):
-                for j in range(len(t) - n + 1):
-                    out[i, crc32(t[j : j + n].encode("utf-8", "replace")) % len(self.idf)] += 1
+            own = [crc32(t[j : j + n].encode("utf-8", "replace")) % len(self.idf) for n in range(self.low, self.high + 1) for j in range(len(t) - n + 1)]
+            out[i] = np.bincount(np.array(own, np.int64), minlength=len(self.idf))
         some = out > 0
         out[some] = 1 + np.log(out[some])
         out *= self.idf
@@ -39,18 +40,58 @@ class Encoder:
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
-def fit(df: DataFrame, id_col: str, text_col: str, dimensions: int = DIMENSIONS, sample_rows: int = SAMPLE_ROWS) -> Encoder:
-    """Learn from at most ``sample_rows`` texts, those of least hash."""
-    rows = df.where(F.col(text_col).isNotNull())
-    picked = rows.select(text_col, F.xxhash64(id_col).alias("h")).orderBy("h", text_col).limit(sample_rows)
-    texts = [r[0] for r in picked.collect()] or [""]
-    raw = Encoder(np.ones(BUCKETS, np.float32), np.zeros((BUCKETS, 1), np.float32)).features(texts)
-    idf = (np.log((1 + len(texts)) / (1 + (raw > 0).sum(0))) + 1).astype(np.float32)
-    x = Encoder(idf, np.zeros((BUCKETS, 1), np.float32)).features(texts).astype(np.float64)
-    values, vectors = np.linalg.eigh(x @ x.T)
-    order = np.argsort(-values)[: min(dimensions, len(texts))]
-    basis = x.T @ vectors[:, order] / np.sqrt(np.maximum(values[order], 1e-12))
-    basis *= np.where(basis[np.abs(basis).argmax(0), np.arange(basis.shape[1])] < 0, -1, 1)  # a sign that does not vary
+def _frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
+    """How many of ``rows(t)`` there are, and in how many of them each bucket occurs."""
+
+    def run(batches):
+        n, df = 0, np.zeros(BUCKETS, np.int64)
+        raw = Encoder(np.ones(BUCKETS, np.float32), np.zeros((BUCKETS, 1), np.float32))
+        for batch in batches:
+            for part in (batch.slice(a, 500) for a in range(0, len(batch), 500)):
+                n += len(part)
+                df += (raw.features(part.column(0).to_pylist()) > 0).sum(0)
+        yield pa.record_batch([pa.array(np.arange(-1, BUCKETS, dtype=np.int32)), pa.array(np.concatenate([[n], df]))], ["i", "n"])
+
+    out = np.zeros(BUCKETS + 1, np.int64)
+    for r in rows.mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():  # BUCKETS + 1 rows
+        out[r.i + 1] = r.n
+    return int(out[0]), out[1:]
+
+
+def _gram(rows: DataFrame, idf: np.ndarray) -> np.ndarray:
+    """The products of all pairs of buckets, summed over the features of ``rows(t)``: one upper triangle a task."""
+
+    def run(batches):
+        x, out = Encoder(idf, np.zeros((BUCKETS, 1), np.float32)), np.zeros((BUCKETS, BUCKETS))
+        for batch in batches:
+            for part in (batch.slice(a, 500) for a in range(0, len(batch), 500)):
+                own = x.features(part.column(0).to_pylist())
+                out += own.T @ own
+        for i in range(0, BUCKETS, 64):
+            yield pa.record_batch([pa.array(np.arange(i, i + 64, dtype=np.int32)), pa.array([out[j, j:].astype(np.float32) for j in range(i, i + 64)], pa.list_(pa.float32()))], ["i", "row"])
+
+    def add(part: pa.Table) -> pa.Table:
+        total = part.column("row").combine_chunks().flatten().to_numpy().reshape(part.num_rows, -1).astype(np.float64).sum(0)
+        return pa.table([part.column("i").slice(0, 1), pa.array([total], pa.list_(pa.float64()))], ["i", "row"])
+
+    summed = rows.mapInArrow(run, "i int, row array<float>").groupBy("i").applyInArrow(add, "i int, row array<double>")
+    out = np.zeros((BUCKETS, BUCKETS))
+    for r in summed.toLocalIterator():  # BUCKETS rows
+        out[r.i, r.i :] = r.row
+        out[r.i :, r.i] = r.row
+    return out
+
+
+def fit(df: DataFrame, id_col: str, text_col: str, dimensions: int = DIMENSIONS) -> Encoder:
+    """Learn from all texts. Each core makes one matrix of buckets x buckets, however large the table."""
+    spark = df.sparkSession
+    rows = staged(df.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t")), "texts").coalesce(spark.sparkContext.defaultParallelism)
+    n, df_by_bucket = _frequencies(rows)
+    n = max(n, 1)
+    idf = (np.log((1 + n) / (1 + df_by_bucket)) + 1).astype(np.float32)
+    values, vectors = np.linalg.eigh(_gram(rows, idf))
+    basis = vectors[:, np.argsort(-values)[: min(dimensions, n)]]
+    basis = basis * np.where(basis[np.abs(basis).argmax(0), np.arange(basis.shape[1])] < 0, -1, 1)  # a sign that does not vary
     return Encoder(idf, basis.astype(np.float32))
 
 

@@ -264,6 +264,22 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.table("firsts").count() == batch.select("event_id").distinct().count()
 
 
+def test_encoder_counts_every_text(spark):
+    import numpy as np
+
+    from lodestrand.operators import encoding
+
+    rows = [(f"a{i}", f"plain text {i % 9}") for i in range(2300)] + [("z", "ꙮꙮꙮꙮ")]
+    encoder = encoding.fit(spark.createDataFrame(rows, "id string, t string"), "id", "t", dimensions=40)
+    x = encoder.features([t for _, t in rows]).astype(np.float64)
+    df = (x > 0).sum(0)
+    assert np.allclose(encoder.idf, np.log((1 + len(rows)) / (1 + df)) + 1, atol=1e-5)
+    values, vectors = np.linalg.eigh(x.T @ x)
+    few = vectors[:, np.argsort(-values)[:5]]
+    assert np.allclose(few @ few.T, encoder.basis[:, :5] @ encoder.basis[:, :5].T, atol=1e-3)
+    assert np.linalg.norm(encoder.features(["ꙮꙮꙮꙮ"]) @ encoder.basis) > 0.5
+
+
 def test_encoder_finds_the_like(spark):
     import numpy as np
 
