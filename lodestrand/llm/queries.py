@@ -39,6 +39,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.NearDuplicates(table(spark, d, "chunks"), 0.7).pairs()
 
 
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.NearDuplicates(table(spark, d, "chunks"), 0.7).links()
+
+
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.NearDuplicates(table(spark, d, "chunks"), 0.7).groups()
 

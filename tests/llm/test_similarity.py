@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrand.llm import components, crosssplit, forms, grams, lines, neardup, neighbours
 
@@ -54,22 +55,71 @@ def test_near_duplicates_equal_brute_force(spark, texts, leaf, monkeypatch):
 
 
 def test_crowded_nodes_are_compared_whole(spark):
-    """Texts so alike that no path parts them end in the block comparison; no pair is lost."""
+    """Texts so alike that no path parts them are compared as they stand, in one task or in blocks; no pair is lost."""
     rng = random.Random(5)
     base = " ".join(rng.choice(["alpha", "bravo", "delta", "echo", "golf", "hotel"]) + str(rng.randint(0, 99)) for _ in range(120))
     texts = {f"c{i:03}": base + f" tail{i:03}" for i in range(90)}
     df = spark.createDataFrame(list(texts.items()), "chunk_id string, text string")
-    members = neardup.members(df, "chunk_id", "text")
-    links = neardup.class_links(members.select("cls", *neardup.SKETCH), 10, leaf=8, depth=2)
-    assert links.count() == 90 * 89 // 2
+    members = neardup.members(df, "chunk_id", "text").withColumn("slack", F.lit(0))
+    for settings in ({}, {"leaf": 8, "depth": 2}, {"leaf": 8, "hot": 16}):
+        assert neardup.class_links(members.select("cls", "slack", *neardup.SKETCH), 10, **settings).count() == 90 * 89 // 2
+
+
+def variants(n, words=150, seed=3):
+    rng = random.Random(seed)
+    base = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(words)]
+    return [" ".join(base[:70] + [f"order {i:06}"] + base[70:]) for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [130, 3000])
+def test_variants_of_one_template_stay_linear(spark, n):
+    """With the settings meant for production: every variant is linked to every other, and the links take linear room."""
+    rng = random.Random(4)
+    texts = variants(n)
+    far = texts[0].split()
+    far = " ".join(w if rng.random() < 0.93 else "xyz" + w[::-1] for w in far)  # linked to all or none, outside of the ball
+    rows = [(f"v{i:05}", t) for i, t in enumerate(texts)] + [("copy", texts[5]), ("far", far), ("other", " ".join(variants(1, seed=9)))]
+    found = neardup.NearDuplicates(spark.createDataFrame(rows, "chunk_id string, text string"), 0.7)
+    groups = {r.chunk_id: r for r in found.groups().collect()}
+    sets = gram_sets({"far": far, "v0": texts[0], "v7": texts[7]}, 5)
+    with_far = [jaccard(sets["far"], sets[v]) >= 0.7 for v in ("v0", "v7")]
+    assert with_far in ([True, True], [False, False])
+    assert {groups[f"v{i:05}"].n_links for i in range(n)} == {n - 1 + with_far[0]}
+    assert groups["far"].n_links == n * with_far[0] and groups["other"].n_links == 0 and groups["copy"].n_copies == 2
+    assert len({groups[f"v{i:05}"].group_id for i in range(n)}) == 1
+    assert found.links().count() <= 2 * n
+    if n < 1000:
+        pairs = [(r.chunk_id_a, r.chunk_id_b) for r in found.pairs().collect()]
+        assert len(pairs) == len(set(pairs)) == (n + 1) * n // 2 + (n + 1) * with_far[0]
+
+
+def test_links_of_balls_equal_brute_force(spark):
+    """Two balls and classes between them: some links follow from the distances, some are compared, some don't exist."""
+    rng = random.Random(12)
+    a, b = variants(90, words=60, seed=1), variants(90, words=60, seed=2)
+    mixed = []
+    for share in (0.05, 0.1, 0.15, 0.2, 0.3):
+        for t in (a[0], b[0]):
+            mixed += [" ".join(w if rng.random() > share else "q" + w[::-1] for w in t.split()) for _ in range(8)]
+    bent = [" ".join(("zz" + w if i % 14 == 0 else w) for i, w in enumerate(t.split())) for t in a]
+    texts = {f"k{i:04}": t for i, t in enumerate(dict.fromkeys([*a, *b, *mixed, *bent]))}
+    sets = gram_sets(texts, 5)
+    want = {(x, y) for x in sets for y in sets if x < y and jaccard(sets[x], sets[y]) >= 0.7}
+    found = neardup.NearDuplicates(spark.createDataFrame(list(texts.items()), "chunk_id string, text string"), 0.7)
+    got = [(r.chunk_id_a, r.chunk_id_b) for r in found.pairs().collect()]
+    assert found.balls is not None and len(got) == len(set(got)) and set(got) <= want
+    assert len(got) >= 0.999 * len(want)
+    degree = {}
+    for x, y in got:
+        degree[x], degree[y] = degree.get(x, 0) + 1, degree.get(y, 0) + 1
+    assert {r.chunk_id: r.n_links for r in found.groups().collect()} == {k: degree.get(k, 0) for k in texts}
 
 
-def test_large_classes_form_stars(spark):
+def test_copies_are_members_of_one_class(spark):
     rows = [(f"k{i:02}", "the same text in many copies") for i in range(20)] + [("z", "the same text in many copies!s")]
-    df = spark.createDataFrame(rows, "chunk_id string, text string")
-    got = {(r.chunk_id_a, r.chunk_id_b) for r in neardup.NearDuplicates(df, 0.7, copies=5).pairs().collect()}
-    assert got == {("k00", f"k{i:02}") for i in range(1, 20)} | {("k00", "z")}
-    assert neardup.NearDuplicates(df, 0.7).pairs().count() == 21 * 20 // 2
+    found = neardup.NearDuplicates(spark.createDataFrame(rows, "chunk_id string, text string"), 0.7)
+    assert found.links().count() == 1 and {r.n_copies for r in found.groups().collect()} == {1, 20}
+    assert found.pairs().count() == 21 * 20 // 2
 
 
 def test_near_duplicates_of_nothing(spark):
