@@ -22,13 +22,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = crosssplit.cross_split_pairs(table(spark, d, "eval_cases"), 0.65)
-    return pairs.select(F.least("train_id", "other_id").alias("case_id_a"), F.greatest("train_id", "other_id").alias("case_id_b")).distinct()
+    pairs = crosssplit.CrossSplit(table(spark, d, "eval_cases"), 0.65).pairs()
+    return pairs.select(F.least("train_id", "other_id").alias("case_id_a"), F.greatest("train_id", "other_id").alias("case_id_b"))
 
 
 def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     cases = table(spark, d, "eval_cases")
-    return crosssplit.leak_counts(crosssplit.cross_split_pairs(cases, 0.65), cases)
+    return crosssplit.leak_counts(cases, crosssplit.CrossSplit(cases, 0.65))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -154,15 +154,42 @@ def test_cross_split_pairs_equal_brute_force(spark, texts):
         rows.append((k, t[:90], rng.choice(["train", "dev", "test"]), topics, "x"))
     rows += [rows[0], ("null", None, "train", None, ""), ("nosplit", "some text here", None, None, ""), ("x1", texts["t0000"][:90], "train", None, ""), ("x2", texts["v0000"][:90], "test", [], "")]
     df = spark.createDataFrame(rows, "case_id string, query string, split string, relevant_chunk_ids array<string>, code string")
-    got = [(r.train_id, r.other_id) for r in crosssplit.cross_split_pairs(df, 0.65, small=16).collect()]
+    found = crosssplit.CrossSplit(df, 0.65)
+    pairs = found.pairs().collect()
+    got = [(r.train_id, r.other_id) for r in pairs]
     by = {r[0]: r for r in rows if r[1] and r[2]}
     sets = gram_sets({k: r[1] for k, r in by.items()}, 3)
     topic = {k: set(r[3] or [""]) for k, r in by.items()}
     want = {(a, b) for a in by for b in by if by[a][2] == "train" and by[b][2] != "train" and topic[a] & topic[b] and jaccard(sets[a], sets[b]) >= 0.65}
     assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.98 * len(want) and len(want) > 20
-    counts = crosssplit.leak_counts(crosssplit.cross_split_pairs(df, 0.65), df, sources_col="relevant_chunk_ids")
-    assert {r.split for r in counts.collect()} <= {"dev", "test"}
-    assert crosssplit.cross_split_pairs(df.limit(0)).count() == 0
+    want_cases, want_pairs = {}, {}
+    for r in pairs:
+        for source in by[r.other_id][3] or [None]:
+            want_cases.setdefault((r.other_split, source), set()).add(r.other_id)
+            want_pairs[r.other_split, source] = want_pairs.get((r.other_split, source), 0) + 1
+    counts = {(r.split, r.source): (r.n_cases, r.n_pairs) for r in crosssplit.leak_counts(df, found, sources_col="relevant_chunk_ids").collect()}
+    assert counts == {k: (len(want_cases[k]), want_pairs[k]) for k in want_pairs}
+    assert crosssplit.CrossSplit(df.limit(0)).pairs().count() == 0
+
+
+def test_a_common_query_takes_one_link(spark):
+    rows = [(f"c{i:04}", "What does the job pay?", "train" if i % 2 else "test", None, ["jd"]) for i in range(400)]
+    df = spark.createDataFrame(rows, "case_id string, query string, split string, relevant_chunk_ids array<string>, expected_sources array<string>")
+    found = crosssplit.CrossSplit(df)
+    assert found.unit_links().count() == 1 and found.pairs().count() == 200 * 200
+    assert [tuple(r) for r in crosssplit.leak_counts(df, found).collect()] == [("test", "jd", 200, 40_000)]
+
+
+def test_simhash_equals_its_definition():
+    texts = ["the quick brown fox", "", "ab", "jumps over the lazy dog " * 3, "".join(chr(0x4E00 + i * 7 % 20000) for i in range(70_000))]
+    data, offsets = forms.letters_batch(texts)
+    codes, g, at = crosssplit.simhash(data, offsets)
+    for k in range(len(texts)):
+        own = g[at[k] : at[k + 1]]
+        for w in range(4):
+            h = grams.mixed(own, w + 1)
+            want = sum(1 << b for b in range(64) if len(own) and 2 * int(((h >> np.uint64(b)) & np.uint64(1)).sum()) > len(own))
+            assert int(codes[k, w]) == want
 
 
 def test_tables_reach_the_recall():
