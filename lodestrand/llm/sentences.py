@@ -1,9 +1,10 @@
 """Sentence boundaries in any language and script.
 
 A pushdown automaton reads the events of a text (line ends, end marks, ellipses, quotation marks, brackets, blanks
-between Thai letters) and keeps a stack of open quotations and brackets; end marks count only while the stack is
-empty. Line starts are read as list levels, so a numeral's dot there ends nothing. Full stops are judged with a trie
-of abbreviations read backwards from the stop. Everything works on the text's *shape*, its characters in consistent
+between Thai letters). Its stack holds the list levels of the lines read so far and, above them, the open quotations
+and brackets of the line; end marks count only while no quotation or bracket is open. A line with a list sign pops the
+levels that are indented as far or further and pushes its own, so a numeral's dot in the sign ends nothing. Full stops
+are judged with a trie of abbreviations read backwards from the stop. Everything works on the text's *shape*, its characters in consistent
 form with invisible ones left out, and positions are carried back to the stored text.
 """
 
@@ -19,13 +20,20 @@ from pyspark.sql import DataFrame
 
 from lodestrand.llm import forms
 
-# Abbreviations that never end a sentence, and those that do before a capital letter.
+# Abbreviations that never end a sentence, and those that do before a capital letter (English, German,
+# Hindi; Russian, Ukrainian; Spanish, Portuguese, Italian, French; Polish, Czech, Dutch, Swedish, Turkish).
 NEVER_LAST = """
 dr prof mr mrs ms st sr jr hr fr dipl ing vs e.g i.e cf no nos nr fig figs abb tab sec ch vol ed eds approx ca vgl bzw bspw
 z. b z.b d. h d.h u. a u.a o. ä o.ä i. d. r i.d.r s. o s.o s. u s.u u. u u.u sog evtl ggf inkl exkl zzgl max min mind geb
 art abs kap bd hrsg st rev gen col capt lt sgt rep sen gov hon डॉ श्री प्रो पं सं कु
+т.е т. е г гг ул пр просп пер д кв стр рис табл см ср напр т.н т. н т.ч т. ч им проф акад тыс млн млрд руб коп обл р-н в т.ч вул буд обл
+sra dra srta dña ud uds pág págs núm av avda c.p p.ej p. ej aprox tel esq v.g
+sig sigg sig.ra dott dott.ssa ing avv pag pagg p.es p. es c.so p.za
+mme mlle me env p.ex p. ex chap éd
+ul np m.in tzn tzw dr. hab mgr inż str godz tj č ul nám např tzv
+bijv d.w.z dhr mevr nl t.ex bl.a s.k örn bkz sn
 """
-MAYBE_LAST = "etc inc ltd co corp llc gmbh plc bros a.m p.m u.s u.k e.u ph.d b.sc m.sc usw usf al dept est jan feb mar apr jun jul aug sep sept oct nov dec"
+MAYBE_LAST = "т.д т. д т.п т. п др пр ecc itd itp enz osv vb atd etc inc ltd co corp llc gmbh plc bros a.m p.m u.s u.k e.u ph.d b.sc m.sc usw usf al dept est jan feb mar apr jun jul aug sep sept oct nov dec"
 # Months after a German ordinal.
 MONTHS = ("Januar", "Jänner", "Februar", "Feber", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember")
 
@@ -43,7 +51,10 @@ _EVENT = re.compile(
 _TAIL = re.compile(r"(?:[ \t]?[!?。．।॥؟۔‼⁇⁈⁉‽]|(?<=[!?。])[.…]+|[”»›」』》〉)\]}】〕])*")
 _SIGN = re.compile(r"[ \t]*(?:(?:[-*+•·▪◦‣–>#|]+|[\[(]?\s*(?:\d{1,4}|[a-zA-Z]|[ivxIVX]{1,5})\s*[\])、.)]+(?!\d))[ \t]*)*")
 _NUMERAL = re.compile(r"[ \t]*(?:[-*+•>#]+[ \t]+)*[\[(]?(?:\d{1,4}(?:\.\d{1,3})*|[a-zA-Z]|[ivxIVX]{1,5})")
+LONGEST_NUMERAL = 40
+_LEVEL = re.compile(r"([ \t]*)((?:[-*+•>#]+[ \t]+)*)")
 _AFTER = re.compile(r"[ \t]*")
+_LINE_END = re.compile(f"[{LINE_END}]")
 _HAN = re.compile(f"[{HAN_KANA}]")
 _HIRAGANA = re.compile("[぀-ゟ]")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -82,18 +93,20 @@ def abbreviations() -> Trie:
     return trie
 
 
-def _stop_ends(s: str, i: int, line: int) -> bool:
-    """Whether the full stop at ``i`` ends a sentence; ``line`` is the start of its line."""
+def _stop_ends(s: str, i: int, line: int, sign: int) -> bool:
+    """Whether the full stop at ``i`` ends a sentence; ``line`` is the start of its line, ``sign`` where its blanks and
+    list signs end."""
+    numeral = i <= sign + LONGEST_NUMERAL and _NUMERAL.fullmatch(s, line, i)
     if i == line or s[i - 1].isspace():
         return True
     after = _AFTER.match(s, i + 1).end()
     blank, nxt = after > i + 1, s[after : after + 1]
     if not nxt or nxt in LINE_END:
-        return not _NUMERAL.fullmatch(s, line, i)
+        return not numeral
     if nxt in ",;:" or blank and nxt.islower():
         return False
     before = s[i - 1]
-    if _NUMERAL.fullmatch(s, line, i):
+    if numeral:
         return False
     kind = abbreviations().before(s, i)
     if kind == 1:
@@ -102,7 +115,7 @@ def _stop_ends(s: str, i: int, line: int) -> bool:
         return not nxt.isdigit() and not (nxt.isupper() and s[after + 1 : after + 2] == ".")
     if before.isdigit():
         return not (blank and (_MONTH.match(s, after) or _ORDINAL.search(s[max(line, i - 8) : i])))
-    if before.isalpha() and before < "ɐ" and (i < 2 or not (s[i - 2].isalnum() and s[i - 2] < "⺀")):  # an initial, or one letter of several
+    if before.isalpha() and (before < "ɐ" or "Ѐ" <= before < "԰") and (i < 2 or not (s[i - 2].isalnum() and s[i - 2] < "⺀")):  # an initial, or one letter of several
         return False
     if not blank and nxt.isupper() and not before.islower():
         return s[after + 1 : after + 2].islower()
@@ -124,8 +137,9 @@ def _ellipsis_ends(s: str, i: int, end: int) -> bool:
     return True
 
 
-def _quotation_ends(s: str, start: int, opened: int, closed: int) -> bool:
-    """Whether the quotation or bracket from ``opened`` to ``closed`` ends the sentence that began at ``start``."""
+def _quotation_ends(s: str, start: int, sign_end, opened: int, closed: int) -> bool:
+    """Whether the quotation or bracket from ``opened`` to ``closed`` ends the sentence that began at ``start``;
+    ``sign_end()`` tells where the signs at its start end."""
     inner = closed - 1
     while inner > opened and (s[inner] in CLOSERS or s[inner] in " \t"):
         inner -= 1
@@ -133,7 +147,7 @@ def _quotation_ends(s: str, start: int, opened: int, closed: int) -> bool:
         return False
     after = _AFTER.match(s, closed + 1).end()
     nxt = s[after : after + 1]
-    opens = _SIGN.match(s, start).end() >= opened
+    opens = sign_end() >= opened
     if s[opened] not in QUOTES:
         return opens and not (nxt.islower() or nxt and nxt in ",;:、")
     if opens or nxt and nxt in ",;:、)":
@@ -148,11 +162,65 @@ def _quotation_ends(s: str, start: int, opened: int, closed: int) -> bool:
     return False
 
 
+class _Automaton:
+    """The stack of one text: list levels below, open quotations and brackets above. Every step takes constant time,
+    apart from one pass over each line for each kind of closing mark it may need."""
+
+    def __init__(self, s: str) -> None:
+        self.s = s
+        self.levels: list[int] = []  # indentations of the open list levels
+        self.open: list[tuple[str, int]] = []  # what closes it, and where it was opened
+        self.awaited: dict[str, int] = {}  # how many open ones each closing mark could close
+        self.start_line(0)
+
+    def start_line(self, line: int) -> None:
+        self.line, self.last = line, {}
+        self.open.clear()
+        self.awaited.clear()
+        m = _LEVEL.match(self.s, line)
+        self.sign = m.end()
+        numeral = _NUMERAL.match(self.s, line)
+        if m[2] or numeral and self.s[numeral.end() : numeral.end() + 1] in (".", ")", "]", "、"):
+            indent = len(m[1])
+            while self.levels and self.levels[-1] >= indent:
+                self.levels.pop()
+            self.levels.append(indent)
+        elif self.s[line : line + 1] not in (" ", "\t"):
+            self.levels.clear()
+
+    def closes_later(self, marks: str, at: int) -> bool:
+        """Whether one of the marks stands in this line at ``at`` or after."""
+        if "" not in self.last:
+            m = _LINE_END.search(self.s, at)
+            self.last[""] = m.start() if m else len(self.s)
+        for c in marks:
+            if c not in self.last:
+                self.last[c] = self.s.rfind(c, self.line, self.last[""])
+        return max(self.last[c] for c in marks) >= at
+
+    def push(self, marks: str, at: int) -> None:
+        self.open.append((marks, at))
+        for c in marks:
+            self.awaited[c] = self.awaited.get(c, 0) + 1
+
+    def close(self, c: str) -> int:
+        """Close the innermost quotation or bracket that ``c`` closes, with all inside it; where it was opened, or -1."""
+        if not self.awaited.get(c):
+            return -1
+        while True:
+            marks, opened = self.open.pop()
+            for x in marks:
+                self.awaited[x] -= 1
+            if c in marks:
+                return opened
+
+
 def shape_spans(s: str) -> list[tuple[int, int]]:
     """Sentences of a shape string, as start and end."""
     out: list[tuple[int, int]] = []
-    start = line = skip = 0
-    stack: list[tuple[str, int]] = []
+    start = skip = 0
+    stack = _Automaton(s)
+    signs = [0, -1]
 
     def emit(end: int) -> None:
         nonlocal start
@@ -165,6 +233,11 @@ def shape_spans(s: str) -> list[tuple[int, int]]:
             out.append((a, b))
         start = end
 
+    def sign_end() -> int:
+        if not signs[0] <= start <= signs[1]:  # from within a run of signs, they end where the run ends
+            signs[:] = start, _SIGN.match(s, start).end()
+        return signs[1]
+
     for m in _EVENT.finditer(s):
         i, end = m.span()
         if i < skip:
@@ -172,38 +245,27 @@ def shape_spans(s: str) -> list[tuple[int, int]]:
         c = s[i]
         if c in LINE_END:
             emit(i)
-            line = end
-            stack.clear()
-            continue
-        if c in " \t":
-            if not stack:
+            stack.start_line(end)
+        elif c in " \t":
+            if not stack.open:
                 emit(i)
-            continue
-        if c in ENDS:
-            if stack:
+        elif c in ENDS:
+            if stack.open:
                 continue
             if c == "…" or end - i > 1:
                 end = _TAIL.match(s, end).end()
                 if s[end - 1] not in ".…" or _ellipsis_ends(s, i, end):
                     emit(skip := end)
-            elif c != "." or _stop_ends(s, i, line):
+            elif c != "." or _stop_ends(s, i, stack.line, stack.sign):
                 emit(skip := _TAIL.match(s, end).end())
-            continue
-        level = next((k for k in range(len(stack) - 1, -1, -1) if c in stack[k][0]), -1)
-        if level >= 0:
-            opened = stack[level][1]
-            del stack[level:]
-            if not stack and _quotation_ends(s, start, opened, i):
+        elif (opened := stack.close(c)) >= 0:
+            if not stack.open and _quotation_ends(s, start, sign_end, opened, i):
                 emit(skip := _TAIL.match(s, end).end())
         elif c in PAIRS:
             if c == '"' and (end < len(s) and s[end].isspace() or i > start and (s[i - 1].isalnum() and s[i - 1] < "⺀")):
                 continue
-            for k in range(end, len(s)):
-                if s[k] in LINE_END:
-                    break
-                if s[k] in PAIRS[c]:
-                    stack.append((PAIRS[c], i))
-                    break
+            if stack.closes_later(PAIRS[c], end):
+                stack.push(PAIRS[c], i)
     emit(len(s))
     return out
 

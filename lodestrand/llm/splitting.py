@@ -1,8 +1,9 @@
 """Splitting oversized texts at natural boundaries.
 
 Balanced targets: the least number of pieces gives equal-length targets; each target snaps to the strongest boundary
-near it (paragraph, line, sentence, clause, word, any character), and a piece is added whenever a limit fails: when a
-piece would be too long, or when a cut would miss a paragraph, line or sentence end that more pieces could reach.
+near it (paragraph, line, sentence, clause, word, any character), and a piece is added from there on whenever a limit
+fails: when a piece would be too long, or when a cut would miss a paragraph, line or sentence end that one more piece
+could reach.
 """
 
 from __future__ import annotations
@@ -41,21 +42,24 @@ def boundaries(text: str, lo: int, hi: int, ends: list[int]) -> list[tuple[int,
     return sorted((p, s) for p, s in strength.items() if lo < p < hi)
 
 
-def _place(text: str, lo: int, hi: int, marks: list[tuple[int, int]], n: int, limit: int, overlap: int) -> list[int] | None:
-    """``n - 1`` cuts, or None if a limit fails for this number of pieces."""
+def _cuts(text: str, lo: int, hi: int, marks: list[tuple[int, int]], limit: int, overlap: int) -> list[int]:
+    """Where to cut. The targets are equal lengths of what is left for the least number of pieces it needs; where a
+    limit fails at a target, one piece more is planned from there on and the cuts before it stay."""
     step = limit - overlap
-    length = (hi - lo + (n - 1) * overlap) / n
+    left = 1 + -(-(hi - lo - limit) // step)  # pieces to come, the present one included
     least = max(1, step // 8)
     at = [p for p, _ in marks]
     cuts: list[int] = []
     start = lo  # where the text not yet covered begins
-    for k in range(1, n):
-        reach = start + (step if cuts else limit)
-        first = max(start + least, hi - (n - k) * step)
-        last = min(reach, hi - 1)
+    while left > 1:
+        reach = step if cuts else limit
+        first, last = max(start + least, hi - (left - 1) * step), min(start + reach, hi - 1)
         if first > last:
-            return None
-        target = lo + length + (k - 1) * (length - overlap)
+            if hi - start <= reach:
+                break
+            left += 1
+            continue
+        target = start + ((hi - start) / left if cuts else (hi - start + (left - 1) * overlap) / left)
         window = marks[bisect.bisect_left(at, first) : bisect.bisect_right(at, last)]
         near = [m for m in window if abs(m[0] - target) <= step / 4]
         best = max(near or window, key=lambda m: (m[1], -abs(m[0] - target)), default=None)
@@ -64,24 +68,23 @@ def _place(text: str, lo: int, hi: int, marks: list[tuple[int, int]], n: int, li
             if strong:
                 best = min(strong, key=lambda m: abs(m[0] - target))
             elif any(s >= SENTENCE for _, s in marks[bisect.bisect_left(at, start + least) : bisect.bisect_left(at, first)]):
-                return None
+                left += 1  # a sentence ends before the window that the pieces left allow
+                continue
         cut = best[0] if best else int(min(max(target, first), last))
         if not best:
-            while cut > first and (unicodedata.combining(text[cut]) or unicodedata.category(text[cut])[0] == "M" or text[cut - 1] == "‍"):
+            while cut > first and (unicodedata.combining(text[cut]) or unicodedata.category(text[cut])[0] == "M" or text[cut - 1] == "\u200d"):
                 cut -= 1
         cuts.append(cut)
         start = cut
-    return cuts if hi - start <= (step if cuts else limit) else None
+        left -= 1
+    return cuts
 
 
 def pieces(text: str, lo: int, hi: int, ends: list[int], limit: int, overlap: int) -> list[tuple[int, int]]:
     """Start and end of each piece of ``text[lo:hi]``; each starts ``overlap`` characters before the end of the last."""
     if hi - lo <= limit:
         return [(lo, hi)] if hi > lo else []
-    marks = boundaries(text, lo, hi, ends)
-    n = 1 + -(-(hi - lo - limit) // (limit - overlap))
-    while (cuts := _place(text, lo, hi, marks, n, limit, overlap)) is None:
-        n += 1
+    cuts = _cuts(text, lo, hi, boundaries(text, lo, hi, ends), limit, overlap)
     return [(max(lo, a - overlap) if k else lo, b) for k, (a, b) in enumerate(zip([lo, *cuts], [*cuts, hi]))]
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 import unicodedata
 
 import pytest
@@ -116,3 +117,28 @@ def test_same_looks_pairs(spark):
     assert got == {("a", "b"), ("a", "c"), ("f", "g")}
     assert looks.same_looks(keys.limit(0), "id", "kind").count() == 0
     assert {r.id: r.form for r in looks.consistent_forms(df, "id", "text").collect()} == {"a": "Ab", "b": "Ab", "c": "Ab", "d": "x", "f": "", "g": ""}
+
+
+@pytest.mark.parametrize("line", ["(" * 300_000, '"' * 300_000, "()" * 150_000, "(1.) " * 60_000, "[" * 150_000 + ")" * 150_000, "((" * 80_000 + "]" * 100_000 + ")", "“" * 150_000 + "”" * 150_000, "- " * 100_000 + "a. " * 100_000])
+def test_long_lines_take_linear_time(line):
+    began = time.perf_counter()
+    got = sentences.shape_spans(line)
+    assert time.perf_counter() - began < 20 and all(a < b for a, b in got)
+
+
+def test_list_levels_and_abbreviations():
+    assert spans("1. Erster Punkt.\n   a. Unterpunkt. Noch einer.\n2. Zweiter.") == ["1. Erster Punkt.", "a. Unterpunkt.", "Noch einer.", "2. Zweiter."]
+    assert spans("Он приехал, т.е. вернулся. Это г. Москва, ул. Ленина.") == ["Он приехал, т.е. вернулся.", "Это г. Москва, ул. Ленина."]
+    assert spans("Vive en la Av. Libertad. Ver pág. 5.") == ["Vive en la Av. Libertad.", "Ver pág. 5."]
+    assert spans("Il sig. Rossi. Ciao.") == ["Il sig. Rossi.", "Ciao."]
+
+
+def test_long_texts_are_cut_in_linear_time():
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) + rng.choice(["", "", "", "", ".", ",", "\n", "\n\n"]) for _ in range(170_000))
+    _, _, ends = sentences.spans_batch([text])
+    began = time.perf_counter()
+    got = splitting.pieces(text, 0, len(text), ends.tolist(), 420, 60)
+    assert time.perf_counter() - began < 20 and max(b - a for a, b in got) <= 420
+    assert len(got) < 1.15 * len(text) / 360
+    assert all(b[0] == a[1] - 60 for a, b in zip(got, got[1:]))
