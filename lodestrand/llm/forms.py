@@ -1,11 +1,12 @@
 """One consistent form for texts that look the same.
 
 Characters are brought to one code by compatibility width, composition, equal shape, and kind of blank or hyphen;
-invisible characters go. Letters of the scripts that share shapes (Latin, Greek, Cyrillic) are resolved by token:
-the sets of scripts that each letter could be written in are intersected over the token, and the first script of
-``SCRIPT_ORDER`` in the intersection gives the spelling. A token whose sets have no common script keeps its
-unambiguous letters and has the others written in the first script they allow. The result depends on shapes only,
-so two texts of equal shapes get one form.
+invisible characters go. Letters of the scripts that share shapes (Latin, Cyrillic, Greek, Armenian, Cherokee) are
+resolved by token: the sets of scripts that each letter could be written in are intersected over the token. A token
+whose sets have one script in common is spelled in it. One that several scripts could write is spelled in the first
+script of ``SCRIPT_ORDER`` (``consistent``, the key for comparisons of parts of texts) or in the script that most of
+the text's unambiguous letters have (``resolved``, for texts to be read). A token whose sets have no script in common
+keeps its unambiguous letters. Both depend on shapes only, so two texts of equal shapes get one form.
 
 Raised, lowered, circled, squared and fraction signs keep their own codes.
 """
@@ -18,15 +19,20 @@ import unicodedata
 
 import numpy as np
 
-SCRIPT_ORDER = ("latin", "cyrillic", "greek")
+SCRIPT_ORDER = ("latin", "cyrillic", "greek", "armenian", "cherokee")
 
-# Letters of equal shape, as (Latin, Cyrillic, Greek); a dash stands for "none".
+# Letters of equal shape, as (Latin, Cyrillic, Greek, Armenian, Cherokee); a dash stands for "none".
 EQUAL_LETTERS = """
-A А Α | B В Β | C С - | E Е Ε | H Н Η | I І Ι | J Ј - | K К Κ | M М Μ | N - Ν | O О Ο | P Р Ρ | S Ѕ - | T Т Τ
-X Х Χ | Y Ү Υ | Z - Ζ | a а - | c с - | e е - | i і - | j ј - | o о ο | p р ρ | s ѕ - | x х - | y у - | v ѵ ν
-h һ - | d ԁ - | q ԛ - | w ԝ - | G Ԍ - | Q Ԛ - | W Ԝ - | V Ѵ - | - Г Γ | - П Π | - Ф Φ | ï ї - | Ï Ї -
+A А Α - Ꭺ | B В Β - Ᏼ | C С - - Ꮯ | D - - - Ꭰ | E Е Ε - Ꭼ | G Ԍ - - Ꮐ | H Н Η - Ꮋ | I І Ι - - | J Ј - - Ꭻ | K К Κ - Ꮶ
+L - - Լ Ꮮ | M М Μ - Ꮇ | N - Ν - - | O О Ο Օ - | P Р Ρ - Ꮲ | Q Ԛ - - - | R - - - Ꭱ | S Ѕ - Տ Ꮪ | T Т Τ - Ꭲ | U - - Ս -
+V Ѵ - - Ꮩ | W Ԝ - - Ꮃ | X Х Χ - - | Y Ү Υ - - | Z - Ζ - Ꮓ | a а - - - | c с - - - | d ԁ - - - | e е - - - | g - - ց -
+h һ - հ - | i і - - - | j ј - յ - | n - - ո - | o о ο օ - | p р ρ - - | q ԛ - զ - | s ѕ - - - | u - - ս - | v ѵ ν - -
+w ԝ - - - | x х - - - | y у - - - | - Г Γ - - | - П Π - - | - Ф Φ - - | ï ї - - - | Ï Ї - - -
 """
 
+# Arabic letters and digits of one shape with two codes, as pairs (found, kept).
+ARABIC_DOUBLES = dict(zip("کی۰۱۲۳۷۸۹", "كى٠١٢٣٧٨٩", strict=True))
+
 # Radicals of the CJK supplement that carry no decomposition but have the shape of a character.
 RADICALS = dict(
     pair
@@ -45,19 +51,23 @@ VISIBLE_CF = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD,
 #: Kinds of compatibility decomposition that keep the shape.
 SHAPE_KINDS = {"<wide>", "<narrow>", "<compat>", "<font>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>", "<small>"}
 
-_LETTERS: dict[str, dict[str, str]] = {}
+LETTERS: dict[str, dict[str, str]] = {}
 for _group in EQUAL_LETTERS.replace("\n", "|").split("|"):
     _row = {s: c for s, c in zip(SCRIPT_ORDER, _group.split()) if c != "-"}
     for _c in _row.values():
-        _LETTERS[_c] = _row
+        LETTERS[_c] = _row
 
 
-def _own_script(c: str) -> str:
+def own_script(c: str) -> str:
     o = ord(c)
     if 0x370 <= o < 0x400 or 0x1F00 <= o < 0x2000:
         return "greek"
-    if 0x400 <= o < 0x530:
+    if 0x400 <= o < 0x530 or 0x1C80 <= o < 0x1C90:
         return "cyrillic"
+    if 0x530 <= o < 0x590:
+        return "armenian"
+    if 0x13A0 <= o < 0x1400 or 0xAB70 <= o < 0xABC0:
+        return "cherokee"
     return "latin"
 
 
@@ -67,6 +77,8 @@ def map_char(c: str) -> str:
         return c
     if c in RADICALS:
         return RADICALS[c]
+    if c in ARABIC_DOUBLES:
+        return ARABIC_DOUBLES[c]
     if c in HYPHENS:
         return "-"
     o, kind = ord(c), unicodedata.category(c)
@@ -95,31 +107,85 @@ class _Table(dict):
 
 
 _TABLE = _Table()
-_TOKEN = re.compile(r"(?:[A-Za-zªºÀ-ÖØ-öø-ʯͰ-ͳͶͷͻ-ͽΆΈ-ϿЀ-ҁҊ-ԯḀ-῿][̀-ͯ҃-҇]*)+")
-_FOREIGN = re.compile(r"[Ͱ-ͳͶͷͻ-ͽΆΈ-ϿЀ-ҁҊ-ԯἀ-῿]")
+_TOKEN = re.compile(r"(?:[A-Za-zªºÀ-ÖØ-öø-ʯͰ-ͳͶͷͻ-ͽΆΈ-ϿЀ-ҁҊ-ԯԱ-Ֆա-ևᎠ-ᏽᲀ-ᲈḀ-῿ꭰ-ꮿ][̀-ͯ҃-҇]*)+")
+_FOREIGN = re.compile(r"[Ͱ-ͳͶͷͻ-ͽΆΈ-ϿЀ-ҁҊ-ԯԱ-Ֆա-ևᎠ-ᏽᲀ-ᲈἀ-῿ꭰ-ꮿ]")
 
 
-@functools.lru_cache(1 << 16)
-def resolve_token(token: str) -> str:
-    """Spell a token in one script: intersect the script sets of its letters, take the first script left."""
+def scripts_of(token: str) -> set[str]:
+    """The scripts in which a whole token could be written, by its letters' shapes."""
     common = set(SCRIPT_ORDER)
     for c in token:
         if not unicodedata.combining(c):
-            common &= _LETTERS[c].keys() if c in _LETTERS else {_own_script(c)}
-    script = next((s for s in SCRIPT_ORDER if s in common), None)
-    return "".join((r.get(script) or next(iter(r.values()))) if (r := _LETTERS.get(c)) else c for c in token)
+            common &= LETTERS[c].keys() if c in LETTERS else {own_script(c)}
+    return common
+
+
+def spelled(token: str, order: tuple[str, ...]) -> str:
+    """A token in the first script of ``order`` that could write it; where none could, its ambiguous letters each in the
+    first script they allow."""
+    common = scripts_of(token)
+    script = next((s for s in order if s in common), None)
+    return "".join((r.get(script) or next(r[s] for s in order if s in r)) if (r := LETTERS.get(c)) else c for c in token)
+
+
+@functools.lru_cache(1 << 16)
+def resolve_token(token: str) -> str:
+    return spelled(token, SCRIPT_ORDER)
+
+
+def _mapped(text: str) -> str:
+    return unicodedata.normalize("NFC", text.translate(_TABLE))
 
 
 def consistent(text: str) -> str:
     """The consistent form of a text. Equal forms mean equal looks."""
     if text.isascii():
         return text
-    text = unicodedata.normalize("NFC", text.translate(_TABLE))
+    text = _mapped(text)
     if _FOREIGN.search(text):
         text = unicodedata.normalize("NFC", _TOKEN.sub(lambda m: resolve_token(m[0]), text))
     return text
 
 
+def script_order(text: str) -> tuple[str, ...]:
+    """``SCRIPT_ORDER`` with the script first that most letters of a mapped text have, counted over the tokens that one
+    script alone could write."""
+    n = dict.fromkeys(SCRIPT_ORDER, 0)
+    for m in _TOKEN.finditer(text):
+        if len(common := scripts_of(m[0])) == 1:
+            n[next(iter(common))] += len(m[0])
+    return tuple(sorted(SCRIPT_ORDER, key=lambda s: -n[s]))
+
+
+def resolved(text: str) -> str:
+    """The consistent form with ambiguous tokens in the text's own script, so words of a Russian text stay Cyrillic."""
+    if text.isascii():
+        return text
+    text = _mapped(text)
+    if _FOREIGN.search(text):
+        order = script_order(text)
+        text = unicodedata.normalize("NFC", _TOKEN.sub(lambda m: spelled(m[0], order), text))
+    return text
+
+
+def confusable_tokens(text: str) -> list[tuple[str, str, str]]:
+    """``(token, kind, spelling)`` of the tokens of a text whose stored letters mislead: "mixed" ones have letters of
+    several scripts, "whole_script" ones are written in one script where the text's own could write them."""
+    if text.isascii():
+        return []
+    mapped, out = _mapped(text), []
+    if _FOREIGN.search(mapped):
+        order = script_order(mapped)
+        for m in _TOKEN.finditer(mapped):
+            own = {own_script(c) for c in m[0] if not unicodedata.combining(c)}
+            to = spelled(m[0], order)
+            if len(own) > 1:
+                out.append((m[0], "mixed", to))
+            elif to != m[0]:
+                out.append((m[0], "whole_script", to))
+    return out
+
+
 # Whole batches: one array of code points with offsets. SINGLE holds the mapped code, GONE for invisible ones, or HARD
 # for characters that need the string path (several codes, composition, or a script that shares shapes).
 # LONE marks letters of those scripts that have no double: they are HARD only beside another letter.
@@ -146,8 +212,8 @@ def _luts() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         )
         if hard and unicodedata.combining(c) and len(to) == 1 and (0x900 <= code < 0x980 and code != 0x93C or 0xE00 <= code < 0xE80):
             hard = False  # vowel signs and tone marks that take part in no composition and have one order
-        lone = to == c and c not in _LETTERS and _FOREIGN.match(c) and unicodedata.normalize("NFC", c) == c
-        if len(to) > 1 and all(not unicodedata.combining(x) and not _FOREIGN.match(x) and x not in _LETTERS.keys() - {*"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"} and ord(x) not in range(0x1100, 0x1200) and unicodedata.normalize("NFC", x) == x for x in to):
+        lone = to == c and c not in LETTERS and _FOREIGN.match(c) and unicodedata.normalize("NFC", c) == c
+        if len(to) > 1 and all(not unicodedata.combining(x) and not _FOREIGN.match(x) and x not in LETTERS.keys() - {*"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"} and ord(x) not in range(0x1100, 0x1200) and unicodedata.normalize("NFC", x) == x for x in to):
             form[code] = MANY + len(spellings)
             spellings.append(to)
         else:
@@ -163,7 +229,7 @@ def _luts() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _in_token(codes: np.ndarray) -> np.ndarray:
-    return (codes >= 0x41) & (codes <= 0x5A) | (codes >= 0x61) & (codes <= 0x7A) | (codes >= 0xAA) & (codes < 0x530) | (codes >= 0x1E00) & (codes < 0x2000) | (codes >= 0xFB00) & (codes < 0xFB07) | (codes >= 0xFF21) & (codes < 0xFF5B)
+    return (codes >= 0x41) & (codes <= 0x5A) | (codes >= 0x61) & (codes <= 0x7A) | (codes >= 0xAA) & (codes < 0x590) | (codes >= 0x13A0) & (codes < 0x1400) | (codes >= 0x1C80) & (codes < 0x1C90) | (codes >= 0xAB70) & (codes < 0xABC0) | (codes >= 0x1E00) & (codes < 0x2000) | (codes >= 0xFB00) & (codes < 0xFB07) | (codes >= 0xFF21) & (codes < 0xFF5B)
 
 
 def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -208,6 +274,17 @@ def consistent_batch(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _compact(out, offsets)
 
 
+def resolved_batch(texts: list[str]) -> list[str]:
+    """``resolved`` for many texts; only those with letters of other scripts are gone through one by one."""
+    out = decode(*consistent_batch(texts))
+    hard = _luts()[0]
+    data, offsets = encode(texts)
+    at = np.flatnonzero((hard[data] == HARD) | (hard[data] == LONE))
+    for k in np.unique(np.searchsorted(offsets, at, "right") - 1).tolist():
+        out[k] = resolved(texts[k])
+    return out
+
+
 def letters_batch(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The consistent form, lower-cased, with all but letters, marks and digits removed; code points with offsets."""
     data, offsets = consistent_batch(texts)

@@ -1,8 +1,8 @@
 """Lines repeated across the documents of one source.
 
 Duplicate documents are collapsed into clusters first; a line is then counted over the distinct clusters that hold it,
-with the number of documents behind them and of their publication dates. A line that many copies of one article carry
-thus shows one cluster, a notice that every page carries shows many.
+and over their dates, and both decide. A line that many copies of one article carry thus shows one cluster, a notice that
+every page carries shows many; the documents behind the clusters come from the same count.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lodestrand.llm import forms
 
 _BLANKS, _DIGITS = re.compile(r"\s+"), re.compile(r"\d+")
-LEAST_CHARS, LEAST_SHARE, LEAST_DOCS = 12, 0.01, 5
+LEAST_CHARS, LEAST_SHARE, LEAST_DOCS, LEAST_CLUSTERS, LEAST_DAYS = 12, 0.01, 5, 5, 2
 
 
 def line_key(line: str, least_chars: int = LEAST_CHARS) -> str | None:
@@ -52,16 +52,25 @@ def keyed_lines(df: DataFrame, id_col: str, source_col: str, text_col: str, date
     return keyed.groupBy("k").agg(F.min(F.struct("source", "day", "cluster", "lines")).alias("r")).select("k", "r.*")
 
 
-def repeated_lines(docs: DataFrame, least_share: float = LEAST_SHARE, least_docs: int = LEAST_DOCS, least_clusters: int = 1) -> DataFrame:
-    """``(source, key, n_docs, n_clusters, n_days, n_source_docs)`` of the lines that stand in at least ``least_share``
-    of a source's documents, in ``least_docs`` documents and in ``least_clusters`` distinct clusters. ``docs`` comes
-    from ``keyed_lines``. Documents without a source form a source of their own (null)."""
+def line_counts(docs: DataFrame) -> DataFrame:
+    """``(source, key, n_docs, n_clusters, n_days)`` of every line of ``docs``, which comes from ``keyed_lines``. A
+    cluster counts with its first date; a cluster without a date is a date of its own, as nothing tells it from others."""
     per_cluster = docs.groupBy("source", "cluster").agg(F.count("*").alias("n"), F.min("lines").alias("lines"), F.min("day").alias("day"))
     per_line = per_cluster.select("source", "n", "day", F.explode(F.array_distinct(F.transform("lines", lambda x: x["key"]))).alias("key"))
-    counted = per_line.groupBy("source", "key").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_clusters"), F.approx_count_distinct("day", 0.02).alias("n_days"))
+    per_day = per_line.groupBy("source", "key", "day").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_clusters"))
+    days = F.sum(F.when(F.col("day").isNull(), F.col("n_clusters")).otherwise(1))
+    return per_day.groupBy("source", "key").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_clusters").alias("n_clusters"), days.alias("n_days"))
+
+
+def repeated_lines(docs: DataFrame, least_share: float = LEAST_SHARE, least_docs: int = LEAST_DOCS, least_clusters: int = LEAST_CLUSTERS, least_days: int = LEAST_DAYS) -> DataFrame:
+    """``(source, key, n_docs, n_clusters, n_days, n_source_docs)`` of the lines that stand in ``least_clusters`` distinct
+    clusters of a source, of ``least_days`` distinct dates. Then the documents behind the clusters are counted: they have
+    to be at least ``least_docs`` and ``least_share`` of the source's. However often one article is republished, its own
+    lines are in one cluster and stay. Documents without a source form a source of their own (null)."""
+    spread = line_counts(docs).where((F.col("n_clusters") >= least_clusters) & (F.col("n_days") >= least_days))
     totals = docs.groupBy("source").agg(F.count("*").alias("n_source_docs")).withColumnRenamed("source", "s")
-    joined = counted.where(F.col("n_docs") >= least_docs).join(totals, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    return joined.where((F.col("n_docs") >= least_share * F.col("n_source_docs")) & (F.col("n_clusters") >= least_clusters))
+    joined = spread.where(F.col("n_docs") >= least_docs).join(totals, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    return joined.where(F.col("n_docs") >= least_share * F.col("n_source_docs"))
 
 
 def found_lines(docs: DataFrame, repeated: DataFrame) -> DataFrame:

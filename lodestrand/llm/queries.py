@@ -47,10 +47,24 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.NearDuplicates(table(spark, d, "chunks"), 0.7).groups()
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
+def _form_keys(spark: SparkSession, d: str) -> DataFrame:
     chunks = looks.form_keys(table(spark, d, "chunks"), "chunk_id", "text").select(F.lit("chunk").alias("record_kind"), F.col("chunk_id").alias("id"), "form_key", "text_key")
     cases = looks.form_keys(table(spark, d, "eval_cases"), "case_id", "query").select(F.lit("query").alias("record_kind"), F.col("case_id").alias("id"), "form_key", "text_key")
-    return looks.same_looks(staged(chunks.union(cases), "forms"), "id", "record_kind")
+    return staged(chunks.union(cases), "forms")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return looks.same_looks(_form_keys(spark, d), "id", "record_kind")
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return looks.look_groups(_form_keys(spark, d), "id", "record_kind")
+
+
+def p5_confusables(spark: SparkSession, d: str) -> DataFrame:
+    chunks = looks.confusables(table(spark, d, "chunks"), "chunk_id", "text").select(F.lit("chunk").alias("record_kind"), F.col("chunk_id").alias("id"), "token", "kind", "spelling", "n")
+    cases = looks.confusables(table(spark, d, "eval_cases"), "case_id", "query").select(F.lit("query").alias("record_kind"), F.col("case_id").alias("id"), "token", "kind", "spelling", "n")
+    return chunks.union(cases)
 
 
 def p5_forms(spark: SparkSession, d: str) -> DataFrame:
@@ -85,13 +99,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_lines(spark: SparkSession, d: str) -> DataFrame:
-    return lines.repeated_lines(_chunk_lines(spark, d), least_clusters=lines.LEAST_DOCS).withColumnRenamed("source", "source_type")
+    return lines.repeated_lines(_chunk_lines(spark, d)).withColumnRenamed("source", "source_type")
 
 
 def p7_cleaned(spark: SparkSession, d: str) -> DataFrame:
     docs = _chunk_lines(spark, d)
-    found = lines.found_lines(docs, lines.repeated_lines(docs, least_clusters=lines.LEAST_DOCS))
-    return lines.without_lines(table(spark, d, "chunks"), found, "chunk_id", "text")
+    return lines.without_lines(table(spark, d, "chunks"), lines.found_lines(docs, lines.repeated_lines(docs)), "chunk_id", "text")
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:

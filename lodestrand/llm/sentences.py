@@ -90,6 +90,7 @@ def abbreviations() -> Trie:
     for kind, words in ((1, re.findall(r"(?:\w\. )+\w+|\S+", NEVER_LAST)), (2, MAYBE_LAST.split())):
         for word in words:
             trie.add(word, kind)
+            trie.add("".join(forms.LETTERS.get(c, {}).get("latin", c) for c in word), kind)  # as its shape is spelled
     return trie
 
 
@@ -276,7 +277,7 @@ def _shape_lut() -> np.ndarray:
     codes = np.arange(len(form), dtype=np.uint32)
     keep = (form >= forms.MANY) & (form != forms.GONE)
     form[keep] = codes[keep]
-    for c, row in forms._LETTERS.items():
+    for c, row in forms.LETTERS.items():
         if "latin" in row:
             form[ord(c)] = ord(row["latin"])
     return form

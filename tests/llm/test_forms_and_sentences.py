@@ -142,3 +142,29 @@ def test_long_texts_are_cut_in_linear_time():
     assert time.perf_counter() - began < 20 and max(b - a for a, b in got) <= 420
     assert len(got) < 1.15 * len(text) / 360
     assert all(b[0] == a[1] - 60 for a, b in zip(got, got[1:]))
+
+
+def test_text_decides_the_script_of_ambiguous_words():
+    assert forms.resolved("Наш ресурс, рост и опыт") == "Наш ресурс, рост и опыт"
+    assert forms.resolved("Наш pecypc, рост и опыт") == "Наш ресурс, рост и опыт"  # Latin letters in a Russian text
+    assert forms.resolved("Our ресурс and раss") == "Our pecypc and pass"
+    assert forms.resolved("Բարի օր") == "Բարի օր" and forms.consistent("Ꭺпtоn") == forms.consistent("Aпton")
+    assert forms.resolved_batch(["Наш ресурс", "ascii", "Ｗide", "Оur"]) == ["Наш ресурс", "ascii", "Wide", "Our"]
+    assert forms.consistent("کی") == forms.consistent("كى")
+    assert forms.confusable_tokens("Наш pecypc") == [("pecypc", "whole_script", "ресурс")]
+    assert forms.confusable_tokens("Our раss") == [("раss", "mixed", "pass")]
+    assert forms.confusable_tokens("plain text") == forms.confusable_tokens("Наш ресурс") == []
+
+
+def test_confusables_table(spark):
+    rows = [("a", "Our ресурс ресурс", "x"), ("a", "Our ресурс ресурс", "y"), ("b", "plain", ""), ("c", None, ""), (None, "раss", ""), ("d", "", "")]
+    df = spark.createDataFrame(rows, "id string, text string, token string")
+    assert [tuple(r) for r in looks.confusables(df, "id", "text").collect()] == [("a", "ресурс", "whole_script", "pecypc", 2)]
+    assert looks.confusables(df.limit(0), "id", "text").count() == 0
+
+
+def test_many_records_of_two_spellings(spark):
+    rows = [("x", f"a{i}", b"f", b"t1") for i in range(30)] + [("x", f"b{i}", b"f", b"t2") for i in range(20)] + [("x", "c", b"g", b"t3")]
+    keys = spark.createDataFrame(rows, "kind string, id string, form_key binary, text_key binary")
+    assert looks.spelling_pairs(keys, "kind").count() == 1 and looks.same_looks(keys, "id", "kind").count() == 600
+    assert {r.n_spellings for r in looks.look_groups(keys, "id", "kind").collect()} == {2} and looks.look_groups(keys, "id", "kind").count() == 50

@@ -242,7 +242,7 @@ def test_repeated_lines_equal_brute_force(spark):
     rows += [rows[0], ("null", "a", None, ""), (None, "a", notice, ""), ("nosource", None, notice, ""), ("void", "a", "", "")]
     df = spark.createDataFrame(rows, "chunk_id string, source_type string, text string, lines string")
     docs = lines.keyed_lines(df, "chunk_id", "source_type", "text")
-    got = {(r.k, r.line_no) for r in lines.found_lines(docs, lines.repeated_lines(docs)).collect()}
+    got = {(r.k, r.line_no) for r in lines.found_lines(docs, lines.repeated_lines(docs, least_clusters=1, least_days=1)).collect()}
     by = {r[0]: r for r in rows if r[0] and r[2] is not None}
     keys = {k: [lines.line_key(forms.consistent(x)) for x in r[2].split("\n")] for k, r in by.items()}
     want = set()
@@ -253,7 +253,7 @@ def test_repeated_lines_equal_brute_force(spark):
             if n >= 5 and n >= 0.01 * len(same):
                 want.add((k, no))
     assert got == want and want
-    spread = lines.repeated_lines(docs, least_clusters=5)
+    spread = lines.repeated_lines(docs)
     assert {r.source for r in spread.collect()} == {"a"}  # copies of one article are no boilerplate
     cleaned = {r.chunk_id: r for r in lines.without_lines(df, lines.found_lines(docs, spread), "chunk_id", "text").collect()}
     assert cleaned["k000"].n_removed == 1 and "Share this page" not in cleaned["k000"].text and cleaned["k001"].text == by["k001"][2]
@@ -266,3 +266,16 @@ def test_repeated_dates_and_phone_lines_are_found(spark):
     docs = lines.keyed_lines(spark.createDataFrame(rows, "chunk_id string, source_type string, text string"), "chunk_id", "source_type", "text")
     got = {(r.k, r.line_no) for r in lines.found_lines(docs, lines.repeated_lines(docs)).collect()}
     assert got == {(f"c{i}", n) for i in range(8) for n in (2, 3)}  # the last line has 10 characters only
+
+
+def test_republished_articles_keep_their_lines(spark):
+    """One article in 1,000 copies, a notice of one day, and a notice of several days."""
+    rows = [(f"r{i}", "a", "The article says this in its first line\nAnd that in its second one", f"2024-01-{i % 28 + 1:02}") for i in range(1000)]
+    rows += [(f"n{i}", "a", f"Text number {chr(97 + i % 26)}{chr(97 + i // 26)} is its own\nSubscribe to our newsletter today", f"2024-02-{i % 5 + 1:02}") for i in range(60)]
+    rows += [(f"o{i}", "a", f"Story {chr(97 + i % 26)}{chr(97 + i // 26)} stands alone here\nLive from the fair of Saturday", "2024-03-01") for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, source string, text string, day string")
+    docs = lines.keyed_lines(df, "k", "source", "text", F.col("day"))
+    got = lines.repeated_lines(docs).collect()
+    assert [(r.n_docs, r.n_clusters, r.n_days, r.n_source_docs) for r in got] == [(60, 60, 5, 1120)]
+    cleaned = {r.k: r for r in lines.without_lines(df, lines.found_lines(docs, lines.repeated_lines(docs)), "k", "text").collect()}
+    assert cleaned["r7"].n_removed == cleaned["o3"].n_removed == 0 and cleaned["n3"].text == "Text number da is its own"
