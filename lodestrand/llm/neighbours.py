@@ -34,8 +34,8 @@ class Settings:
     sample_rows: int = 16_000
     rows_per_part: int = 2_048
     least_sample_per_part: int = 32
-    probes: int = 6
-    mass: float = 0.995
+    probes: int = 4
+    mass: float = 0.98
     block_rows: int = 8_192
     graph_degree: int = 10
     epochs: int = 12
