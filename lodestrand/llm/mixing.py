@@ -15,10 +15,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm.samples import least_hashes
+from lodestrand.llm.samples import least_hashes_per_label
 from lodestrand.llm.tokens import TOKENIZER, token_ids
 from lodestrand.session import staged
 
@@ -69,8 +69,9 @@ def _hashed(text: str) -> list[int]:
     return [xxhash.xxh3_64_intdigest(w) % BUCKETS for w in set(_WORD.findall(text.lower()))]
 
 
-def learn(ids: list[list[int]], columns: list[str], labels: list[str], domains: list[str]) -> Classifier:
-    """A classifier from labelled rows; rows whose label is no domain are left out."""
+def learn(ids: list[list[int]], columns: list[str], labels: list[str], domains: list[str], counts: dict[str, int] | None = None) -> Classifier:
+    """A classifier from labelled rows; rows whose label is no domain are left out. ``counts`` are the rows of each label
+    in the whole table, if ``labels`` is a sample that has them in other proportions."""
     at = {s: j for j, s in enumerate(domains)}
     n = np.zeros(len(domains))
     text, words = np.full((BUCKETS, len(domains)), 0.5), np.full((BUCKETS, len(domains)), 0.05)
@@ -79,7 +80,8 @@ def learn(ids: list[list[int]], columns: list[str], labels: list[str], domains:
             n[j] += 1
             np.add.at(text[:, j], (np.asarray(ids[i], np.int64) * 2654435761 >> 7) % BUCKETS, 1)
             words[_hashed(columns[i]), j] += 1
-    return Classifier(domains, np.log((n + 1) / (n.sum() + len(domains))), np.log(text / text.sum(0)).astype(np.float32), np.log(words / (n + 0.1)).astype(np.float32))
+    held = n if counts is None else np.array([counts.get(s, 0) for s in domains], float)
+    return Classifier(domains, np.log((held + 1) / (held.sum() + len(domains))), np.log(text / text.sum(0)).astype(np.float32), np.log(words / (n + 0.1)).astype(np.float32))
 
 
 def _steps(post: np.ndarray, cap: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
@@ -94,8 +96,10 @@ def memberships(df: DataFrame, targets: dict[str, tuple[float, int]], id_col: st
     """``(k, label, n_tokens, post)`` for every document."""
     domains = sorted(targets)
     rows = df.select(F.col(id_col).alias("k"), F.col(label_col).alias("label"), F.coalesce(F.concat_ws(" ", *column_cols), F.lit("")).alias("c"), F.col(text_col).alias("t")).where("k is not null and t is not null")
-    picked = least_hashes(rows.where(F.col("label").isin(domains)), df.count(), sample_rows).toPandas()
-    model = learn(token_ids(picked["t"].tolist(), tokenizer), picked["c"].tolist(), picked["label"].tolist(), domains)
+    labelled = rows.where(F.col("label").isin(domains)).groupBy("label").agg(F.count("*").alias("n"))
+    counts = {r.label: r.n for r in labelled.collect()}  # one row a domain
+    picked = least_hashes_per_label(rows, counts, sample_rows).toPandas() if counts else rows.limit(0).toPandas()
+    model = learn(token_ids(picked["t"].tolist(), tokenizer), picked["c"].tolist(), picked["label"].tolist(), domains, counts)
     shared = df.sparkSession.sparkContext.broadcast(model)  # buckets x domains numbers
     kind = rows.schema["k"].dataType.simpleString()
 
@@ -120,17 +124,29 @@ def mix(df: DataFrame, targets_df: DataFrame, total_tokens: int | None = None, i
     ``max_repeats`` times each, and stays below its share; the others keep theirs, so the mix is smaller than the total
     by what is short. Null ids and texts take no part; documents without a source are mixed by their posterior; sources
     without a target stay out; an id's repeated rows count once."""
-    return mix_and_supply(df, targets_df, total_tokens, id_col, text_col, source_col, column_cols, label_trust, tokenizer, sample_rows, steps, tolerance)[0]
+    return fitted_mix(df, targets_df, total_tokens, id_col, text_col, source_col, column_cols, label_trust, tokenizer, sample_rows, steps, tolerance).documents
 
 
-def mix_and_supply(df: DataFrame, targets_df: DataFrame, total_tokens: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", column_cols: tuple[str, ...] = ("source_path", "source_type", "lang"), label_trust: float = 0.9, tokenizer: str = TOKENIZER, sample_rows: int = SAMPLE_ROWS, steps: int = 12, tolerance: float = 1e-4) -> tuple[DataFrame, dict[str, int]]:
-    """What ``mix`` gives, and the tokens that each targeted source has in ``df``."""
+@dataclass(frozen=True)
+class Mix:
+    """A mix with what is needed to judge it."""
+
+    documents: DataFrame  # what ``mix`` gives
+    supply: dict[str, int]  # the tokens that each targeted source has
+    goals: dict[str, float]  # the tokens that each was to get: its share of the total, or all its repeats if they are less
+    residuals: list[dict[str, float]]  # before each step, and after the last: goal less expected tokens, of each domain
+    expected: dict[str, float]  # the expected tokens of each domain at the final repeats, by the posteriors
+
+
+def fitted_mix(df: DataFrame, targets_df: DataFrame, total_tokens: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", column_cols: tuple[str, ...] = ("source_path", "source_type", "lang"), label_trust: float = 0.9, tokenizer: str = TOKENIZER, sample_rows: int = SAMPLE_ROWS, steps: int = 12, tolerance: float = 1e-4, report: bool = False) -> Mix:
+    """What ``mix`` gives, with its supply, goals and residuals; with ``report`` also the expected totals."""
     found = targets_df.where("source is not null and target_share > 0").groupBy("source").agg(F.max("target_share").alias("s"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("m")).collect()
     targets = {r.source: (float(r.s), int(r.m)) for r in found}
     domains = sorted(targets)
     kind = df.schema[id_col].dataType.simpleString()
     if not domains:
-        return df.select(F.col(id_col), F.col(source_col), F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("rate"), F.lit(0).alias("repeats")).limit(0), {}
+        nothing = df.select(F.col(id_col), F.col(source_col), F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("rate"), F.lit(0).alias("repeats")).limit(0)
+        return Mix(nothing, {}, {}, [], {})
     rows = staged(memberships(df, targets, id_col, text_col, source_col, list(column_cols), label_trust, tokenizer, sample_rows), "memberships")
     share, most = np.array([targets[s][0] for s in domains]), np.array([targets[s][1] for s in domains])
 
@@ -168,15 +184,14 @@ def mix_and_supply(df: DataFrame, targets_df: DataFrame, total_tokens: int | Non
     short = goal >= held_tokens * most
     goal = np.minimum(goal, held_tokens * most)
     history: list[np.ndarray] = []
-    for _ in range(steps):
-        now, *_ = totals(history)
-        residual = (goal - now) / np.maximum(supply, 1e-9)
-        if not len(history) or np.abs(goal - now).max() > tolerance * max(total, 1):
-            history.append(residual)
-        else:
+    residuals = []
+    for step in range(steps + 1):
+        now, _, got, _ = totals(history)
+        residuals.append(goal - now)
+        if step == steps or history and np.abs(residuals[-1]).max() <= tolerance * max(total, 1):
             break
-    # what a domain expects of other sources' documents is not counted in its share, so its own make up for it
-    got = totals(history)[2]
+        history.append(residuals[-1] / np.maximum(supply, 1e-9))
+    # the posteriors give a domain part of other sources' documents; the shares are stated by source, so its own make up for it
     scale = np.where(got > 0, goal / np.maximum(got, 1e-9), 1.0)
 
     def rates(batches):
@@ -207,25 +222,48 @@ def mix_and_supply(df: DataFrame, targets_df: DataFrame, total_tokens: int | Non
         cut[s] = bins[best - 1][0] + 1 if best else 0
     threshold = F.element_at(F.create_map(*(F.lit(x) for s in domains for x in (s, int(cut[s])))), F.col("domain"))
     repeats = F.col("whole") + F.when(F.col("bin") < threshold, 1).otherwise(0)
-    out = rated.select(F.col("k").alias(id_col), F.col("domain").alias(source_col), "n_tokens", "rate", repeats.cast("int").alias("repeats"))
-    return out.where("repeats > 0"), {s: round(held_tokens[j]) for j, s in enumerate(domains)}
-
+    out = rated.withColumn("repeats", repeats.cast("int")).where("repeats > 0")
 
-def shares(mixed: DataFrame, targets_df: DataFrame, source_col: str = "source", supply: dict[str, int] | None = None) -> DataFrame:
-    """``(source_col, target_share, max_repeats, n_docs, n_tokens, actual_share, most_repeats)``: what each source got.
-    With ``supply``, the tokens that each source has, also ``n_source_tokens`` and ``used_share``: the part of them
-    that is in the mix, however often; ``corpus_used_share`` is the same over all targeted sources."""
-    own = mixed.groupBy(source_col).agg(F.count("*").alias("n_docs"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("n_tokens"), F.max("repeats").alias("most_repeats"), F.sum("n_tokens").alias("once"))
-    total = own.agg(F.sum("n_tokens").alias("total"))
+    def expected(batches):
+        for batch in batches:
+            if len(batch):
+                post = batch.column(1).flatten().to_numpy().reshape(-1, len(domains)).astype(np.float64)
+                yield pa.record_batch([pa.array(np.arange(len(domains), dtype=np.int32)), pa.array(batch.column(0).to_numpy().astype(np.float64) @ post)], ["i", "x"])
+
+    taken = out.select("k", (F.col("n_tokens") * F.col("repeats")).alias("n")).join(rows.select("k", "post"), "k")
+    sums = taken.select("n", "post").mapInArrow(expected, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")) if report else None
+    by_domain = {r.i: r.x for r in sums.collect()} if report else {}  # one row a domain
+    named = lambda x: {s: float(x[j]) for j, s in enumerate(domains)}
+    documents = out.select(F.col("k").alias(id_col), F.col("domain").alias(source_col), "n_tokens", "rate", "repeats")
+    return Mix(documents, {s: round(held_tokens[j]) for j, s in enumerate(domains)}, named(goal), [named(r) for r in residuals], {s: by_domain.get(j, 0.0) for j, s in enumerate(domains)} if report else {})
+
+
+def fit_report(spark: SparkSession, found: Mix) -> DataFrame:
+    """``(step, source, residual_share)``: what each domain lacked of its goal, as a part of all goals, before each step
+    and after the last one."""
+    total = max(1.0, sum(found.goals.values()))
+    rows = [(step, s, x / total) for step, of in enumerate(found.residuals) for s, x in of.items()]
+    return spark.createDataFrame(rows, "step int, source string, residual_share double")
+
+
+def shares(found: Mix, targets_df: DataFrame, source_col: str = "source") -> DataFrame:
+    """What each source got: ``(source_col, target_share, max_repeats, n_docs, n_tokens, actual_share, most_repeats,
+    n_source_tokens, used_share, corpus_used_share, goal_tokens, expected_tokens, expected_share, residual_tokens)``.
+
+    ``used_share`` is the part of the source's tokens that is in the mix, however often, ``corpus_used_share`` the same
+    over all targeted sources; ``expected_tokens`` are the domain's by the posteriors of all documents in the mix (null
+    unless the mix was made with ``report``), ``residual_tokens`` the goal less the tokens that the source got."""
+    own = found.documents.groupBy(source_col).agg(F.count("*").alias("n_docs"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("n_tokens"), F.max("repeats").alias("most_repeats"), F.sum("n_tokens").alias("once"))
+    whole = own.agg(F.sum("n_tokens").alias("total"), F.sum("once").alias("once_total"))
     goal = targets_df.where("source is not null").select(F.col("source").alias(source_col), "target_share", "max_repeats")
-    rows = goal.join(own, source_col, "left").join(F.broadcast(total))  # one row
-    out = rows.select(source_col, "target_share", "max_repeats", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce(F.col("n_tokens") / F.col("total"), F.lit(0.0)).alias("actual_share"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"))
-    if supply is None:
-        return out
-    has = F.create_map(*(F.lit(x) for pair in supply.items() for x in pair)) if supply else F.create_map().cast("map<string,bigint>")
-    used = own.select(F.col(source_col).alias("s"), "once")
-    everything = used.agg((F.sum("once") / F.lit(max(1, sum(supply.values())))).alias("corpus_used_share"))
-    out = out.join(used, F.col(source_col) == F.col("s"), "left").drop("s").join(F.broadcast(everything))  # one row
-    n = F.coalesce(F.try_element_at(has, F.col(source_col)).cast("long"), F.lit(0).cast("long"))
-    used_share = F.when(n > 0, F.coalesce("once", F.lit(0)) / n).otherwise(0.0)
-    return out.select(*(c for c in out.columns if c not in ("once", "corpus_used_share")), n.alias("n_source_tokens"), used_share.alias("used_share"), F.coalesce("corpus_used_share", F.lit(0.0)).alias("corpus_used_share"))
+    rows = goal.join(own, source_col, "left").join(F.broadcast(whole))  # one row
+    of = lambda d: F.try_element_at(F.create_map(*(F.lit(x) for pair in d.items() for x in pair)) if d else F.create_map().cast("map<string,double>"), F.col(source_col))
+    zero = F.lit(0).cast("long")
+    n, has = F.coalesce("n_tokens", zero), F.coalesce(of(found.supply).cast("long"), zero)
+    expected = of(found.expected).cast("double")
+    return rows.select(
+        source_col, "target_share", "max_repeats", F.coalesce("n_docs", zero).alias("n_docs"), n.alias("n_tokens"), F.coalesce(F.col("n_tokens") / F.col("total"), F.lit(0.0)).alias("actual_share"),
+        F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), has.alias("n_source_tokens"), F.when(has > 0, F.coalesce("once", zero) / has).otherwise(0.0).alias("used_share"),
+        F.coalesce(F.col("once_total") / F.lit(max(1, sum(found.supply.values()))), F.lit(0.0)).alias("corpus_used_share"), F.coalesce(of(found.goals).cast("double"), F.lit(0.0)).alias("goal_tokens"),
+        expected.alias("expected_tokens"), (expected / F.col("total")).alias("expected_share"), (F.coalesce(of(found.goals).cast("double"), F.lit(0.0)) - n).alias("residual_tokens"),
+    )

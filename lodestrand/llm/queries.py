@@ -121,8 +121,11 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     targets = table(spark, d, "mix_targets")
-    mixed, supply = mixing.mix_and_supply(table(spark, d, "documents"), targets)
-    return mixing.shares(mixed, targets, supply=supply)
+    return mixing.shares(mixing.fitted_mix(table(spark, d, "documents"), targets, report=True), targets)
+
+
+def p9_fit(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.fit_report(spark, mixing.fitted_mix(table(spark, d, "documents"), table(spark, d, "mix_targets")))
 
 
 def p10_restored(spark: SparkSession, d: str) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from lodestrand.llm import garbled, mixing, packing, tokens
+from lodestrand.llm import garbled, mixing, packing, samples, tokens
 
 
 def test_packing_bounds_hold():
@@ -76,8 +76,8 @@ def sources(spark):
 @pytest.mark.parametrize("total", [None, 20_000])
 def test_mix_meets_shares(spark, sources, total):
     docs, targets = sources
-    mixed = mixing.mix(docs, targets, total)
-    rows = mixed.collect()
+    mixed = mixing.fitted_mix(docs, targets, total, report=True)
+    rows = mixed.documents.collect()
     assert len({r.doc_id for r in rows}) == len(rows) and {r.source for r in rows} <= set("abcd")
     cap = {"a": 1, "b": 2, "c": 3, "d": 4}
     assert all(1 <= r.repeats <= cap[r.source] for r in rows)
@@ -85,6 +85,13 @@ def test_mix_meets_shares(spark, sources, total):
     goal = {"a": 0.4, "b": 0.2, "c": 0.2, "d": 0.2}
     assert all(abs(got[s].actual_share - goal[s]) < 0.02 for s in goal)
     assert got["none"].actual_share == 0.0
+    n = sum(r.n_tokens * r.repeats for r in rows)
+    assert all(abs(got[s].residual_tokens) <= 0.02 * n and abs(got[s].expected_share - goal[s]) < 0.1 for s in goal)
+    assert abs(sum(got[s].expected_tokens for s in goal) - n) < 1e-3 * n
+    lacking = {}
+    for r in mixing.fit_report(spark, mixed).collect():
+        lacking[r.step] = max(lacking.get(r.step, 0), abs(r.residual_share))
+    assert lacking[max(lacking)] < 0.1 * lacking[0]
 
 
 def test_scarce_source_does_not_shrink_the_mix(spark):
@@ -92,9 +99,9 @@ def test_scarce_source_does_not_shrink_the_mix(spark):
     rows += [(1001 + i, f"dword{i} " * 30, "d") for i in range(6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'' as source_path", "'' as source_type", "'' as lang")
     targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.35, 1), ("c", 0.1, 1), ("d", 0.15, 20)], "source string, target_share double, max_repeats int")
-    mixed, supply = mixing.mix_and_supply(docs, targets)
-    got = {r.source: r for r in mixing.shares(mixed, targets, supply=supply).collect()}
-    total = sum(supply.values())
+    mixed = mixing.fitted_mix(docs, targets)
+    got = {r.source: r for r in mixing.shares(mixed, targets).collect()}
+    total = sum(mixed.supply.values())
     assert all(abs(got[s].n_tokens - share * total) < 0.02 * total for s, share in (("a", 0.4), ("b", 0.35), ("d", 0.15)))
     assert got["c"].n_docs == 1 and got["c"].most_repeats == 1 and 0 < got["c"].actual_share < 0.01
     assert got["d"].n_docs == 6 and 1 < got["d"].most_repeats <= 20 and got["d"].used_share == 1
@@ -107,6 +114,15 @@ def test_mix_of_nothing(spark, sources):
     docs, targets = sources
     assert mixing.mix(docs.limit(0), targets).count() == 0
     assert mixing.mix(docs, targets.limit(0)).count() == 0
+    assert mixing.shares(mixing.fitted_mix(docs, targets.limit(0)), targets).count() == 5
+
+
+def test_few_labels_fill_the_sample(spark):
+    """Of 20,000 rows 1 % are labelled, one of the labels rarely: the sample takes its bound of each."""
+    rows = [(i, "t", "c", None if i % 100 else "rare" if i % 2000 == 0 else "common") for i in range(20_000)]
+    df = spark.createDataFrame(rows, "k long, t string, c string, label string")
+    picked = [r.label for r in samples.least_hashes_per_label(df, {"rare": 10, "common": 190}, 100).collect()]
+    assert picked.count("rare") == 10 and picked.count("common") == 50
 
 
 def test_classifier_on_held_out_rows():
@@ -171,3 +187,22 @@ def test_languages_that_the_sample_lacks_are_found(spark):
     assert all(r.k < 1000 for r in picked)
     got = {r.doc_id: r.restored for r in garbled.restore(df, sample_rows=12).collect()}
     assert got == {1510: f"x {rare} y", 1511: f"x {rare} y"}
+
+
+@pytest.mark.parametrize("wrong", ["latin-1", "cp1252"])
+@pytest.mark.parametrize("text", ["Η εταιρεία ψάχνει μηχανικούς λογισμικού", "Компания ищет инженеров", "会社はエンジニアを探しています", "Zażółć gęślą jaźń, inżynier"])
+def test_an_english_sample_suffices_for_other_scripts(text, wrong):
+    english = [f"Plain English text number {i} about jobs." for i in range(500)]
+    model = garbled.Model(english, garbled.text_counts(english))
+    bad = "x " + "".join(map(garbled.byte_table(wrong).__getitem__, text.encode()))
+    out, end = [], 0
+    for _, a, b, _, fixed in model.spans([bad]):
+        out += [bad[end:a], fixed or bad[a:b]]
+        end = b
+    assert "".join(out) + bad[end:] == "x " + text
+
+
+def test_two_encodings_in_one_run(model):
+    first, second = "für Größe".encode().decode("latin-1"), "省调用费用".encode().decode("cp1252", "ignore")
+    spans = model.spans([first + second + " plain"])
+    assert spans and spans[0][1] <= first.index("Ã")
