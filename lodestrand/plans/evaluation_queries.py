@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrand.functions import text as T
-from lodestrand.operators import context, graph, metrics, routing
+from lodestrand.operators import context, dense, graph, metrics, routing
 from lodestrand.plans.registry import CASES, CHUNKS, cases, chunks, query, searches
 from lodestrand.plans.retrieval_queries import BM25, DENSE, FUSED, ranked, bm25_hits, dense_hits, fused_hits
 from lodestrand.plans.text_queries import MATCH, SQUEEZED
-from lodestrand.session import table
+from lodestrand.session import once, table
 
 HITS5 = f"{BM25}, h5 AS {ranked('bs', 5, 'source_type, chunk_id')}"
 METRICS = """lb2 AS (SELECT query_id, unnest(list_distinct(relevant_chunk_ids)) AS chunk_id FROM se),
@@ -111,38 +111,19 @@ def i4(spark, d):
     return routing.anchored(q, anchors)
 
 
-CENTROID = f"{DENSE}, pt AS (SELECT grp, chunk_id, source_type, unit FROM un WHERE TRY_CAST(split_part(chunk_id, '-', 2) AS BIGINT) % 100 = 50), sc AS (SELECT q.query_id, p.source_type AS intent, max(list_inner_product(q.unit, p.unit)) AS score FROM dq q JOIN pt p ON q.grp = p.grp GROUP BY q.query_id, p.source_type), sm AS (SELECT query_id, intent, score, score - lead(score, 1, 0.0) OVER w AS margin, row_number() OVER w AS n FROM sc WINDOW w AS (PARTITION BY query_id ORDER BY round(score, 9) DESC, intent))"
+CENTROID = f"{DENSE}, sc AS (SELECT query_id, source_type AS intent, max(score) AS score FROM ds GROUP BY query_id, source_type), sm AS (SELECT query_id, intent, score, score - lead(score, 1, 0.0) OVER w AS margin, row_number() OVER w AS n FROM sc WINDOW w AS (PARTITION BY query_id ORDER BY round(score, 9) DESC, intent))"
 
 
 def semantic(spark, d):
-    from lodestrand.functions.vectors import dot
-    from lodestrand.operators import dense
-
-    v = dense.usable(table(spark, d, "chunk_vectors"), 64).select("embedding_version", "chunk_id", "source_type", "unit")
-    number = F.expr("try_cast(split_part(chunk_id, '-', 2) as bigint) % 100")
-    p = v.where(number == 50).select("embedding_version", F.col("source_type").alias("intent"), F.col("unit").alias("prototype"))
-    q = v.where(number == 0).select("embedding_version", F.col("chunk_id").alias("query_id"), "unit")
-    scores = q.join(p, "embedding_version").select("query_id", "intent", dot(F.col("unit"), F.col("prototype")).alias("score"))
-    return routing.semantic_routes(scores)
-
-
-@query("i2_semantic_routes", f"WITH {CENTROID} SELECT query_id, CASE WHEN round(score, 9) >= 0.45 AND round(margin, 9) >= 0.02 THEN intent ELSE 'unknown' END AS intent, round(score, 6) AS score, round(margin, 6) AS margin FROM sm WHERE n = 1")
-def i2(spark, d):
-    return semantic(spark, d).select("query_id", "intent", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"))
-
-
-def semantic_all(spark, d):
-    """As ``semantic``, with every vector but the search itself as a prototype."""
-    from lodestrand.operators import dense
-
+    """The searches against every vector but themselves as a prototype of its source type."""
     v = dense.usable(table(spark, d, "chunk_vectors"), 64).select(F.col("embedding_version").alias("grp"), "chunk_id", "source_type", "unit")
     q = v.where("try_cast(split_part(chunk_id, '-', 2) as bigint) % 100 = 0").select("grp", F.col("chunk_id").alias("query_id"), "unit")
     return routing.semantic_routes(dense.best_by_source(q, v).withColumnRenamed("source_type", "intent"))
 
 
-@query("i2_semantic_routes_all")
-def i2_all(spark, d):
-    return semantic_all(spark, d).select("query_id", "intent", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"))
+@query("i2_semantic_routes", f"WITH {CENTROID} SELECT query_id, CASE WHEN round(score, 9) >= 0.45 AND round(margin, 9) >= 0.02 THEN intent ELSE 'unknown' END AS intent, round(score, 6) AS score, round(margin, 6) AS margin FROM sm WHERE n = 1")
+def i2(spark, d):
+    return semantic(spark, d).select("query_id", "intent", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"))
 
 
 EVIDENCE = f"{FUSED}, h5 AS (SELECT f.*, ch.source_type FROM {ranked('fu', 5, 'chunk_id')} f JOIN ch USING (chunk_id)), ev AS (SELECT se.query_id, se.expected_intent, coalesce(se.expected_sources, []) AS sources, count(h5.chunk_id) AS n, max(h5.score) AS top_score, list_distinct(list(h5.source_type)) AS got FROM se LEFT JOIN h5 USING (query_id) GROUP BY ALL)".replace("GROUP BY ALL", "GROUP BY se.query_id, se.expected_intent, coalesce(se.expected_sources, [])")
@@ -245,28 +226,31 @@ nd AS (SELECT node_id, node_type, min(name) AS name, list_sort(list_distinct(lis
 aj AS (SELECT source_node_id AS node, target_node_id AS next, edge_id, edge_type FROM eg UNION ALL SELECT target_node_id, source_node_id, edge_id, edge_type FROM eg WHERE source_node_id <> target_node_id)"""
 
 
-def built(spark, d):
-    catalogue = spark.createDataFrame(CATALOGUE, "name string, node_type string, aliases array<string>")
-    nodes, edges = graph.extract(chunks(spark, d), catalogue)
-    return nodes, edges, catalogue
+def catalogue(spark):
+    return spark.createDataFrame(CATALOGUE, "name string, node_type string, aliases array<string>")
+
+
+def built(spark, d) -> graph.Graph:
+    """The graph of the chunks, extracted once an application."""
+    return once(table(spark, d, "chunks"), "graph", lambda: graph.kept(graph.extract(chunks(spark, d), catalogue(spark))))
 
 
-@query("f5_graph_nodes", f"WITH {GRAPH} SELECT node_id, node_type, name, len(chunk_ids) AS n_chunks, sha256(array_to_string(chunk_ids, ',')) AS chunks_hash FROM nd")
+@query("f5_graph_nodes", f"WITH {GRAPH} SELECT node_id, node_type, name, len(chunk_ids) AS n_chunks, list_min(chunk_ids) AS first_chunk, list_max(chunk_ids) AS last_chunk FROM nd")
 def f5(spark, d):
-    nodes, _, _ = built(spark, d)
-    return nodes.select("node_id", "node_type", "name", F.size("chunk_ids").cast("long").alias("n_chunks"), F.sha2(F.array_join("chunk_ids", ","), 256).alias("chunks_hash"))
+    g = built(spark, d)
+    held = g.node_chunks.groupBy("node_id").agg(F.count("*").alias("n_chunks"), F.min("chunk_id").alias("first_chunk"), F.max("chunk_id").alias("last_chunk"))
+    return g.nodes.join(held, "node_id").select("node_id", "node_type", "name", "n_chunks", "first_chunk", "last_chunk")
 
 
 @query("f6_graph_edges", f"WITH {GRAPH} SELECT edge_id, edge_type, source_node_id, target_node_id, len(chunk_ids) AS n_chunks FROM eg")
 def f6(spark, d):
-    _, edges, _ = built(spark, d)
-    return edges.select("edge_id", "edge_type", "source_node_id", "target_node_id", F.size("chunk_ids").cast("long").alias("n_chunks"))
+    g = built(spark, d)
+    return g.edges.join(g.edge_chunks.groupBy("edge_id").agg(F.count("*").alias("n_chunks")), "edge_id").select("edge_id", "edge_type", "source_node_id", "target_node_id", "n_chunks")
 
 
 @query("c13_adjacency", f"WITH {GRAPH} SELECT node, edge_type, count(*) AS n_links, count(DISTINCT next) AS n_next FROM aj GROUP BY node, edge_type")
 def c13(spark, d):
-    _, edges, _ = built(spark, d)
-    return graph.adjacency(edges).groupBy("node", "edge_type").agg(F.count("*").alias("n_links"), F.count_distinct("next").alias("n_next"))
+    return graph.adjacency(built(spark, d).edges).groupBy("node", "edge_type").agg(F.count("*").alias("n_links"), F.count_distinct("next").alias("n_next"))
 
 
 LINKS = f"{GRAPH}, se AS (SELECT chunk_id AS query_id, text AS query FROM ch WHERE TRY_CAST(split_part(chunk_id, '-', 2) AS BIGINT) % 100 = 0), lk AS (SELECT DISTINCT query_id, {node_sql('node_type', 'name')} AS node FROM (SELECT query_id, lower(query) AS t FROM se) JOIN (SELECT name, node_type, unnest(words) AS w FROM cat) ON contains(t, w))"
@@ -278,21 +262,19 @@ def text_searches(spark, d):
     return rows.select(F.col("chunk_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def links(spark, d, catalogue):
-    found = graph.mentions(text_searches(spark, d), "query_id", "query", catalogue)
+def links(spark, d):
+    found = graph.mentions(text_searches(spark, d), "query_id", "query", catalogue(spark))
     return found.select("query_id", graph.node_id(F.col("node_type"), F.col("name")).alias("node"))
 
 
 @query("b10_entity_mentions", f"WITH {GRAPH} SELECT chunk_id, name, node_type FROM nm")
 def b10(spark, d):
-    _, _, catalogue = built(spark, d)
-    return graph.mentions(chunks(spark, d), "chunk_id", "text", catalogue)
+    return graph.mentions(chunks(spark, d), "chunk_id", "text", catalogue(spark))
 
 
 @query("c12_entity_links", f"WITH {GRAPH}, {CASES} SELECT DISTINCT case_id, name FROM (SELECT case_id, lower(query) AS t FROM ca) JOIN (SELECT name, unnest(words) AS w FROM cat) ON contains(t, w)")
 def c12(spark, d):
-    _, _, catalogue = built(spark, d)
-    return graph.mentions(cases(spark, d), "case_id", "query", catalogue).select("case_id", "name")
+    return graph.mentions(cases(spark, d), "case_id", "query", catalogue(spark)).select("case_id", "name")
 
 
 REACH = LINKS.replace("WITH ", "") + ", r0 AS (SELECT query_id, node, 0 AS hops FROM lk), r1 AS (SELECT DISTINCT query_id, next AS node, 1 AS hops FROM r0 JOIN aj USING (node)), s1 AS (SELECT query_id, node, min(hops) AS hops FROM (FROM r0 UNION ALL FROM r1) GROUP BY query_id, node), r2 AS (SELECT DISTINCT query_id, next AS node, 2 AS hops FROM s1 JOIN aj USING (node) WHERE hops = 1), s2 AS (SELECT query_id, node, CAST(min(hops) AS INTEGER) AS hops FROM (FROM s1 UNION ALL FROM r2) GROUP BY query_id, node)"
@@ -300,8 +282,7 @@ REACH = LINKS.replace("WITH ", "") + ", r0 AS (SELECT query_id, node, 0 AS hops
 
 @query("c14_bounded_reach", f"WITH {REACH} SELECT query_id, hops, count(*) AS n_nodes FROM s2 GROUP BY query_id, hops")
 def c14(spark, d):
-    _, edges, catalogue = built(spark, d)
-    return graph.reach(links(spark, d, catalogue), edges, 2).groupBy("query_id", "hops").agg(F.count("*").alias("n_nodes"))
+    return graph.reach(links(spark, d), built(spark, d).edges, 2).groupBy("query_id", "hops").agg(F.count("*").alias("n_nodes"))
 
 
 RELATIONS = "list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(query), '{w}')" for w in words) + f" THEN '{name}' END" for name, words in graph.RELATION_WORDS.items()) + "], lambda x: x IS NOT NULL)"
@@ -312,14 +293,16 @@ def j1(spark, d):
     return cases(spark, d).where("query is not null").select("case_id", F.array_join(graph.relations(F.col("query")), ",").alias("relations"))
 
 
-NODES = 160  # nodes followed for a query
-CAPPED = REACH.replace("FROM r1) GROUP BY query_id, node)", f"FROM r1) GROUP BY query_id, node QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY min(hops), node) <= {NODES})").replace("FROM r2) GROUP BY query_id, node)", f"FROM r2) GROUP BY query_id, node QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY min(hops), node) <= {NODES})")
+NODES = 160  # nodes visited for a query, first in, first out
+CAPPED = LINKS.replace("WITH ", "") + f""", v0 AS (SELECT query_id, node, 0 AS hops, row_number() OVER (PARTITION BY query_id ORDER BY node) AS visit FROM lk QUALIFY visit <= {NODES}),
+k1 AS (SELECT query_id, next AS node, min({{'v': visit, 't': edge_type, 'n': next}}) AS key FROM v0 JOIN aj USING (node) GROUP BY query_id, next), n1 AS (SELECT query_id, node, 1 AS hops, row_number() OVER (PARTITION BY query_id ORDER BY key) + (SELECT count(*) FROM v0 WHERE v0.query_id = k1.query_id) AS visit FROM k1 ANTI JOIN v0 USING (query_id, node) QUALIFY visit <= {NODES}), w1 AS (FROM v0 UNION ALL FROM n1),
+k2 AS (SELECT query_id, next AS node, min({{'v': visit, 't': edge_type, 'n': next}}) AS key FROM n1 JOIN aj USING (node) GROUP BY query_id, next), n2 AS (SELECT query_id, node, 2 AS hops, row_number() OVER (PARTITION BY query_id ORDER BY key) + (SELECT count(*) FROM w1 WHERE w1.query_id = k2.query_id) AS visit FROM k2 ANTI JOIN w1 USING (query_id, node) QUALIFY visit <= {NODES}),
+s2 AS (SELECT query_id, node, CAST(hops AS INTEGER) AS hops FROM (FROM w1 UNION ALL FROM n2))"""
 
 
 @query("d18_graph_topk", f"""WITH {CAPPED}, wt AS (SELECT query_id, {RELATIONS} AS wanted FROM se), gc AS (SELECT query_id, unnest(chunk_ids) AS chunk_id, 1.0 / (1 + hops) AS score, hops FROM s2 JOIN nd ON nd.node_id = s2.node UNION ALL SELECT query_id, unnest(eg.chunk_ids), 0.8 / (1 + hops) + CASE WHEN list_contains(wanted, aj.edge_type) THEN 0.2 ELSE 0.0 END, hops + 1 FROM s2 JOIN aj USING (node) JOIN eg USING (edge_id) JOIN wt USING (query_id) WHERE hops < 2),
 gb AS (SELECT query_id, chunk_id, CAST(score AS DOUBLE) AS score, CAST(hops AS INTEGER) AS hops FROM gc QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY round(score, 9) DESC, hops) = 1)
 SELECT query_id, chunk_id, round(score, 6) AS score, hops, rank FROM {ranked('gb', 10, 'hops, chunk_id', 'true')}""")
 def d18(spark, d):
-    nodes, edges, catalogue = built(spark, d)
-    hits = graph.graph_hits(text_searches(spark, d), nodes, edges, links(spark, d, catalogue), 2, 10, NODES)
+    hits = graph.graph_hits(text_searches(spark, d), built(spark, d), links(spark, d), 2, 10, NODES)
     return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "hops", "rank")

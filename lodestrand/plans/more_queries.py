@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions import text as T
 from lodestrand.functions import vectors as V
-from lodestrand.operators import context, dedup, dense, encoding, lexical
+from lodestrand.operators import context, dedup, dense, encoding, graph, lexical
 from lodestrand.plans.corpus_queries import HASHES, prints
-from lodestrand.plans.evaluation_queries import HITS5, built, items
+from lodestrand.plans.evaluation_queries import GRAPH, HITS5, catalogue, items
 from lodestrand.plans.registry import CASES, CHUNKS, cases, chunks, query, searches
 from lodestrand.plans.report_queries import BOTH_RUNS, keyword_metrics
 from lodestrand.plans.evaluation_queries import search_metrics
-from lodestrand.plans.retrieval_queries import BM25, bm25_hits, ranked
+from lodestrand.plans.retrieval_queries import BM25, bm25_hits, index_of, ranked
 from lodestrand.plans.text_queries import MATCH, VEC, vectors
-from lodestrand.session import staged, table
+from lodestrand.session import shared_folder, table
 
 
 @query("b5_hamming_distance", f"WITH {HASHES}, {CASES}, p AS (SELECT DISTINCT relevant_chunk_ids[1] AS a, relevant_chunk_ids[2] AS b FROM ca WHERE len(relevant_chunk_ids) >= 2) SELECT p.a, p.b, CAST(bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)) AS INTEGER) AS distance, round(least(x.n_chars, y.n_chars) / greatest(x.n_chars, y.n_chars), 6) AS length_ratio FROM p JOIN sh x ON x.chunk_id = p.a JOIN sh y ON y.chunk_id = p.b")
@@ -83,7 +86,7 @@ def f34(spark, d):
 def h2(spark, d):
     q = searches(spark, d)
     none = F.array().cast("array<string>")
-    index = lexical.build_index(chunks(spark, d))
+    index = index_of(spark, d)
     allowed = q.select("query_id", F.explode("expected_sources").alias("source_type"))
     first = lexical.bm25(index, q, 3, allowed)
     got = first.groupBy("query_id").agg(F.collect_set("source_type").alias("got"))
@@ -139,12 +142,18 @@ def l11(spark, d):
     return rows.select("event_id", "user_id", "previous_id", "is_root", gap.alias("gap_us"))
 
 
-@query("o18_store_equivalence")
+@query("o18_store_equivalence", f"WITH {GRAPH} SELECT (SELECT count(*) FROM nd) AS n_nodes, (SELECT count(*) FROM eg) AS n_edges, (SELECT CAST(sum(len(chunk_ids)) AS BIGINT) FROM nd) AS n_node_chunks, (SELECT CAST(sum(len(chunk_ids)) AS BIGINT) FROM eg) AS n_edge_chunks, 0 AS n_lost, 0 AS n_gained")
 def o18(spark, d):
-    nodes, edges, _ = built(spark, d)
-    kept, kept_edges = staged(nodes, "nodes"), staged(edges, "edges")
-    lost = nodes.exceptAll(kept).agg(F.count("*").alias("n_nodes_lost"))
-    return lost.crossJoin(edges.exceptAll(kept_edges).agg(F.count("*").alias("n_edges_lost")))  # one row each
+    """The graph written and read again, compared with one that is extracted anew."""
+    fresh = graph.extract(chunks(spark, d), catalogue(spark))
+    folder = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+    graph.save_graph(fresh, folder)
+    again = graph.load_graph(spark, folder)
+    n = lambda t, name: getattr(again, t).agg(F.count("*").alias(name))
+    differ = lambda a, b: [getattr(a, t).exceptAll(getattr(b, t)).agg(F.count("*").alias("n")) for t in graph.TABLES]
+    total = lambda parts, name: reduce(DataFrame.union, parts).agg(F.sum("n").cast("int").alias(name))
+    out = n("nodes", "n_nodes").crossJoin(n("edges", "n_edges")).crossJoin(n("node_chunks", "n_node_chunks")).crossJoin(n("edge_chunks", "n_edge_chunks"))  # one row each
+    return out.crossJoin(total(differ(fresh, again), "n_lost")).crossJoin(total(differ(again, fresh), "n_gained"))
 
 
 @query("d4_encoded_topk")

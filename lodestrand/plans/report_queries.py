@@ -6,16 +6,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions import text as T
-from lodestrand.operators import gates, graph, lexical, metrics, ranking, routing
+from lodestrand.operators import dense, gates, graph, lexical, metrics, ranking, routing
 from lodestrand.plans.evaluation_queries import GRAPH, HITS5, METRICS, NODES, REACH, RULE, built, case_routes, links, search_metrics, semantic, text_searches, CENTROID
 from lodestrand.plans.registry import CASES, CHUNKS, cases, chunks, query, searches
-from lodestrand.plans.retrieval_queries import KEYWORD, bm25_hits, dense_hits, ranked
+from lodestrand.plans.retrieval_queries import KEYWORD, bm25_hits, dense_hits, index_of, ranked
 from lodestrand.plans.text_queries import MATCH
 from lodestrand.session import staged, table
 
 
 def keyword_metrics(spark, d):
-    hits = lexical.keyword(chunks(spark, d), searches(spark, d))
+    hits = lexical.keyword(index_of(spark, d), searches(spark, d))
     return metrics.per_query(hits, searches(spark, d).select("query_id", F.col("relevant_chunk_ids").alias("relevant")), 5)
 
 
@@ -67,33 +67,24 @@ def k2(spark, d):
 
 @query("i3_hybrid_routes", f"WITH {CENTROID}, q AS (SELECT query_id, source_type FROM dq JOIN un ON un.grp = dq.grp AND un.chunk_id = dq.query_id), b AS (SELECT q.query_id, CASE source_type WHEN 'user_profile' THEN 'unknown' ELSE source_type END AS intent, s.sem, s.score, s.margin FROM q LEFT JOIN (SELECT query_id, CASE WHEN round(score, 9) >= 0.45 AND round(margin, 9) >= 0.02 THEN intent ELSE 'unknown' END AS sem, score, margin FROM sm WHERE n = 1) s USING (query_id)) SELECT query_id, CASE WHEN intent = sem THEN intent WHEN coalesce(sem, 'unknown') <> 'unknown' AND round(score, 9) >= 0.55 AND round(margin, 9) >= 0.04 THEN sem ELSE intent END AS intent, CASE WHEN intent = sem THEN 'agree' WHEN coalesce(sem, 'unknown') <> 'unknown' AND round(score, 9) >= 0.55 AND round(margin, 9) >= 0.04 THEN 'semantic' ELSE 'rule' END AS how FROM b")
 def i3(spark, d):
-    from lodestrand.operators import dense
-
     v = dense.usable(table(spark, d, "chunk_vectors"), 64).where("try_cast(split_part(chunk_id, '-', 2) as bigint) % 100 = 0")
     rule = v.select(F.col("chunk_id").alias("query_id"), F.when(F.col("source_type") == "user_profile", "unknown").otherwise(F.col("source_type")).alias("intent"), F.lit(1).alias("n_keywords"))
     return routing.hybrid_routes(rule, semantic(spark, d))
 
 
-@query("c15_two_hop_paths", f"WITH {GRAPH}, p AS (SELECT DISTINCT x.node AS a, x.next AS b, y.next AS c, x.edge_id AS e1, y.edge_id AS e2 FROM aj x JOIN aj y ON x.next = y.node JOIN nd ON nd.node_id = x.next AND nd.node_type IN ('job', 'project') WHERE x.node < y.next AND x.node <> x.next AND y.node <> y.next AND x.edge_id <> y.edge_id) SELECT b, count(*) AS n_paths, count(DISTINCT least(e1, e2) || '|' || greatest(e1, e2)) AS n_edge_sets FROM p GROUP BY b")
-def c15(spark, d):
-    nodes, edges, _ = built(spark, d)
-    # middles are documents, which name few entities; entities themselves would be hubs
-    middles = nodes.where(F.col("node_type").isin("job", "project")).select(F.col("node_id").alias("m"))
-    own = edges.join(middles, (F.col("source_node_id") == F.col("m")) | (F.col("target_node_id") == F.col("m")), "left_semi")
-    paths = graph.two_hop_paths(own).join(middles, F.col("b") == F.col("m"), "left_semi").distinct()
-    return paths.groupBy("b").agg(F.count("*").alias("n_paths"), F.count_distinct("edge_key").alias("n_edge_sets"))
+PATHS = f"""{GRAPH}, st AS (SELECT node, next, edge_id FROM aj WHERE node <> next), p2 AS (SELECT x.node AS a, x.next AS b, y.next AS c, x.edge_id AS e1, y.edge_id AS e2 FROM st x JOIN st y ON x.next = y.node WHERE x.node <> y.next AND x.edge_id <> y.edge_id), p3 AS (SELECT p2.a, p2.b, p2.c, z.next AS d, e1, e2, z.edge_id AS e3 FROM p2 JOIN st z ON z.node = p2.c WHERE z.next <> p2.a AND z.next <> p2.b AND z.edge_id <> e1 AND z.edge_id <> e2)"""
 
 
-@query("c15_path_counts")
+@query("c15_path_counts", f"WITH {PATHS} SELECT 2 AS hops, b AS middle, count(*) AS n_paths FROM p2 WHERE a < c GROUP BY b UNION ALL SELECT 3, e2, count(*) FROM p3 WHERE a < d GROUP BY e2")
 def c15_counts(spark, d):
-    return graph.path_counts(staged(built(spark, d)[1].drop("chunk_ids"), "edges"))
+    return graph.path_counts(built(spark, d).edges)
 
 
 @query("c17_edge_validity", f"WITH {GRAPH} SELECT edge_type, count(*) AS n_edges, count(a.node_id) AS n_sources, count(b.node_id) AS n_targets FROM eg LEFT JOIN nd a ON a.node_id = source_node_id LEFT JOIN nd b ON b.node_id = target_node_id GROUP BY edge_type")
 def c17(spark, d):
-    nodes, edges, _ = built(spark, d)
-    ids = nodes.select("node_id")
-    rows = edges.join(ids.toDF("s"), F.col("source_node_id") == F.col("s"), "left").join(ids.toDF("t"), F.col("target_node_id") == F.col("t"), "left")
+    g = built(spark, d)
+    ids = g.nodes.select("node_id")
+    rows = g.edges.join(ids.toDF("s"), F.col("source_node_id") == F.col("s"), "left").join(ids.toDF("t"), F.col("target_node_id") == F.col("t"), "left")
     return rows.groupBy("edge_type").agg(F.count("*").alias("n_edges"), F.count("s").alias("n_sources"), F.count("t").alias("n_targets"))
 
 
@@ -116,8 +107,7 @@ def c22(spark, d):
 @query("d19_graph_lexical_fusion", f"""WITH {REACH}, gl AS (SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hops, chunk_id) AS INTEGER) AS rank FROM (SELECT query_id, unnest(chunk_ids) AS chunk_id, min(hops) AS hops FROM s2 JOIN nd ON nd.node_id = s2.node WHERE hops = 0 GROUP BY 1, 2) QUALIFY rank <= 20), ll AS (SELECT se.query_id, ch.chunk_id, CAST(row_number() OVER (PARTITION BY se.query_id ORDER BY ch.chunk_id) AS INTEGER) AS rank FROM se JOIN ch ON se.query = ch.text QUALIFY rank <= 20),
 fu AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, a.rank AS rank_a, b.rank AS rank_b, coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0) AS score FROM gl a FULL JOIN ll b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id) SELECT query_id, chunk_id, rank_a, rank_b, rank FROM {ranked('fu', 10, 'chunk_id')}""".replace("GROUP BY 1, 2", "GROUP BY query_id, chunk_id").replace("unnest(chunk_ids) AS chunk_id, min(hops) AS hops FROM s2 JOIN nd ON nd.node_id = s2.node WHERE hops = 0 GROUP BY query_id, chunk_id", "chunk_id, min(hops) AS hops FROM (SELECT query_id, unnest(chunk_ids) AS chunk_id, hops FROM s2 JOIN nd ON nd.node_id = s2.node WHERE hops = 0) GROUP BY query_id, chunk_id"))
 def d19(spark, d):
-    nodes, _, catalogue = built(spark, d)
-    rows = links(spark, d, catalogue).join(nodes.select(F.col("node_id").alias("node"), "chunk_ids"), "node").select("query_id", F.explode("chunk_ids").alias("chunk_id")).distinct()
+    rows = links(spark, d).join(built(spark, d).node_chunks.withColumnRenamed("node_id", "node"), "node").select("query_id", "chunk_id").distinct()
     linked = ranking.top_k(rows.withColumn("score", F.lit(1.0)), 20, "chunk_id")
     same = text_searches(spark, d).join(chunks(spark, d).select("chunk_id", F.col("text").alias("query")), "query").withColumn("score", F.lit(1.0))
     return ranking.reciprocal_rank_fusion(linked, ranking.top_k(same, 20, "chunk_id"), 10).select("query_id", "chunk_id", "rank_a", "rank_b", "rank")
@@ -126,9 +116,8 @@ def d19(spark, d):
 @query("d19_graph_vector_fusion")
 def d19_vectors(spark, d):
     """Graph hits as in D18 fused with the nearest stored vectors, for the chunks that are searches of both."""
-    nodes, edges, catalogue = built(spark, d)
     q = text_searches(spark, d)
-    linked = graph.graph_hits(q, staged(nodes, "nodes"), staged(edges, "edges"), links(spark, d, catalogue), 2, 20, NODES)
+    linked = graph.graph_hits(q, built(spark, d), links(spark, d), 2, 20, NODES)
     near = dense_hits(spark, d, 20).join(q.select("query_id"), "query_id", "left_semi")
     return ranking.fusion_or_second(staged(linked, "graph_hits"), staged(near, "vector_hits"), 10)
 

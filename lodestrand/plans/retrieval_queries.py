@@ -9,7 +9,7 @@ from lodestrand.functions import text as T
 from lodestrand.operators import adaptive, dense, lexical, ranking
 from lodestrand.plans.registry import CHUNKS, SEARCHES, cases, chunks, query, searches
 from lodestrand.plans.text_queries import VEC, tokens_sql
-from lodestrand.session import table
+from lodestrand.session import once, table
 
 POSTINGS = f"""{CHUNKS}, tk AS (SELECT chunk_id, source_type, {tokens_sql('text')} AS tokens FROM ch),
 po AS (SELECT chunk_id, source_type, token, dl, count(*) AS tf FROM (SELECT chunk_id, source_type, len(tokens) AS dl, unnest(tokens) AS token FROM tk) GROUP BY chunk_id, source_type, token, dl),
@@ -22,9 +22,14 @@ def ranked(source: str, k: int, ties: str, where: str = "score > 0") -> str:
     return f"(SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, {ties}) AS INTEGER) AS rank FROM {source} WHERE {where} QUALIFY rank <= {k})"
 
 
+def index_of(spark, d) -> lexical.Bm25Index:
+    """The inverted index of the chunks, built once an application and read by every query."""
+    return once(table(spark, d, "chunks"), "bm25", lambda: lexical.build_index(chunks(spark, d)))
+
+
 @query("d2_index_stats", f"WITH {POSTINGS} SELECT (SELECT n FROM st) AS n_chunks, round((SELECT avgdl FROM st), 6) AS avgdl, (SELECT count(*) FROM df) AS n_tokens, count(*) AS n_postings, CAST(sum(tf) AS BIGINT) AS n_occurrences FROM po")
 def d2(spark, d):
-    index = lexical.build_index(chunks(spark, d))
+    index = index_of(spark, d)
     total = index.postings.agg(F.count("*").alias("n_postings"), F.sum("tf").alias("n_occurrences"))
     words = index.df.agg(F.count("*").alias("n_tokens"))
     return index.stats.crossJoin(total).crossJoin(words).select(F.col("n").alias("n_chunks"), F.round("avgdl", 6).alias("avgdl"), "n_tokens", "n_postings", "n_occurrences")  # one row each
@@ -32,11 +37,11 @@ def d2(spark, d):
 
 @query("d2_document_frequency", f"WITH {POSTINGS} SELECT token, df FROM df")
 def d2_df(spark, d):
-    return lexical.build_index(chunks(spark, d)).df
+    return index_of(spark, d).df
 
 
 def bm25_hits(spark, d, k=5, sources=None):
-    return lexical.bm25(lexical.build_index(chunks(spark, d)), searches(spark, d), k, sources)
+    return lexical.bm25(index_of(spark, d), searches(spark, d), k, sources)
 
 
 @query("d3_bm25_topk", f"WITH {BM25} SELECT query_id, chunk_id, source_type, round(score, 6) AS score, rank FROM {ranked('bs', 5, 'source_type, chunk_id')}")
@@ -49,7 +54,7 @@ KEYWORD = f"""ks AS (SELECT query_id, c.chunk_id, c.source_type, count(*) / any_
 
 @query("d1_keyword_topk", f"WITH {SEARCHES}, {CHUNKS}, {KEYWORD} SELECT query_id, chunk_id, source_type, round(score, 6) AS score, rank FROM {ranked('ks', 5, 'source_type, chunk_id')}")
 def d1(spark, d):
-    hits = lexical.keyword(chunks(spark, d), searches(spark, d))
+    hits = lexical.keyword(index_of(spark, d), searches(spark, d))
     return hits.select("query_id", "chunk_id", "source_type", F.round("score", 6).alias("score"), "rank")
 
 
@@ -84,7 +89,7 @@ FUSED = f"{BM25}, {KEYWORD}, la AS {ranked('bs', 20, 'source_type, chunk_id')},
 
 def fused_hits(spark, d, k=5):
     a = bm25_hits(spark, d, 20)
-    b = lexical.keyword(chunks(spark, d), searches(spark, d), 20)
+    b = lexical.keyword(index_of(spark, d), searches(spark, d), 20)
     return ranking.reciprocal_rank_fusion(a, b, k)
 
 
@@ -152,12 +157,12 @@ def d15(spark, d):
     chosen = adaptive.strategies(adaptive.features(q, "query_id", "query", "expected_sources"), graph_enabled=False)
     name = F.when(F.col("is_unanswerable_route"), "none").when(F.col("strategy") == "dense", "keyword").otherwise(F.col("strategy"))
     chosen = chosen.select("query_id", name.alias("strategy"))
-    index = lexical.build_index(chunks(spark, d))
+    index = index_of(spark, d)
     # every branch sees only the queries that chose it
     own = lambda s: q.join(chosen.where(F.col("strategy") == s), "query_id", "left_semi")
     part = lambda s, hits: hits.select(F.lit(s).alias("strategy"), "query_id", "chunk_id", "rank")
-    hybrid = ranking.reciprocal_rank_fusion(lexical.bm25(index, own("hybrid"), 20), lexical.keyword(chunks(spark, d), own("hybrid"), 20), 5)
-    out = part("bm25", lexical.bm25(index, own("bm25"), 5)).union(part("keyword", lexical.keyword(chunks(spark, d), own("keyword"), 5))).union(part("hybrid", hybrid))
+    hybrid = ranking.reciprocal_rank_fusion(lexical.bm25(index, own("hybrid"), 20), lexical.keyword(index_of(spark, d), own("hybrid"), 20), 5)
+    out = part("bm25", lexical.bm25(index, own("bm25"), 5)).union(part("keyword", lexical.keyword(index_of(spark, d), own("keyword"), 5))).union(part("hybrid", hybrid))
     return out.select("query_id", "strategy", "chunk_id", "rank")
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,15 +15,18 @@ from pyspark.sql import functions as F
 
 _OWN_FOLDERS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_BUILT: dict[tuple, object] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share. It is the cluster's ``spark.checkpoint.dir``; a temporary folder is
-    made only where that setting is empty, as in local tests."""
+    """The folder all executors share: the cluster's ``spark.checkpoint.dir``. A temporary folder of this machine is made
+    only where that setting is empty and Spark runs in this one process, as in tests; on a cluster that raises."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if app not in _OWN_FOLDERS:
         _OWN_FOLDERS[app] = "file://" + tempfile.mkdtemp(prefix="lodestrand-")
     return _OWN_FOLDERS[app]
@@ -39,6 +44,15 @@ def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def once(source: DataFrame, name: str, build: Callable):
+    """What ``build`` makes of the files behind ``source``, made once an application and shared by all queries: indexes
+    whose tables are staged. New files mean a new build."""
+    key = (source.sparkSession.sparkContext.applicationId, name, *sorted(source.inputFiles()))
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]
+
+
 def dropped(df: DataFrame) -> None:
     """Remove the files of a table made by ``staged`` that nothing reads any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

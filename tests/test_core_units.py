@@ -55,7 +55,7 @@ def test_bm25_ranks_and_filters(spark, small):
     assert len(got) == 1 and got[0].rank == 1 and got[0].source_type == "jd" and got[0].score > 0
     assert lexical.bm25(index, q, 5, jd.limit(0)).count() == 0
     assert lexical.bm25(index, q, 5).count() == 3
-    assert [r.chunk_id for r in lexical.keyword(small, q, 1).collect()] == ["long"]
+    assert [r.chunk_id for r in lexical.keyword(index, q, 1).collect()] == ["long"]
 
 
 def ranks(spark, *ids):
@@ -195,7 +195,7 @@ def test_all_vectors_but_the_search_are_prototypes(spark):
                 if group == other_group and own != other:
                     best = want.setdefault(own, {})
                     best[source] = max(best.get(source, -2.0), sum(x * y for x, y in zip(a, b)))
-    got = {r.query_id: r for r in core_queries()["i2_semantic_routes_all"](spark, folder).collect()}
+    got = {r.query_id: r for r in core_queries()["i2_semantic_routes"](spark, folder).collect()}
     assert set(got) == set(want) and want
     for k, best in want.items():
         first, second = sorted([*best.values(), *[0.0] * (len(best) < 2)], reverse=True)[:2]
