@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,21 +16,37 @@ from lodestrand.functions.text import bound
 SENTENCE_ENDINGS = "。！？!?；;"
 
 
-def paragraphs(text: Column) -> Column:
-    """Trimmed paragraphs (parted by an empty line) without empty ones."""
-    return F.filter(F.transform(F.split(text, "\n\n"), lambda p: F.regexp_replace(p, "(?U)^\\s+|\\s+$", "")), lambda p: p != "")
+#: What counts as white space at the ends of a paragraph.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def packed_paragraphs(text: Column, limit: int) -> Column:
-    """Paragraphs in order, joined by empty lines while the sum stays within the limit. A longer paragraph stays
-    whole, on its own."""
+def _packed(text: str, limit: int) -> list[str]:
+    out: list[list[str]] = []
+    size = 0
+    for p in text.split("\n\n"):
+        if p := p.strip(BLANKS):
+            if out and size + 2 + len(p) <= limit:
+                out[-1].append(p)
+                size += 2 + len(p)
+            else:
+                out.append([p])
+                size = len(p)
+    return ["\n\n".join(parts) for parts in out]
 
-    def add(done: Column, p: Column) -> Column:
-        last = F.element_at(done, -1)
-        fits = (F.size(done) > 0) & (F.length(last) + 2 + F.length(p) <= limit)
-        return F.when(fits, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(last, F.lit("\n\n"), p)))).otherwise(F.concat(done, F.array(p)))
 
-    return F.aggregate(paragraphs(text), F.array().cast("array<string>"), add)
+def packed_paragraphs(df: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
+    """``(id_col, place, part)``: trimmed paragraphs (parted by an empty line) in order, joined by empty lines while the
+    sum stays within the limit. A longer paragraph stays whole, on its own. Texts are gone through once."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            parts = [_packed(t, limit) for t in batch.column(1).to_pylist()]
+            n = np.array([len(p) for p in parts], np.int64)
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.record_batch([batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(place.astype(np.int32)), pa.array([x for p in parts for x in p], pa.string())], [id_col, "place", "part"])
+
+    return df.where(F.col(text_col).isNotNull()).select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, place int, part string")
 
 
 def fixed_windows(text: Column, width: int) -> Column:
@@ -57,7 +75,7 @@ def sentence_chunks(df: DataFrame, id_col: str, text_col: str, limit: int = 420,
     """``(id_col, chunk_index, chunk)``: packed paragraphs; longer ones cut after the last sentence ending that leaves
     neither side shorter than ``ratio`` of the limit, or hard where there is none."""
     least = max(1, int(limit * ratio))
-    rows = df.select(id_col, F.posexplode(packed_paragraphs(F.col(text_col), limit)).alias("place", "part"))
+    rows = packed_paragraphs(df, id_col, text_col, limit)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

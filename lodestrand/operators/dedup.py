@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,30 +27,43 @@ def hamming(hi_a: Column, lo_a: Column, hi_b: Column, lo_b: Column) -> Column:
     return F.bit_count(hi_a.bitwiseXOR(hi_b)) + F.bit_count(lo_a.bitwiseXOR(lo_b))
 
 
+def fingerprint_classes(prints: DataFrame) -> DataFrame:
+    """``(id, rep)`` of ``prints(id, grp, n_chars, hi, lo)``: ids of one group with equal hashes and lengths form a class,
+    which its least id stands for. All of a class are near to the same others, and to each other."""
+    reps = prints.groupBy("grp", "n_chars", "hi", "lo").agg(F.min("id").alias("rep"))
+    return prints.join(reps, ["grp", "n_chars", "hi", "lo"]).select("id", "rep")
+
+
 def near_pairs(prints: DataFrame, distance: int = 3, least_ratio: float = 0.85) -> DataFrame:
-    """``(a, b, distance)`` of ``prints(id, grp, n_chars, hi, lo)`` within a Hamming distance. The 64 bits are cut into
-    ``distance + 1`` bands; two hashes within the distance agree in one of them at least, so an equi-join on bands is
-    complete. Equal hashes meet once, in the first band that agrees."""
-    edges = [64 * i // (distance + 1) for i in range(distance + 2)]
-
-    def band(first: int, last: int) -> Column:
-        out = []
-        for name, base in (("lo", 0), ("hi", 32)):
-            a, b = max(first, base) - base, min(last, base + 32) - base
-            if a < b:
-                out.append(F.shiftright(F.col(name), a).bitwiseAND(F.lit((1 << (b - a)) - 1)).cast("string"))
-        return F.concat_ws(":", *out)
-
-    bands = F.array(*(F.struct(F.lit(i).alias("band"), band(a, b).alias("code")) for i, (a, b) in enumerate(zip(edges, edges[1:]))))
-    rows = prints.withColumn("bands", bands)
-    exploded = rows.select("*", F.inline("bands"))
+    """``(a, b, distance)`` of the classes of ``prints(id, grp, n_chars, hi, lo)`` within a Hamming distance, by the ids
+    that stand for them (``fingerprint_classes`` has the members).
+
+    The 64 bits are cut into ``distance + 3`` bands; two hashes within the distance agree in three of them at least, so
+    an equi-join on every three bands is complete. With distance 3 a key has 32 bits or so."""
+    bands = distance + 3
+    edges = [64 * i // bands for i in range(bands + 1)]
+    mask = lambda i: ((1 << (edges[i + 1] - edges[i])) - 1) << edges[i]
+    keys = []
+    for n, chosen in enumerate(combinations(range(bands), 3)):
+        bits = sum(mask(i) for i in chosen)
+        keys.append(F.xxhash64("grp", F.lit(n), F.col("hi").bitwiseAND(F.lit(bits >> 32)), F.col("lo").bitwiseAND(F.lit(bits & 0xFFFFFFFF))))
+    reps = prints.groupBy("grp", "n_chars", "hi", "lo").agg(F.min("id").alias("id"))
+    rows = staged(reps.select("grp", "id", "n_chars", "hi", "lo"), "prints")
+    exploded = rows.select("*", F.explode(F.array(*keys)).alias("key"))
     a, b = exploded.alias("a"), exploded.alias("b")
-    same = (F.col("a.grp") == F.col("b.grp")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.code") == F.col("b.code")) & (F.col("a.id") < F.col("b.id"))
-    joined = a.join(b, same)
-    first_band = F.array_position(F.zip_with("a.bands", "b.bands", lambda x, y: x["code"] == y["code"]), True) - 1
     d = hamming(F.col("a.hi"), F.col("a.lo"), F.col("b.hi"), F.col("b.lo"))
-    kept = joined.where((length_ratio(F.col("a.n_chars"), F.col("b.n_chars")) >= least_ratio) & (d <= distance) & (first_band == F.col("a.band")))
-    return kept.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), d.cast("int").alias("distance"))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.grp") == F.col("b.grp")))
+    near = met.where((d <= distance) & (length_ratio(F.col("a.n_chars"), F.col("b.n_chars")) >= least_ratio))
+    return near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), d.cast("int").alias("distance")).distinct()
+
+
+def near_rejections(prints: DataFrame, distance: int = 3, least_ratio: float = 0.85) -> DataFrame:
+    """``(id, duplicate_of, distance)``: ids in order; an id falls to the first kept id that it is near to. Decided for
+    classes: their members fall to the id that stands for them, or to what that one falls to."""
+    reps = greedy_rejections(near_pairs(prints, distance, least_ratio))
+    rows = fingerprint_classes(prints).join(reps.withColumnsRenamed({"id": "rep", "distance": "d"}), "rep", "left")
+    out = rows.select("id", F.coalesce("duplicate_of", F.when(F.col("id") != F.col("rep"), F.col("rep"))).alias("duplicate_of"), F.coalesce("d", F.lit(0)).cast("int").alias("distance"))
+    return out.where("duplicate_of is not null")
 
 
 def greedy_rejections(pairs: DataFrame, rounds: int = 100) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +23,27 @@ class Encoder:
     low: int = 2
     high: int = 4
 
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """How often each bucket's n-grams stand in each text; all texts' n-grams of one length are hashed at once."""
+        lowered, width = [t.lower() for t in texts], len(self.idf)
+        codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        sizes = np.fromiter(map(len, lowered), np.int64, len(lowered))
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # characters from here to the text's end
+        out = np.zeros(len(texts) * width, np.int64)
+        h = np.zeros(len(codes), np.uint64)
+        for n in range(1, self.high + 1):
+            ahead = codes[n - 1 :]
+            h = h[: len(ahead)] * np.uint64(0x9E3779B97F4A7C15) + ahead + np.uint64(1)
+            if n >= self.low:
+                whole = np.flatnonzero(left[: len(ahead)] >= n)
+                mixed = h[whole] ^ (h[whole] >> np.uint64(29))
+                bucket = (mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(width)
+                out += np.bincount(owner[whole] * width + bucket.astype(np.int64), minlength=len(out))
+        return out.reshape(len(texts), width)
+
     def features(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), len(self.idf)), np.float32)
-        for i, text in enumerate(texts):
-            t = text.lower()
-            own = [crc32(t[j : j + n].encode("utf-8", "replace")) % len(self.idf) for n in range(self.low, self.high + 1) for j in range(len(t) - n + 1)]
-            out[i] = np.bincount(np.array(own, np.int64), minlength=len(self.idf))
+        out = self.counts(texts).astype(np.float32)
         some = out > 0
         out[some] = 1 + np.log(out[some])
         out *= self.idf
@@ -62,26 +76,34 @@ def _gram(rows: DataFrame, idf: np.ndarray) -> np.ndarray:
     """The products of all pairs of buckets, summed over the features of ``rows(t)``: one upper triangle a task."""
 
     def run(batches):
-        x, out = Encoder(idf, np.zeros((BUCKETS, 1), np.float32)), np.zeros((BUCKETS, BUCKETS))
+        x, out = Encoder(idf, np.zeros((BUCKETS, 1), np.float32)), np.zeros((BUCKETS, BUCKETS), np.float32)
         for batch in batches:
             for part in (batch.slice(a, 500) for a in range(0, len(batch), 500)):
                 own = x.features(part.column(0).to_pylist())
                 out += own.T @ own
         for i in range(0, BUCKETS, 64):
-            yield pa.record_batch([pa.array(np.arange(i, i + 64, dtype=np.int32)), pa.array([out[j, j:].astype(np.float32) for j in range(i, i + 64)], pa.list_(pa.float32()))], ["i", "row"])
+            yield pa.record_batch([pa.array(np.arange(i, i + 64, dtype=np.int32)), pa.array([out[j, j:] for j in range(i, i + 64)], pa.list_(pa.float32()))], ["i", "row"])
 
     def add(part: pa.Table) -> pa.Table:
         total = part.column("row").combine_chunks().flatten().to_numpy().reshape(part.num_rows, -1).astype(np.float64).sum(0)
-        return pa.table([part.column("i").slice(0, 1), pa.array([total], pa.list_(pa.float64()))], ["i", "row"])
+        return pa.table([part.column("i").slice(0, 1), pa.array([total.astype(np.float32).tobytes()])], ["i", "row"])
 
-    summed = rows.mapInArrow(run, "i int, row array<float>").groupBy("i").applyInArrow(add, "i int, row array<double>")
-    out = np.zeros((BUCKETS, BUCKETS))
+    summed = rows.mapInArrow(run, "i int, row array<float>").groupBy("i").applyInArrow(add, "i int, row binary")
+    out = np.zeros((BUCKETS, BUCKETS), np.float32)
     for r in summed.toLocalIterator():  # BUCKETS rows
-        out[r.i, r.i :] = r.row
-        out[r.i :, r.i] = r.row
+        out[r.i, r.i :] = out[r.i :, r.i] = np.frombuffer(r.row, np.float32)
     return out
 
 
+def _leading(gram: np.ndarray, dimensions: int, rounds: int = 12, spare: int = 32) -> np.ndarray:
+    """The leading eigenvectors by subspace iteration, without a second matrix of the size of ``gram``."""
+    q = np.random.default_rng(4).normal(size=(len(gram), min(len(gram), dimensions + spare))).astype(np.float32)
+    for _ in range(rounds):
+        q = np.linalg.qr(gram @ q)[0]
+    values, turn = np.linalg.eigh((q.T @ (gram @ q)).astype(np.float64))
+    return (q @ turn[:, np.argsort(-values)[:dimensions]].astype(np.float32)).astype(np.float64)
+
+
 def fit(df: DataFrame, id_col: str, text_col: str, dimensions: int = DIMENSIONS) -> Encoder:
     """Learn from all texts. Each core makes one matrix of buckets x buckets, however large the table."""
     spark = df.sparkSession
@@ -89,8 +111,7 @@ def fit(df: DataFrame, id_col: str, text_col: str, dimensions: int = DIMENSIONS)
     n, df_by_bucket = _frequencies(rows)
     n = max(n, 1)
     idf = (np.log((1 + n) / (1 + df_by_bucket)) + 1).astype(np.float32)
-    values, vectors = np.linalg.eigh(_gram(rows, idf))
-    basis = vectors[:, np.argsort(-values)[: min(dimensions, n)]]
+    basis = _leading(_gram(rows, idf), min(dimensions, n))
     basis = basis * np.where(basis[np.abs(basis).argmax(0), np.arange(basis.shape[1])] < 0, -1, 1)  # a sign that does not vary
     return Encoder(idf, basis.astype(np.float32))
 

@@ -103,16 +103,24 @@ def prints(spark, d):
     return dedup.simhash(c, "chunk_id", "text").join(c.select("chunk_id", F.col("source_type").alias("grp"), F.length("text").alias("n_chars")), "chunk_id").withColumnRenamed("chunk_id", "id")
 
 
+CLASSES = "cs AS (SELECT source_type, n_chars, hi, lo, min(chunk_id) AS chunk_id FROM sh GROUP BY source_type, n_chars, hi, lo)"
+
+
 @query("b4_simhash", f"WITH {HASHES} SELECT chunk_id, hi, lo FROM sh")
 def b4(spark, d):
     return dedup.simhash(chunks(spark, d), "chunk_id", "text")
 
 
-@query("c10_near_duplicate_pairs", f"WITH {NEAR} SELECT a, b, distance FROM np")
+@query("c10_near_duplicate_pairs", f"WITH {NEAR.replace('FROM sh a JOIN sh b', 'FROM cs a JOIN cs b').replace('np AS', CLASSES + ', np AS')} SELECT a, b, distance FROM np")
 def c10(spark, d):
     return dedup.near_pairs(prints(spark, d))
 
 
+@query("c10_fingerprint_classes", f"WITH {HASHES}, {CLASSES} SELECT sh.chunk_id AS id, cs.chunk_id AS rep FROM sh JOIN cs USING (source_type, n_chars, hi, lo)")
+def c10_classes(spark, d):
+    return dedup.fingerprint_classes(prints(spark, d))
+
+
 @query("c9_exact_duplicates", f"WITH {CHUNKS}, o AS (SELECT chunk_id, min(chunk_id) OVER (PARTITION BY sha256(text)) AS owner FROM ch) SELECT chunk_id, owner FROM o WHERE chunk_id <> owner")
 def c9(spark, d):
     rows = chunks(spark, d).select("chunk_id", F.sha2("text", 256).alias("h"))
@@ -133,7 +141,7 @@ def f4(spark, d):
     short = rows.where("n_chars < 80").select("chunk_id", F.lit("too_short").alias("reason"), F.lit(None).cast("string").alias("duplicate_of"), F.lit(None).cast("int").alias("distance"))
     exact = rows.where("n_chars >= 80 and chunk_id <> owner").select("chunk_id", F.lit("exact_duplicate").alias("reason"), F.col("owner").alias("duplicate_of"), F.lit(None).cast("int").alias("distance"))
     left = rows.where("n_chars >= 80 and chunk_id = owner").select(F.col("chunk_id").alias("id"))
-    near = dedup.greedy_rejections(dedup.near_pairs(prints(spark, d).join(left, "id", "left_semi")))
+    near = dedup.near_rejections(prints(spark, d).join(left, "id", "left_semi"))
     return short.union(exact).union(near.select(F.col("id").alias("chunk_id"), F.lit("near_duplicate").alias("reason"), "duplicate_of", "distance"))
 
 
@@ -165,7 +173,7 @@ SELECT doc_id, ps, i + 1, CASE WHEN cur IS NOT NULL AND length(cur) + 2 + length
 o AS (SELECT doc_id, done AS part FROM w WHERE done IS NOT NULL UNION ALL SELECT doc_id, cur FROM w WHERE i = len(ps) + 1)
 SELECT doc_id, sha256(part) AS part_hash, CAST(length(part) AS INTEGER) AS n_chars FROM o""")
 def g1(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.explode(chunking.packed_paragraphs(F.col("text"), 800)).alias("part"))
+    rows = chunking.packed_paragraphs(table(spark, d, "documents"), "doc_id", "text", 800)
     return rows.select("doc_id", F.sha2("part", 256).alias("part_hash"), F.length("part").alias("n_chars"))
 
 

@@ -21,11 +21,19 @@ from lodestrand.plans.text_queries import MATCH, VEC, vectors
 from lodestrand.session import shared_folder, table
 
 
-@query("b5_hamming_distance", f"WITH {HASHES}, {CASES}, p AS (SELECT DISTINCT relevant_chunk_ids[1] AS a, relevant_chunk_ids[2] AS b FROM ca WHERE len(relevant_chunk_ids) >= 2) SELECT p.a, p.b, CAST(bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)) AS INTEGER) AS distance, round(least(x.n_chars, y.n_chars) / greatest(x.n_chars, y.n_chars), 6) AS length_ratio FROM p JOIN sh x ON x.chunk_id = p.a JOIN sh y ON y.chunk_id = p.b")
+LABEL_PAIRS = "p AS (SELECT DISTINCT x.c AS a, y.c AS b FROM (SELECT case_id, unnest(list_distinct(relevant_chunk_ids)) AS c FROM ca) x JOIN (SELECT case_id, unnest(list_distinct(relevant_chunk_ids)) AS c FROM ca) y ON x.case_id = y.case_id AND x.c < y.c)"
+
+
+def label_pairs(spark, d):
+    """Every two relevant chunks ``(a, b)`` of a case, the smaller id first."""
+    rows = cases(spark, d).select("case_id", F.explode(F.array_distinct("relevant_chunk_ids")).alias("a"))
+    return rows.join(rows.withColumnRenamed("a", "b"), "case_id").where("a < b").select("a", "b").distinct()
+
+
+@query("b5_hamming_distance", f"WITH {HASHES}, {CASES}, {LABEL_PAIRS} SELECT p.a, p.b, CAST(bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)) AS INTEGER) AS distance, round(least(x.n_chars, y.n_chars) / greatest(x.n_chars, y.n_chars), 6) AS length_ratio FROM p JOIN sh x ON x.chunk_id = p.a JOIN sh y ON y.chunk_id = p.b")
 def b5(spark, d):
-    pairs = cases(spark, d).where("size(relevant_chunk_ids) >= 2").select(F.col("relevant_chunk_ids")[0].alias("a"), F.col("relevant_chunk_ids")[1].alias("b")).distinct()
     p = prints(spark, d).select("id", "hi", "lo", "n_chars")
-    rows = pairs.join(p.toDF("a", "h1", "l1", "n1"), "a").join(p.toDF("b", "h2", "l2", "n2"), "b")
+    rows = label_pairs(spark, d).join(p.toDF("a", "h1", "l1", "n1"), "a").join(p.toDF("b", "h2", "l2", "n2"), "b")
     distance = dedup.hamming(F.col("h1"), F.col("l1"), F.col("h2"), F.col("l2"))
     return rows.select("a", "b", distance.cast("int").alias("distance"), F.round(T.length_ratio(F.col("n1"), F.col("n2")), 6).alias("length_ratio"))
 
@@ -119,23 +127,27 @@ def h9(spark, d):
     return context.parsed_generations(cases(spark, d).select("case_id", j.alias("j")), "j").select("case_id", "answer", "error")
 
 
-@query("k1_point_verdicts", f"WITH {CASES}, {CHUNKS}, p AS (SELECT case_id, relevant_chunk_ids[1] AS chunk_id, unnest(list_distinct(expected_points)) AS point FROM ca WHERE len(relevant_chunk_ids) > 0) SELECT case_id, point, CASE WHEN contains({MATCH.replace('{t}', 'text')}, {MATCH.replace('{t}', 'point')}) THEN 'matched' ELSE 'unmatched' END AS verdict FROM p JOIN ch USING (chunk_id)")
+@query("k1_point_verdicts", f"WITH {CASES}, {CHUNKS}, t AS (SELECT case_id, {MATCH.replace('{t}', 'text')} AS t FROM (SELECT case_id, unnest(list_distinct(relevant_chunk_ids)) AS chunk_id FROM ca) JOIN ch USING (chunk_id)), p AS (SELECT case_id, unnest(list_distinct(expected_points)) AS point FROM ca) SELECT case_id, point, CASE WHEN bool_or(contains(t, {MATCH.replace('{t}', 'point')})) THEN 'matched' ELSE 'unmatched' END AS verdict FROM p JOIN t USING (case_id) GROUP BY case_id, point")
 def k1(spark, d):
-    rows = cases(spark, d).where("size(relevant_chunk_ids) > 0").select("case_id", F.col("relevant_chunk_ids")[0].alias("chunk_id"), F.explode(F.array_distinct("expected_points")).alias("point"))
-    rows = rows.join(chunks(spark, d).select("chunk_id", "text"), "chunk_id")
-    return rows.select("case_id", "point", F.when(F.contains(T.match_text("text"), T.match_text("point")), "matched").otherwise("unmatched").alias("verdict"))
+    c = cases(spark, d)
+    texts = c.select("case_id", F.explode(F.array_distinct("relevant_chunk_ids")).alias("chunk_id")).join(chunks(spark, d).select("chunk_id", T.match_text("text").alias("t")), "chunk_id")
+    points = c.select("case_id", F.explode(F.array_distinct("expected_points")).alias("point"))
+    rows = points.join(texts, "case_id").groupBy("case_id", "point").agg(F.bool_or(F.contains("t", T.match_text("point"))).alias("m"))
+    return rows.select("case_id", "point", F.when(F.col("m"), "matched").otherwise("unmatched").alias("verdict"))
+
+
+SIMILAR = 0.80  # cosine from which two answers count as similar
 
 
-@query("k8_similar_answers", f"WITH {VEC}, {CASES}, p AS (SELECT DISTINCT relevant_chunk_ids[1] AS a, relevant_chunk_ids[2] AS b FROM ca WHERE len(relevant_chunk_ids) >= 2) SELECT p.a, p.b, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 9) >= 0.5 AS is_similar FROM p JOIN ve x ON x.chunk_id = p.a JOIN ve y ON y.chunk_id = p.b AND x.embedding_version = y.embedding_version")
+@query("k8_similar_answers", f"WITH {VEC}, {CASES}, {LABEL_PAIRS} SELECT p.a, p.b, x.embedding_version AS version, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 9) >= {SIMILAR} AS is_similar FROM p JOIN ve x ON x.chunk_id = p.a JOIN ve y ON y.chunk_id = p.b AND x.embedding_version = y.embedding_version")
 def k8(spark, d):
-    pairs = cases(spark, d).where("size(relevant_chunk_ids) >= 2").select(F.col("relevant_chunk_ids")[0].alias("a"), F.col("relevant_chunk_ids")[1].alias("b")).distinct()
     v = vectors(spark, d).select("embedding_version", "chunk_id", "embedding")
-    rows = pairs.join(v.toDF("g", "a", "x"), "a").join(v.toDF("g", "b", "y"), ["b", "g"])
-    return rows.select("a", "b", (F.round(V.cosine(F.col("x"), F.col("y")), 9) >= 0.5).alias("is_similar"))
+    rows = label_pairs(spark, d).join(v.toDF("version", "a", "x"), "a").join(v.toDF("version", "b", "y"), ["b", "version"])
+    return rows.select("a", "b", "version", (F.round(V.cosine(F.col("x"), F.col("y")), 9) >= SIMILAR).alias("is_similar"))
 
 
-@query("l11_spans", "SELECT event_id, user_id, lag(event_id) OVER w AS previous_id, row_number() OVER w = 1 AS is_root, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS gap_us FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
-def l11(spark, d):
+@query("x2_event_gaps", "SELECT event_id, user_id, lag(event_id) OVER w AS previous_id, row_number() OVER w = 1 AS is_root, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS gap_us FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def x2(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     gap = F.expr("timestampdiff(MICROSECOND, previous_ts, ts)")
     rows = table(spark, d, "events").withColumn("previous_ts", F.lag("ts").over(w)).withColumn("previous_id", F.lag("event_id").over(w)).withColumn("is_root", F.row_number().over(w) == 1)

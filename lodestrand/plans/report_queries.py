@@ -187,7 +187,7 @@ def o10(spark, d):
     return rows.where((F.col("intent") != F.col("expected_intent")) | (F.array_sort("sources") != F.col("goal"))).select("case_id")
 
 
-@query("l10_event_windows", "SELECT epoch_us(time_bucket(INTERVAL '5 minutes', ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY start_us, event_type")
+@query("x1_event_windows", "SELECT epoch_us(time_bucket(INTERVAL '5 minutes', ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY start_us, event_type")
 def l_windows(spark, d):
     from lodestrand.streaming.events import windowed
 

@@ -121,8 +121,12 @@ def test_simhash_and_pairs_are_complete(spark):
     got = {r.id: r.hi << 32 | r.lo for r in dedup.simhash(df, "id", "text").collect()}
     assert got == {k: simhash(t) for k, t in texts.items()}
     prints = dedup.simhash(df, "id", "text").join(df.select("id", F.lit("g").alias("grp"), F.greatest(F.length("text"), F.lit(1)).alias("n_chars")), "id")
+    classes = {r.id: r.rep for r in dedup.fingerprint_classes(prints).collect()}
+    assert all(classes[k] == min(x for x in texts if got[x] == got[k] and max(1, len(texts[x])) == max(1, len(texts[k]))) for k in texts)
     for distance in (0, 3, 6):
-        pairs = {(r.a, r.b): r.distance for r in dedup.near_pairs(prints, distance).collect()}
+        found = {(r.a, r.b): r.distance for r in dedup.near_pairs(prints, distance).collect()}
+        linked = lambda a, b: 0 if classes[a] == classes[b] else found.get(tuple(sorted((classes[a], classes[b]))))  # noqa: B023, E731
+        pairs = {(a, b): d for a in texts for b in texts if a < b and (d := linked(a, b)) is not None}
         want = {(a, b): d for a in texts for b in texts if a < b and (d := (got[a] ^ got[b]).bit_count()) <= distance and min(len(texts[a]) or 1, len(texts[b]) or 1) / max(len(texts[a]) or 1, len(texts[b]) or 1) >= 0.85}
         assert pairs == want
 
@@ -142,6 +146,27 @@ def test_greedy_rejections_follow_order(spark):
     assert dedup.greedy_rejections(df.limit(0)).count() == 0
 
 
+def test_near_rejections_by_class_equal_those_by_id(spark):
+    rng = random.Random(11)
+    hashes = [rng.getrandbits(64) for _ in range(6)]
+    rows = []
+    for i in range(80):
+        h = rng.choice(hashes)
+        for _ in range(rng.choice([0, 0, 1, 2, 3])):
+            h ^= 1 << rng.randrange(64)
+        rows.append((f"d{i:02}", "g", 100, h >> 32, h & 0xFFFFFFFF))
+    kept, want = [], {}
+    of = {r[0]: r[3] << 32 | r[4] for r in rows}
+    for k in sorted(of):
+        near = [x for x in kept if (of[x] ^ of[k]).bit_count() <= 3]
+        if near:
+            want[k] = (near[0], (of[near[0]] ^ of[k]).bit_count())
+        else:
+            kept.append(k)
+    df = spark.createDataFrame(rows, "id string, grp string, n_chars int, hi long, lo long")
+    assert {r.id: (r.duplicate_of, r.distance) for r in dedup.near_rejections(df).collect()} == want
+
+
 def test_chunking(spark):
     df = spark.createDataFrame([(1, "第一句很短。第二句也很短。第三句还是很短。第四句结束了。"), (2, "无" * 65), (3, "a\n\nb\n\n\n\nc"), (4, "")], "id long, t string")
     got = {}
@@ -202,16 +227,48 @@ def test_all_vectors_but_the_search_are_prototypes(spark):
         assert abs(got[k].score - first) < 2e-6 and abs(got[k].margin - (first - second)) < 2e-6
 
 
-def test_graph_reaches_by_hops(spark):
-    nodes = spark.createDataFrame([("j", "job", "job", ["c1"]), ("s", "skill", "Python", ["c1", "c2"]), ("p", "project", "proj", ["c2"])], "node_id string, node_type string, name string, chunk_ids array<string>")
-    edges = spark.createDataFrame([("e1", "requires", "j", "s", ["c1"]), ("e2", "demonstrates", "p", "s", ["c2"])], "edge_id string, edge_type string, source_node_id string, target_node_id string, chunk_ids array<string>")
+def test_graph_reaches_by_hops(spark, tmp_path):
+    g = graph.Graph(
+        spark.createDataFrame([("j", "job", "job"), ("s", "skill", "Python"), ("p", "project", "proj")], "node_id string, node_type string, name string"),
+        spark.createDataFrame([("e1", "requires", "j", "s"), ("e2", "demonstrates", "p", "s")], "edge_id string, edge_type string, source_node_id string, target_node_id string"),
+        spark.createDataFrame([("j", "c1"), ("s", "c1"), ("s", "c2"), ("p", "c2")], "node_id string, chunk_id string"),
+        spark.createDataFrame([("e1", "c1"), ("e2", "c2")], "edge_id string, chunk_id string"),
+    )
     links = spark.createDataFrame([("q", "j")], "query_id string, node string")
     queries = spark.createDataFrame([("q", "岗位要求")], "query_id string, query string")
-    assert {(r.node, r.hops) for r in graph.reach(links, edges, 2).collect()} == {("j", 0), ("s", 1), ("p", 2)}
-    assert {(r.node, r.hops) for r in graph.reach(links, edges, 2, 2).collect()} == {("j", 0), ("s", 1)}
-    got = graph.graph_hits(queries, nodes, edges, links, 2, 5).orderBy("rank").collect()
+    assert {(r.node, r.hops) for r in graph.reach(links, g.edges, 2).collect()} == {("j", 0), ("s", 1), ("p", 2)}
+    assert {(r.node, r.hops) for r in graph.reach(links, g.edges, 2, 2).collect()} == {("j", 0), ("s", 1)}
+    got = graph.graph_hits(queries, g, links, 2, 5).orderBy("rank").collect()
     assert [(r.chunk_id, r.hops) for r in got] == [("c1", 0), ("c2", 1)]
-    assert graph.graph_hits(queries, nodes, edges, links.limit(0), 2, 5).count() == 0
+    assert graph.graph_hits(queries, g, links.limit(0), 2, 5).count() == 0
+    graph.save_graph(g, str(tmp_path / "g"))
+    assert graph.load_graph(spark, str(tmp_path / "g")).edges.count() == 2
+    graph.save_graph(graph.Graph(g.nodes.limit(1), g.edges, g.node_chunks, g.edge_chunks), str(tmp_path / "g"))
+    with pytest.raises(ValueError, match="do not agree"):
+        graph.load_graph(spark, str(tmp_path / "g"))
+
+
+def test_bounded_walk_is_first_in_first_out(spark):
+    from collections import deque
+
+    rng = random.Random(5)
+    edges = [(f"e{i:03}", rng.choice("xyz"), f"n{rng.randint(0, 39):02}", f"n{rng.randint(0, 39):02}") for i in range(120)]
+    starts = ["n03", "n17"]
+    near: dict = {}
+    for _, kind, a, b in edges:
+        near.setdefault(a, set()).add((kind, b))
+        near.setdefault(b, set()).add((kind, a))
+    for bound in (1, 2, 7, 15, 30):
+        queue, seen = deque((n, 0) for n in starts), {}
+        while queue and len(seen) < bound:
+            node, hops = queue.popleft()
+            if node not in seen:
+                seen[node] = hops
+                if hops < 2:
+                    queue.extend((n, hops + 1) for _, n in sorted(near.get(node, ())) if n not in seen)
+        df = spark.createDataFrame(edges, "edge_id string, edge_type string, source_node_id string, target_node_id string")
+        links = spark.createDataFrame([("q", n) for n in starts], "query_id string, node string")
+        assert {r.node: r.hops for r in graph.reach(links, df, 2, bound).collect()} == seen
 
 
 def test_path_counts_equal_listed_paths(spark):
@@ -234,6 +291,11 @@ def test_path_counts_equal_listed_paths(spark):
 
 
 def test_html_and_files(spark, tmp_path):
+    assert html.visible_text("<main>a</main>b<tr>c</tr><svg><svg>x</svg>y</svg> d<!-- <p> -->e<pre>f</pre><path d='>'>g &lt;p&gt;") == "a\nbc defg <p>"
+    for tag in html.BLOCKS:
+        assert html.visible_text(f"x<{tag} class='q'>y") == html.visible_text(f"x</{tag}>y") == "x\ny"
+    for tag in html.HIDDEN:
+        assert html.visible_text(f"x<{tag}>no <p>never</{tag}>y") == "xy"
     assert html.visible_text("<div>A&amp;B<script>x<b>y</b></script> c</div><p>d<br>e</p>") == "A&B c\nd\ne"
     df = spark.createDataFrame([(1, "<p>x</p>"), (2, None)], "id long, h string")
     assert {r.id: r.text for r in html.pages_to_text(df, "id", "h").collect()} == {1: "x", 2: None}
