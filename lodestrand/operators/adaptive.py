@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.functions.text import contains_any
@@ -18,6 +18,11 @@ TECHNICAL_TERMS = ("混合检索", "引用校验", "请求追踪", "意图路由
 JOB_WORD, OWN_WORDS = "岗位", ("项目", "经历", "简历")
 
 
+def cross_document(text: Column) -> Column:
+    """Whether a lower-cased query connects documents."""
+    return contains_any(text, CROSS_DOCUMENT_MARKERS) | (F.contains(text, F.lit(JOB_WORD)) & contains_any(text, OWN_WORDS))
+
+
 def features(queries: DataFrame, id_col: str, text_col: str, sources_col: str) -> DataFrame:
     """Seven features of each query; null sources count as none."""
     t = F.lower(F.trim(text_col))
@@ -30,7 +35,7 @@ def features(queries: DataFrame, id_col: str, text_col: str, sources_col: str) -
         (contains_any(t, TECHNICAL_TERMS) | F.col(text_col).rlike("[A-Za-z][A-Za-z0-9_.+-]+")).alias("has_exact_term"),
         contains_any(t, REWRITE_MARKERS).alias("has_semantic_rewrite"),
         ((count >= 2) | contains_any(t, MULTI_SOURCE_MARKERS)).alias("is_multi_source"),
-        (contains_any(t, CROSS_DOCUMENT_MARKERS) | (F.contains(t, F.lit(JOB_WORD)) & contains_any(t, OWN_WORDS))).alias("is_cross_document"),
+        cross_document(t).alias("is_cross_document"),
         (count == 0).alias("is_unanswerable_route"),
     )
 

@@ -45,6 +45,24 @@ def _fold(items: Column, budget: int) -> Column:
     return F.aggregate(items, start, step)
 
 
+def built_context(items: DataFrame, required: DataFrame, budget: int, strategy: str = "rank_prefix") -> DataFrame:
+    """``(query_id, used, skipped, covered, missing)`` of ``items(query_id, rank, chunk_id, source_type, size)``, a bounded
+    list a query, and ``required(query_id, sources)``: ids of the packed items and of the others, both by rank, the
+    source types of the packed ones, and the required ones that are not among them. ``strategy`` is "rank_prefix" or
+    "source_balanced"."""
+    if strategy not in ("rank_prefix", "source_balanced"):
+        raise ValueError(f"no such strategy: {strategy}")
+    if budget <= 0:
+        raise ValueError("the budget has to be above 0")
+    picked = rank_prefix(items, budget) if strategy == "rank_prefix" else source_balanced(items, required, budget)
+    rows = items.join(picked.select("query_id", "rank", F.lit(True).alias("taken")), ["query_id", "rank"], "left")
+    all_of = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "source_type", F.coalesce("taken", F.lit(False)).alias("taken")))).alias("x"))
+    ids = lambda keep: F.transform(F.filter("x", keep), lambda e: e["chunk_id"])
+    covered = F.array_sort(F.array_distinct(F.transform(F.filter("x", lambda e: e["taken"]), lambda e: e["source_type"])))
+    out = required.join(all_of, "query_id", "left").withColumn("x", F.coalesce("x", F.array().cast(all_of.schema["x"].dataType)))
+    return out.select("query_id", ids(lambda e: e["taken"]).alias("used"), ids(lambda e: ~e["taken"]).alias("skipped"), covered.alias("covered"), F.array_except(F.array_distinct("sources"), covered).alias("missing"))
+
+
 def source_balanced(items: DataFrame, required: DataFrame, budget: int) -> DataFrame:
     """The best item of each required source first, then the others by rank; whatever fits is taken. ``items`` has
     ``(query_id, rank, chunk_id, source_type, size)``, a bounded list a query; ``required`` has ``(query_id,
@@ -80,26 +98,60 @@ def item_size(text: Column | str) -> Column:
     return F.length(squeezed(text))
 
 
-def managed_context(segments: DataFrame, budget: int) -> DataFrame:
-    """The ``segments(query_id, priority, segment_id, size)`` that fit a token budget: by falling priority, then id;
-    whatever still fits is taken. Segments of a query are a bounded list."""
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("ids"))
+#: Priorities of the kinds of segments, and what each mode takes of a conversation.
+PRIORITIES = {"system": 100, "query": 100, "profile": 90, "memory": 80, "evidence": 70, "summary": 60, "history": 50}
+MODES = {"no_memory": (), "full_history": ("history",), "recent_window": ("history",), "summary_recent": ("summary", "history"), "semantic_memory": ("memory",)}
+
+
+def segments(parts: DataFrame, mode: str, recent: int = 6) -> DataFrame:
+    """The ``parts(query_id, kind, segment_id, seq, size)`` that a mode takes, with their ``priority``. Every mode takes
+    system, query, profile and evidence; those that take history take its last ``recent`` messages by ``seq``, apart from
+    "full_history", which takes all."""
+    if mode not in MODES:
+        raise ValueError(f"no such mode: {mode}")
+    own = parts.where(F.col("kind").isin("system", "query", "profile", "evidence", *MODES[mode]))
+    if mode != "full_history":
+        last = F.row_number().over(Window.partitionBy("query_id", "kind").orderBy(F.desc("seq"), F.desc("segment_id")))
+        own = own.withColumn("n", last).where((F.col("kind") != "history") | (F.col("n") <= recent)).drop("n")
+    known = F.create_map(*(F.lit(x) for pair in PRIORITIES.items() for x in pair))
+    return own.withColumn("priority", F.element_at(known, F.col("kind")))
+
+
+def managed_context(segments: DataFrame, budget: int, reserved: int = 0) -> DataFrame:
+    """``(query_id, segment_id, used, error)``: the ``segments(query_id, kind, priority, segment_id, size)`` that fit a token
+    budget less what is reserved. System and query always come first and have to fit; where they do not, or are missing,
+    the query gets one row with an ``error`` and no segment. The others come by falling priority, then id; whatever still
+    fits is taken. ``used`` are the tokens up to there. Segments of a query are a bounded list."""
+    room = budget - reserved
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<segment_id:string,used:bigint>>").alias("taken"))
 
     def step(s: Column, x: Column) -> Column:
         used = s["used"] + x["size"]
-        return F.when(used <= budget, F.struct(used.cast("long").alias("used"), F.concat(s["ids"], F.array(x["segment_id"])).alias("ids"))).otherwise(s)
+        more = F.struct(x["segment_id"].alias("segment_id"), used.cast("long").alias("used"))
+        return F.when(used <= room, F.struct(used.cast("long").alias("used"), F.concat(s["taken"], F.array(more)).alias("taken"))).otherwise(s)
 
-    ordered = segments.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("o"), "segment_id", F.col("size").cast("long").alias("size")))).alias("x"))
-    return ordered.select("query_id", F.explode(F.aggregate("x", start, step)["ids"]).alias("segment_id"))
+    fixed = F.col("kind").isin("system", "query")
+    key = F.struct((~fixed).alias("late"), (-F.col("priority")).alias("o"), "segment_id", F.col("size").cast("long").alias("size"))
+    ordered = segments.groupBy("query_id").agg(F.array_sort(F.collect_list(key)).alias("x"), F.sum(F.when(fixed, F.col("size"))).alias("fixed"), F.count_distinct(F.when(fixed, F.col("kind"))).alias("n_fixed"))
+    error = F.when(F.col("n_fixed") < 2, "missing_segment").when(F.col("fixed") > room, "budget")
+    taken = F.when(error.isNull(), F.aggregate("x", start, step)["taken"])
+    return ordered.select("query_id", error.alias("error"), F.explode_outer(taken).alias("t")).select("query_id", "t.segment_id", "t.used", "error")
 
 
-ANSWER_SCHEMA = "answer string, cited_chunk_ids array<string>, sufficient boolean"
+FIELDS = {"answer": ("STRING",), "cited_chunk_ids": ("ARRAY<STRING>", "ARRAY<VOID>"), "sufficient": ("BOOLEAN",), "reason": ("STRING",)}
 
 
 def parsed_generations(rows: DataFrame, json_col: str) -> DataFrame:
-    """Adds ``answer``, ``cited``, ``sufficient`` and ``error``: ``invalid_json``, ``missing_field`` or null."""
-    parsed = rows.withColumn("p", F.from_json(json_col, ANSWER_SCHEMA, {"mode": "PERMISSIVE"}))
-    broken = F.try_parse_json(json_col).isNull()
-    missing = F.col("p.answer").isNull() | F.col("p.cited_chunk_ids").isNull() | F.col("p.sufficient").isNull()
-    error = F.when(broken, "invalid_json").when(missing, "missing_field")
-    return parsed.select(*rows.columns, F.col("p.answer").alias("answer"), F.col("p.cited_chunk_ids").alias("cited"), F.col("p.sufficient").alias("sufficient"), error.alias("error"))
+    """Adds ``answer``, ``cited``, ``sufficient``, ``reason`` and ``error``: ``invalid_json``; ``invalid_field_type`` if the
+    whole is no object or a field has another type; ``missing_field``; or null. Faulty rows have no values."""
+    v = rows.withColumn("v", F.try_parse_json(json_col))
+    kind = lambda field: F.schema_of_variant(F.try_variant_get("v", f"$.{field}", "variant"))
+    missing, wrong = F.lit(False), F.lit(False)
+    for field, kinds in FIELDS.items():
+        got = kind(field)
+        missing = missing | got.isNull()
+        wrong = wrong | ~got.isin(*kinds)
+    error = F.when(F.col("v").isNull(), "invalid_json").when(~F.schema_of_variant("v").startswith("OBJECT"), "invalid_field_type").when(missing, "missing_field").when(wrong, "invalid_field_type")
+    out = v.withColumn("error", error)
+    value = lambda field, kind: F.when(F.col("error").isNull(), F.try_variant_get("v", f"$.{field}", kind))
+    return out.select(*rows.columns, value("answer", "string").alias("answer"), value("cited_chunk_ids", "array<string>").alias("cited"), value("sufficient", "boolean").alias("sufficient"), value("reason", "string").alias("reason"), "error")

@@ -36,7 +36,7 @@ def usable(vectors: DataFrame, dimensions: int) -> DataFrame:
     return one.mapInArrow(run, f"{kinds}, unit array<double>")
 
 
-def _blocked(queries: DataFrame, vectors: DataFrame, compare: Callable, schema: str) -> DataFrame:
+def _blocked(queries: DataFrame, vectors: DataFrame, compare: Callable, schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """Rows of ``compare(queries, their numbers, vectors, table of the vectors, table of the queries)`` for all pairs of a
     block of vectors and a block of queries of one group. Blocks have a bounded number of rows, so their number follows
     the tables; a vector is sent once for each block of queries, a query once for each block of vectors."""
@@ -46,7 +46,7 @@ def _blocked(queries: DataFrame, vectors: DataFrame, compare: Callable, schema:
     of_queries = max(1, -(-m // QUERY_ROWS))
     place = lambda c, blocks: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = vectors.select(F.col("grp").alias("v_grp"), place("chunk_id", of_vectors).alias("v_i"), each(of_queries).alias("v_j"), "chunk_id", "source_type", F.col("unit").alias("v_unit"))
+    left = vectors.select(F.col("grp").alias("v_grp"), place("chunk_id", of_vectors).alias("v_i"), each(of_queries).alias("v_j"), "chunk_id", "source_type", F.col("unit").alias("v_unit"), *(F.col(c) for c in extra))
     right = queries.select("grp", each(of_vectors).alias("i"), place("query_id", of_queries).alias("j"), "query_id", "unit")
     names = [f.split(" ")[0] for f in schema.split(", ")]
 
@@ -66,13 +66,16 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, positive_onl
     """``(query_id, chunk_id, source_type, score, rank)``: the ``k`` nearest of ``vectors(grp, chunk_id, source_type,
     unit)`` for each of ``queries(grp, query_id, unit)`` of its group, itself left out.
 
-    A block is one matrix product; it sends on what may be among the k best of a query, ties included, and the last
+    If ``vectors`` have a ``boost`` it is added to their scores, and equal scores go to the lower ``tie`` if they have
+    one. A block is one matrix product; it sends on what may be among the k best of a query, ties included, and the last
     choice is made over all blocks."""
+    boosted, tied = "boost" in vectors.columns, "tie" in vectors.columns
 
     def compare(q, mine, x, a, b):
         at, by, scores = [], [], []
+        boost = a.column("boost").to_numpy() if boosted else 0.0
         for first in range(0, len(q), 256):
-            s = np.round(q[first : first + 256] @ x.T, DIGITS + 3)
+            s = np.round(q[first : first + 256] @ x.T + boost, DIGITS + 3)
             here = np.flatnonzero(mine[first : first + 256] >= 0)
             s[here, mine[first : first + 256][here]] = -np.inf
             if positive_only:
@@ -83,11 +86,11 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, positive_onl
             at.append(columns)
             scores.append(s[rows, columns])
         at, by = pa.array(np.concatenate(at)), pa.array(np.concatenate(by))
-        return [b.column("query_id").take(by), a.column("chunk_id").take(at), a.column("source_type").take(at), pa.array(np.concatenate(scores))]
+        return [b.column("query_id").take(by), a.column("chunk_id").take(at), a.column("source_type").take(at), pa.array(np.concatenate(scores)), *([a.column("tie").take(at)] if tied else [])]
 
     kinds = {c: vectors.schema[c].dataType.simpleString() for c in ("chunk_id", "source_type")} | {"query_id": queries.schema["query_id"].dataType.simpleString()}
-    hits = _blocked(queries, vectors, compare, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, source_type {kinds['source_type']}, score double")
-    return top_k(hits, k, "source_type", "chunk_id")
+    hits = _blocked(queries, vectors, compare, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, source_type {kinds['source_type']}, score double" + ", tie double" * tied, ("boost",) * boosted + ("tie",) * tied)
+    return top_k(hits, k, *["tie"] * tied, "source_type", "chunk_id")
 
 
 def best_by_source(queries: DataFrame, vectors: DataFrame) -> DataFrame:

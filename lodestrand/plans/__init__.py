@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load() -> None:
-    from lodestrand.plans import corpus_queries, evaluation_queries, more_queries, report_queries, retrieval_queries, text_queries  # noqa: F401
+    from lodestrand.plans import corpus_queries, evaluation_queries, grading_queries, more_queries, pipeline_queries, report_queries, retrieval_queries, state_queries, text_queries  # noqa: F401
 
 
 def core_queries() -> dict:

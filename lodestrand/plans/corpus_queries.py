@@ -5,19 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lodestrand.functions import corpus as C
 from lodestrand.functions import text as T
 from lodestrand.operators import chunking, dedup, metrics
 from lodestrand.plans.registry import CASES, CHUNKS, cases, chunks, query
 from lodestrand.plans.text_queries import QUALITY_SQL, SQUEEZED
 from lodestrand.session import table
 
-TYPES = ("jd", "project_logs", "interview", "resume", "user_profile")
-
-
-@query("a3_source_type", "SELECT doc_id, split_part(source_path, '/', 1) AS source_type, split_part(source_path, '/', 1) IN ('jd', 'project_logs', 'interview', 'resume', 'user_profile') AS known FROM documents")
+@query("a3_source_type", "SELECT doc_id, CASE WHEN split_part(source_path, '/', 1) IN ('jd', 'project_logs', 'interview', 'resume', 'user_profile') THEN split_part(source_path, '/', 1) END AS source_type FROM documents")
 def a3(spark, d):
-    first = F.split_part("source_path", F.lit("/"), F.lit(1))
-    return table(spark, d, "documents").select("doc_id", first.alias("source_type"), first.isin(*TYPES).alias("known"))
+    return table(spark, d, "documents").select("doc_id", C.source_type(F.col("source_path")).alias("source_type"))
 
 
 @query("a4_front_matter", """WITH j AS (SELECT job_id, version, min('---' || chr(10) || 'company: ' || company || chr(10) || 'title : ' || job_title || chr(10) || 'no value here' || chr(10) || '---' || chr(10) || description) AS t FROM job_postings WHERE description IS NOT NULL GROUP BY job_id, version),
@@ -26,18 +23,12 @@ SELECT job_id, version, trim(split_part(line, ':', 1)) AS key, trim(substr(line,
 def a4(spark, d):
     t = F.concat(F.lit("---\ncompany: "), "company", F.lit("\ntitle : "), "job_title", F.lit("\nno value here\n---\n"), "description")
     rows = table(spark, d, "job_postings").where("description is not null").groupBy("job_id", "version").agg(F.min(t).alias("t"))
-    line = F.explode(F.split(F.regexp_extract("t", "^---\\n((?s).*?)\\n---\\n", 1), "\n")).alias("line")
-    at = F.instr("line", F.lit(":"))
-    return rows.select("job_id", "version", line).where(at > 0).select("job_id", "version", F.trim(F.split_part("line", F.lit(":"), F.lit(1))).alias("key"), F.trim(F.expr("substring(line, instr(line, ':') + 1)")).alias("value"))
+    return rows.select("job_id", "version", F.inline(C.front_matter(F.col("t"))))
 
 
 @query("a5_metadata", "SELECT doc_id, coalesce(title, 'untitled') AS title, CASE WHEN lower(trim(review_status)) IN ('reviewed', 'pending', 'rejected') THEN lower(trim(review_status)) ELSE 'unreviewed' END AS review_status, coalesce(license_status, 'unknown') AS license_status, coalesce(lower(trim(CAST(anonymized AS VARCHAR))) IN ('1', 'true', 'yes'), false) AS anonymized FROM documents")
 def a5(spark, d):
-    status = F.lower(F.trim("review_status"))
-    return table(spark, d, "documents").select(
-        "doc_id", F.coalesce("title", F.lit("untitled")).alias("title"), F.when(status.isin("reviewed", "pending", "rejected"), status).otherwise("unreviewed").alias("review_status"), F.coalesce("license_status", F.lit("unknown")).alias("license_status"),
-        F.coalesce(F.lower(F.trim(F.col("anonymized").cast("string"))).isin("1", "true", "yes"), F.lit(False)).alias("anonymized"),
-    )
+    return table(spark, d, "documents").select("doc_id", F.coalesce("title", F.lit("untitled")).alias("title"), C.review_state(F.col("review_status")).alias("review_status"), F.coalesce("license_status", F.lit("unknown")).alias("license_status"), C.is_yes(F.col("anonymized")).alias("anonymized"))
 
 
 JOB_DOC = "'# ' || company || ' - ' || job_title || chr(10) || chr(10) || '## Description' || chr(10) || coalesce(description, '') || chr(10) || chr(10) || '## Requirements' || chr(10) || coalesce(requirements, '')"
@@ -45,43 +36,35 @@ JOB_DOC = "'# ' || company || ' - ' || job_title || chr(10) || chr(10) || '## De
 
 @query("a9_job_documents", f"SELECT job_id, version, company || ' - ' || job_title AS title, sha256({JOB_DOC}) AS text_hash, CAST(length({JOB_DOC}) AS INTEGER) AS n_chars FROM job_postings")
 def a9(spark, d):
-    title = F.concat("company", F.lit(" - "), "job_title")
-    text = F.concat(F.lit("# "), title, F.lit("\n\n## Description\n"), F.coalesce("description", F.lit("")), F.lit("\n\n## Requirements\n"), F.coalesce("requirements", F.lit("")))
-    return table(spark, d, "job_postings").select("job_id", "version", title.alias("title"), F.sha2(text, 256).alias("text_hash"), F.length(text).alias("n_chars"))
+    text = C.job_document(F.col("company"), F.col("job_title"), F.col("description"), F.col("requirements"))
+    return table(spark, d, "job_postings").select("job_id", "version", C.job_title(F.col("company"), F.col("job_title")).alias("title"), F.sha2(text, 256).alias("text_hash"), F.length(text).alias("n_chars"))
 
 
 @query("a11_segment_extract", "WITH s AS (SELECT doc_id, text, strpos(text, '## ') AS b FROM documents WHERE strpos(text, '## ') > 0), e AS (SELECT doc_id, substr(text, b + 3) AS rest FROM s) SELECT doc_id, rtrim(CASE WHEN strpos(rest, chr(10)) > 0 THEN substr(rest, 1, strpos(rest, chr(10)) - 1) ELSE rest END, ' ') AS segment FROM e")
 def a11(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.expr("substring(text, instr(text, '## ') + 3)").alias("rest"), F.instr("text", F.lit("## ")).alias("b")).where("b > 0")
-    return rows.select("doc_id", F.rtrim(F.substring_index("rest", "\n", 1)).alias("segment"))
+    return table(spark, d, "documents").select("doc_id", C.segment(F.col("text"), "## ", "\n").alias("segment")).where("segment is not null")
 
 
 @query("a14_tagged_rows", "WITH t AS (SELECT job_id, version, '<title>' || job_title || '</title><text>' || coalesce(description, '') || '</text>' AS t FROM job_postings) SELECT job_id, version, regexp_extract(t, '<title>((?s).*?)</title>', 1) AS title, CAST(length(regexp_extract(t, '<text>((?s).*?)</text>', 1)) AS INTEGER) AS n_chars FROM t WHERE length(regexp_extract(t, '<text>((?s).*?)</text>', 1)) >= 60")
 def a14(spark, d):
     t = F.concat(F.lit("<title>"), "job_title", F.lit("</title><text>"), F.coalesce("description", F.lit("")), F.lit("</text>"))
     rows = table(spark, d, "job_postings").select("job_id", "version", t.alias("t"))
-    rows = rows.select("job_id", "version", F.regexp_extract("t", "(?s)<title>(.*?)</title>", 1).alias("title"), F.length(F.regexp_extract("t", "(?s)<text>(.*?)</text>", 1)).alias("n_chars"))
-    return rows.where("n_chars >= 60")
+    return rows.select("job_id", "version", C.tagged(F.col("t"), "title").alias("title"), F.length(C.tagged(F.col("t"), "text")).alias("n_chars")).where("n_chars >= 60")
 
 
 @query("a16_markdown_sections", "WITH s AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '(^|\\n)(##{1,2}\\s)', '\\1' || chr(1) || '\\2', 'g'), chr(1))) AS section FROM documents) SELECT doc_id, sha256(trim(section, ' ' || chr(10) || chr(13))) AS section_hash FROM s WHERE length(trim(section, ' ' || chr(10) || chr(13))) >= 80")
 def a16(spark, d):
-    marked = F.regexp_replace("text", "(^|\\n)(##{1,2}\\s)", "$1\x01$2")
-    rows = table(spark, d, "documents").select("doc_id", F.explode(F.split(marked, "\x01")).alias("section"))
-    section = F.trim("section", F.lit(" \n\r"))
-    return rows.where(F.length(section) >= 80).select("doc_id", F.sha2(section, 256).alias("section_hash"))
+    return table(spark, d, "documents").select("doc_id", F.explode(C.sections(F.col("text"), 80)).alias("section")).select("doc_id", F.sha2("section", 256).alias("section_hash"))
 
 
 @query("a17_markdown_title", "SELECT doc_id, coalesce(nullif(regexp_extract(text, '(?:^|\\n)#{1,2}[ \\t]+([^\\n\\r]+)', 1), ''), list_extract(string_split(source_path, '/'), -1)) AS title FROM documents")
 def a17(spark, d):
-    heading = F.nullif(F.regexp_extract("text", "(?:^|\\n)#{1,2}[ \\t]+([^\\n\\r]+)", 1), F.lit(""))
-    return table(spark, d, "documents").select("doc_id", F.coalesce(heading, F.element_at(F.split("source_path", "/"), -1)).alias("title"))
+    return table(spark, d, "documents").select("doc_id", C.markdown_title(F.col("text"), F.col("source_path")).alias("title"))
 
 
 @query("a18_markdown_noise", "SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(text, '<img[^>]*>', '', 'g'), '!\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))) AS text_hash FROM documents")
 def a18(spark, d):
-    t = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "<img[^>]*>", ""), "!\\[[^\\]]*\\]\\([^)]*\\)", ""), "\\n{3,}", "\n\n")
-    return table(spark, d, "documents").select("doc_id", F.sha2(F.trim(t, F.lit(" \n")), 256).alias("text_hash"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(C.without_images(F.col("text")), 256).alias("text_hash"))
 
 
 @query("a32_last_writer_wins", "SELECT job_id, version, city, status, epoch_us(last_seen_at) AS last_seen_us FROM job_postings QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY version DESC, last_seen_at DESC, status, city NULLS FIRST) = 1")

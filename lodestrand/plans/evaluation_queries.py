@@ -288,11 +288,6 @@ def c14(spark, d):
 RELATIONS = "list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(query), '{w}')" for w in words) + f" THEN '{name}' END" for name, words in graph.RELATION_WORDS.items()) + "], lambda x: x IS NOT NULL)"
 
 
-@query("j1_query_relations", f"WITH {CASES} SELECT case_id, array_to_string({RELATIONS}, ',') AS relations FROM ca WHERE query IS NOT NULL")
-def j1(spark, d):
-    return cases(spark, d).where("query is not null").select("case_id", F.array_join(graph.relations(F.col("query")), ",").alias("relations"))
-
-
 NODES = 160  # nodes visited for a query, first in, first out
 CAPPED = LINKS.replace("WITH ", "") + f""", v0 AS (SELECT query_id, node, 0 AS hops, row_number() OVER (PARTITION BY query_id ORDER BY node) AS visit FROM lk QUALIFY visit <= {NODES}),
 k1 AS (SELECT query_id, next AS node, min({{'v': visit, 't': edge_type, 'n': next}}) AS key FROM v0 JOIN aj USING (node) GROUP BY query_id, next), n1 AS (SELECT query_id, node, 1 AS hops, row_number() OVER (PARTITION BY query_id ORDER BY key) + (SELECT count(*) FROM v0 WHERE v0.query_id = k1.query_id) AS visit FROM k1 ANTI JOIN v0 USING (query_id, node) QUALIFY visit <= {NODES}), w1 AS (FROM v0 UNION ALL FROM n1),

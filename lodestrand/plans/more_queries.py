@@ -18,7 +18,7 @@ from lodestrand.plans.report_queries import BOTH_RUNS, keyword_metrics
 from lodestrand.plans.evaluation_queries import search_metrics
 from lodestrand.plans.retrieval_queries import BM25, bm25_hits, index_of, ranked
 from lodestrand.plans.text_queries import MATCH, VEC, vectors
-from lodestrand.session import shared_folder, table
+from lodestrand.session import shared_folder, staged, table
 
 
 LABEL_PAIRS = "p AS (SELECT DISTINCT x.c AS a, y.c AS b FROM (SELECT case_id, unnest(list_distinct(relevant_chunk_ids)) AS c FROM ca) x JOIN (SELECT case_id, unnest(list_distinct(relevant_chunk_ids)) AS c FROM ca) y ON x.case_id = y.case_id AND x.c < y.c)"
@@ -104,11 +104,26 @@ def h2(spark, d):
     return part(1, first).union(part(2, again))
 
 
-@query("h6_managed_context")
+SEGMENTS = f"""{BM25}, pt AS (SELECT query_id, 'system' AS kind, 'system' AS segment_id, 0 AS seq, 9 AS size FROM se UNION ALL SELECT query_id, 'query', 'query', 0, CAST(length(query) AS INTEGER) FROM se UNION ALL SELECT b.query_id, 'evidence', b.chunk_id, b.rank, CAST(length(ch.text) AS INTEGER) FROM {ranked('bs', 10, 'source_type, chunk_id')} b JOIN ch USING (chunk_id) UNION ALL SELECT query_id, 'history', 'h' || lpad(CAST(i AS VARCHAR), 3, '0'), i, 20 * i FROM se, (SELECT unnest(range(1, 13)) AS i) UNION ALL SELECT query_id, 'memory', 'm' || i, i, 40 FROM se, (SELECT unnest(range(1, 4)) AS i)),
+sg AS (SELECT m.mode, pt.*, CASE kind WHEN 'system' THEN 100 WHEN 'query' THEN 100 WHEN 'memory' THEN 80 WHEN 'evidence' THEN 70 ELSE 50 END AS priority FROM pt, (VALUES ('no_memory'), ('full_history'), ('recent_window'), ('semantic_memory')) AS m(mode) WHERE kind IN ('system', 'query', 'evidence') OR kind = 'memory' AND mode = 'semantic_memory' OR kind = 'history' AND (mode = 'full_history' OR mode = 'recent_window' AND seq > 6)),
+od AS (SELECT *, row_number() OVER (PARTITION BY mode, query_id ORDER BY kind NOT IN ('system', 'query'), priority DESC, segment_id) AS o FROM sg),
+pk AS (SELECT DISTINCT mode, query_id, CAST(0 AS BIGINT) AS o, CAST(0 AS BIGINT) AS used, CAST(NULL AS VARCHAR) AS taken FROM sg UNION ALL SELECT pk.mode, pk.query_id, od.o, CASE WHEN used + size <= 1700 THEN used + size ELSE used END, CASE WHEN used + size <= 1700 THEN od.segment_id END FROM pk JOIN od ON od.mode = pk.mode AND od.query_id = pk.query_id AND od.o = pk.o + 1)"""
+
+
+@query("h6_managed_context", f"WITH RECURSIVE {SEGMENTS} SELECT mode, query_id, taken AS segment_id, used FROM pk WHERE taken IS NOT NULL")
 def h6(spark, d):
-    evidence = items(spark, d).select("query_id", F.lit(70).alias("priority"), F.concat(F.lit("e"), F.lpad(F.col("rank").cast("string"), 3, "0")).alias("segment_id"), "size")
-    asked = searches(spark, d).select("query_id", F.lit(100).alias("priority"), F.lit("query").alias("segment_id"), T.token_estimate("query").alias("size"))
-    return context.managed_context(evidence.union(asked), 1800)
+    """Four modes over one conversation: twelve messages, three memories, and the evidence of each search."""
+    q = searches(spark, d).select("query_id", "query")
+    part = lambda rows, kind, name, seq, size: rows.select("query_id", F.lit(kind).alias("kind"), name.alias("segment_id"), seq.cast("int").alias("seq"), size.cast("int").alias("size"))
+    texts = bm25_hits(spark, d, 10).join(chunks(spark, d).select("chunk_id", "text"), "chunk_id")
+    talk = q.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("i"))
+    known = q.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("i"))
+    parts = part(q, "system", F.lit("system"), F.lit(0), F.lit(9)).union(part(q, "query", F.lit("query"), F.lit(0), F.length("query"))).union(part(texts, "evidence", F.col("chunk_id"), F.col("rank"), F.length("text")))
+    parts = parts.union(part(talk, "history", F.concat(F.lit("h"), F.lpad(F.col("i").cast("string"), 3, "0")), F.col("i"), 20 * F.col("i"))).union(part(known, "memory", F.concat(F.lit("m"), F.col("i").cast("string")), F.col("i"), F.lit(40)))
+    parts = staged(parts, "segments")
+    modes = ("no_memory", "full_history", "recent_window", "semantic_memory")
+    runs = [context.managed_context(context.segments(parts, mode), 1800, 100).select(F.lit(mode).alias("mode"), "query_id", "segment_id", "used") for mode in modes]
+    return reduce(DataFrame.union, runs)
 
 
 @query("h8_prompts", f"WITH {BM25}, c AS (SELECT b.query_id, string_agg('chunk_id: ' || b.chunk_id || chr(10) || ch.text, chr(10) || chr(10) ORDER BY b.rank) AS ctx FROM {ranked('bs', 3, 'source_type, chunk_id')} b JOIN ch USING (chunk_id) GROUP BY b.query_id) SELECT query_id, sha256('Question: ' || query || chr(10) || 'Evidence:' || chr(10) || ctx) AS prompt_hash FROM se JOIN c USING (query_id)")
@@ -120,11 +135,16 @@ def h8(spark, d):
     return rows.select("query_id", F.sha2(F.concat(F.lit("Question: "), "query", F.lit("\nEvidence:\n"), "ctx"), 256).alias("prompt_hash"))
 
 
-@query("h9_parsed_generations", f"WITH {CASES}, g AS (SELECT case_id, CASE WHEN category = 'cross_source' THEN 'no json ' || case_id WHEN category = 'match_resume' THEN '{{\"answer\": \"' || case_id || '\"}}' ELSE '{{\"answer\": \"' || case_id || '\", \"cited_chunk_ids\": [\"a\", \"b\"], \"sufficient\": ' || CASE WHEN answerable THEN 'true' ELSE 'false' END || '}}' END AS j, category, answerable FROM ca) SELECT case_id, CASE WHEN json_valid(j) THEN (j ->> 'answer') END AS answer, CASE WHEN NOT json_valid(j) THEN 'invalid_json' WHEN (j -> 'cited_chunk_ids') IS NULL THEN 'missing_field' END AS error FROM g")
+@query("h9_parsed_generations", f"WITH {CASES}, g AS (SELECT case_id, CAST(substring(case_id, 5) AS BIGINT) % 8 AS n FROM ca) SELECT case_id, CASE WHEN n >= 6 THEN case_id END AS answer, CASE WHEN n >= 6 THEN CASE WHEN n = 7 THEN 'a,b' ELSE '' END END AS cited, CASE WHEN n >= 6 THEN n = 7 END AS sufficient, CASE n WHEN 0 THEN 'invalid_json' WHEN 1 THEN 'invalid_field_type' WHEN 2 THEN 'missing_field' WHEN 3 THEN 'invalid_field_type' WHEN 4 THEN 'invalid_field_type' WHEN 5 THEN 'invalid_field_type' END AS error FROM g")
 def h9(spark, d):
-    answer = F.concat(F.lit('{"answer": "'), "case_id", F.lit('"'))
-    j = F.when(F.col("category") == "cross_source", F.concat(F.lit("no json "), "case_id")).when(F.col("category") == "match_resume", F.concat(answer, F.lit("}"))).otherwise(F.concat(answer, F.lit(', "cited_chunk_ids": ["a", "b"], "sufficient": '), F.when(F.col("answerable"), "true").otherwise("false"), F.lit("}")))
-    return context.parsed_generations(cases(spark, d).select("case_id", j.alias("j")), "j").select("case_id", "answer", "error")
+    """Generations of eight kinds: broken, no object, a field missing, three with a field of another type, two right."""
+    n = F.expr("cast(substring(case_id, 5) as bigint) % 8")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    whole = lambda answer, cited, sure, why='"why"': text('{"answer": ', answer, f', "cited_chunk_ids": {cited}, "sufficient": {sure}, "reason": {why}}}')
+    own = text('"', F.col("case_id"), '"')
+    j = F.when(n == 0, text("no json ", F.col("case_id"))).when(n == 1, text('["', F.col("case_id"), '"]')).when(n == 2, text('{"answer": ', own, ', "cited_chunk_ids": [], "sufficient": true}')).when(n == 3, whole("1", "[]", "true")).when(n == 4, whole(own, "[1]", "true")).when(n == 5, whole(own, "[]", '"yes"')).when(n == 6, whole(own, "[]", "false")).otherwise(whole(own, '["a", "b"]', "true"))
+    rows = context.parsed_generations(cases(spark, d).select("case_id", j.alias("j")), "j")
+    return rows.select("case_id", "answer", F.array_join("cited", ",").alias("cited"), "sufficient", "error")
 
 
 @query("k1_point_verdicts", f"WITH {CASES}, {CHUNKS}, t AS (SELECT case_id, {MATCH.replace('{t}', 'text')} AS t FROM (SELECT case_id, unnest(list_distinct(relevant_chunk_ids)) AS chunk_id FROM ca) JOIN ch USING (chunk_id)), p AS (SELECT case_id, unnest(list_distinct(expected_points)) AS point FROM ca) SELECT case_id, point, CASE WHEN bool_or(contains(t, {MATCH.replace('{t}', 'point')})) THEN 'matched' ELSE 'unmatched' END AS verdict FROM p JOIN t USING (case_id) GROUP BY case_id, point")

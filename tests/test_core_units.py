@@ -369,6 +369,14 @@ def test_index_round_trip(spark, small, tmp_path):
 
 
 def test_managed_context(spark):
-    rows = [("q", 70, "b", 50), ("q", 100, "query", 30), ("q", 70, "a", 40), ("q", 50, "c", 10)]
-    got = context.managed_context(spark.createDataFrame(rows, "query_id string, priority int, segment_id string, size int"), 85)
-    assert {r.segment_id for r in got.collect()} == {"query", "a", "c"}
+    rows = [("q", "system", 0, "system", 10), ("q", "query", 0, "query", 30), ("q", "evidence", 1, "e001", 50), ("q", "evidence", 2, "e002", 40), ("q", "evidence", 3, "e003", 5), ("q", "history", 1, "h1", 1), ("q", "history", 2, "h2", 2), ("q", "memory", 1, "m1", 3)]
+    rows += [("large", "system", 0, "system", 90), ("large", "query", 0, "query", 30), ("bare", "query", 0, "query", 3)]
+    parts = spark.createDataFrame(rows, "query_id string, kind string, seq int, segment_id string, size int")
+    take = lambda mode: {(r.query_id, r.segment_id, r.error) for r in context.managed_context(context.segments(parts, mode, 1), 105, 10).collect()}
+    faulty = {("large", None, "budget"), ("bare", None, "missing_segment")}
+    q = lambda *ids: {("q", i, None) for i in ids}
+    assert take("no_memory") == faulty | q("system", "query", "e001", "e003")
+    assert take("semantic_memory") == faulty | q("system", "query", "m1", "e001")
+    assert take("recent_window") == take("no_memory") and take("full_history") == take("no_memory")
+    with pytest.raises(ValueError, match="no such mode"):
+        context.segments(parts, "other")
