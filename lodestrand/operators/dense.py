@@ -66,14 +66,14 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, positive_onl
     """``(query_id, chunk_id, source_type, score, rank)``: the ``k`` nearest of ``vectors(grp, chunk_id, source_type,
     unit)`` for each of ``queries(grp, query_id, unit)`` of its group, itself left out.
 
-    If ``vectors`` have a ``boost`` it is added to their scores, and equal scores go to the lower ``tie`` if they have
+    If ``vectors`` have a ``boost`` it is added to their scores (null as 0), and equal scores go to the lower ``tie`` if they have
     one. A block is one matrix product; it sends on what may be among the k best of a query, ties included, and the last
     choice is made over all blocks."""
     boosted, tied = "boost" in vectors.columns, "tie" in vectors.columns
 
     def compare(q, mine, x, a, b):
         at, by, scores = [], [], []
-        boost = a.column("boost").to_numpy() if boosted else 0.0
+        boost = np.nan_to_num(a.column("boost").to_numpy().astype(np.float64)) if boosted else 0.0
         for first in range(0, len(q), 256):
             s = np.round(q[first : first + 256] @ x.T + boost, DIGITS + 3)
             here = np.flatnonzero(mine[first : first + 256] >= 0)

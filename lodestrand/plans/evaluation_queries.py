@@ -295,9 +295,15 @@ k2 AS (SELECT query_id, next AS node, min({{'v': visit, 't': edge_type, 'n': nex
 s2 AS (SELECT query_id, node, CAST(hops AS INTEGER) AS hops FROM (FROM w1 UNION ALL FROM n2))"""
 
 
-@query("d18_graph_topk", f"""WITH {CAPPED}, wt AS (SELECT query_id, {RELATIONS} AS wanted FROM se), gc AS (SELECT query_id, unnest(chunk_ids) AS chunk_id, 1.0 / (1 + hops) AS score, hops FROM s2 JOIN nd ON nd.node_id = s2.node UNION ALL SELECT query_id, unnest(eg.chunk_ids), 0.8 / (1 + hops) + CASE WHEN list_contains(wanted, aj.edge_type) THEN 0.2 ELSE 0.0 END, hops + 1 FROM s2 JOIN aj USING (node) JOIN eg USING (edge_id) JOIN wt USING (query_id) WHERE hops < 2),
-gb AS (SELECT query_id, chunk_id, CAST(score AS DOUBLE) AS score, CAST(hops AS INTEGER) AS hops FROM gc QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY round(score, 9) DESC, hops) = 1)
-SELECT query_id, chunk_id, round(score, 6) AS score, hops, rank FROM {ranked('gb', 10, 'hops, chunk_id', 'true')}""")
+GRAPH_HITS = f"""wt AS (SELECT query_id, {RELATIONS} AS wanted FROM se), gc AS (SELECT query_id, unnest(chunk_ids) AS chunk_id, 1.0 / (1 + hops) AS score, hops FROM s2 JOIN nd ON nd.node_id = s2.node UNION ALL SELECT query_id, unnest(eg.chunk_ids), 0.8 / (1 + hops) + CASE WHEN list_contains(wanted, aj.edge_type) THEN 0.2 ELSE 0.0 END, hops + 1 FROM s2 JOIN aj USING (node) JOIN eg USING (edge_id) JOIN wt USING (query_id) WHERE hops < 2),
+gb AS (SELECT query_id, chunk_id, CAST(score AS DOUBLE) AS score, CAST(hops AS INTEGER) AS hops FROM gc QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY round(score, 9) DESC, hops) = 1)"""
+
+
+@query("d18_graph_topk", f"WITH {CAPPED}, {GRAPH_HITS} SELECT query_id, chunk_id, round(score, 6) AS score, hops, rank FROM {ranked('gb', 10, 'hops, chunk_id', 'true')}")
 def d18(spark, d):
     hits = graph.graph_hits(text_searches(spark, d), built(spark, d), links(spark, d), 2, 10, NODES)
     return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "hops", "rank")
+
+
+#: The walk from what the searches among the cases name.
+CASE_WALK = CASES + ", " + CAPPED.replace("se AS (SELECT chunk_id AS query_id, text AS query FROM ch WHERE TRY_CAST(split_part(chunk_id, '-', 2) AS BIGINT) % 100 = 0)", "se AS (SELECT *, case_id AS query_id FROM ca WHERE CAST(substring(case_id, 5) AS BIGINT) % 100 = 0)")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.functions import text as T
-from lodestrand.operators import grading, metrics, routing
-from lodestrand.plans.evaluation_queries import METRICS, PROTO, RULE, case_routes
+from lodestrand.operators import adaptive, graph, grading, lexical, metrics, ranking, routing
+from lodestrand.plans.evaluation_queries import CASE_WALK, GRAPH_HITS, METRICS, NODES, PROTO, RULE, built, case_routes, catalogue
 from lodestrand.plans.registry import CASES, CHUNKS, cases, chunks, query, searches
-from lodestrand.plans.retrieval_queries import CONFIDENCE, FUSED, RERANKED, bm25_hits, fused_hits, index_of, ranked, reranked_hits
-from lodestrand.operators import adaptive, lexical
+from lodestrand.plans.retrieval_queries import BM25, CONFIDENCE, FEATURES, FUSED, RERANKED, bm25_hits, fused_hits, index_of, ranked, reranked_hits
 from lodestrand.plans.text_queries import MATCH
 from lodestrand.session import table
 
@@ -140,6 +142,44 @@ def o12(spark, d):
     return rows.groupBy("router").agg(F.count("*").alias("n"), F.round(F.avg(right), 6).alias("accuracy"), F.count_if(F.col("intent") == "unknown").alias("n_unknown"))
 
 
+def case_links(spark, d):
+    named = graph.mentions(searches(spark, d).select("query_id", "query"), "query_id", "query", catalogue(spark))
+    return named.select("query_id", graph.node_id(F.col("node_type"), F.col("name")).alias("node"))
+
+
+GRAPH_RUN = f"{CASE_WALK}, {GRAPH_HITS}, h5 AS {ranked('gb', 5, 'hops, chunk_id', 'true')}, {METRICS}, {FEATURES}, gv AS (SELECT DISTINCT query_id FROM s2 JOIN aj USING (node) WHERE hops < 2), pc AS (SELECT se.query_id, category, answerable, recall, reciprocal_rank, ndcg, CASE WHEN gv.query_id IS NOT NULL THEN 1.0 END AS path_validity, CASE WHEN coalesce(len(expected_sources), 0) > 0 THEN CASE WHEN ff.is_cross_document = (len(expected_sources) >= 2) THEN 1.0 ELSE 0.0 END END AS selector FROM se JOIN pm USING (query_id) JOIN ff ON ff.case_id = se.query_id LEFT JOIN gv USING (query_id))"
+
+
+@query("f16_graph_run", f"WITH {GRAPH_RUN} SELECT category, count(*) AS n, count(CASE WHEN answerable THEN 1 END) AS n_answerable, round(avg(CASE WHEN answerable THEN recall END), 6) AS recall, round(avg(CASE WHEN answerable THEN reciprocal_rank END), 6) AS mrr, round(avg(CASE WHEN answerable THEN ndcg END), 6) AS ndcg, round(avg(path_validity), 6) AS path_validity, round(avg(selector), 6) AS selector_accuracy FROM pc GROUP BY GROUPING SETS ((), (category))")
+def f16(spark, d):
+    """Graph retrieval for the searches among the cases: ranks over the answerable ones, whether the edges that were
+    walked lie between known nodes, and whether the rule for graph search agrees with the number of wanted sources."""
+    q, g = searches(spark, d), built(spark, d)
+    links = case_links(spark, d)
+    hits = graph.graph_hits(q.select("query_id", "query"), g, links, 2, 5, NODES)
+    own = metrics.per_query(hits, q.select("query_id", F.col("relevant_chunk_ids").alias("relevant")), 5)
+    walked = graph.reach(links, g.edges, 2, NODES).where("hops < 2").join(graph.adjacency(g.edges), "node")
+    known = g.nodes.select(F.col("node_id").alias("next"), F.lit(1.0).alias("there"))
+    valid = walked.join(known, "next", "left").groupBy("query_id").agg(F.avg(F.coalesce("there", F.lit(0.0))).alias("path_validity"))
+    cross = adaptive.features(q, "query_id", "query", "expected_sources").select("query_id", "is_cross_document", "source_count")
+    rows = q.select("query_id", "category", "answerable").join(own, "query_id").join(cross, "query_id").join(valid, "query_id", "left")
+    selector = F.when(F.col("source_count") > 0, (F.col("is_cross_document") == (F.col("source_count") >= 2)).cast("double"))
+    mean = lambda c, n: F.round(F.avg(F.when(F.col("answerable"), F.col(c))), 6).alias(n)
+    summed = rows.withColumn("selector", selector).groupingSets([[], ["category"]], "category")
+    return summed.agg(F.count("*").alias("n"), F.count_if("answerable").alias("n_answerable"), mean("recall", "recall"), mean("reciprocal_rank", "mrr"), mean("ndcg", "ndcg"), F.round(F.avg("path_validity"), 6).alias("path_validity"), F.round(F.avg("selector"), 6).alias("selector_accuracy"))
+
+
+@query("o13_retrieval_matrix", f"WITH {FUSED}, f5 AS {ranked('fu', 5, 'chunk_id')}, {RERANKED.replace(BM25 + ', ', '', 1)}, cf AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(2.0 / (60 + rank) + 1.0 / (60 + rerank_rank), 9) DESC, rank, chunk_id) AS fused_rank FROM r2), {_recall_sql('la', 'rank', 'm1')}, {_recall_sql('lb', 'rank', 'm2')}, {_recall_sql('f5', 'rank', 'm3')}, {_recall_sql('r2', 'rerank_rank', 'm4')}, {_recall_sql('cf', 'fused_rank', 'm5')} SELECT strategy, count(*) AS n, round(avg(recall), 6) AS recall FROM (SELECT 'bm25' AS strategy, recall FROM m1 UNION ALL SELECT 'keyword', recall FROM m2 UNION ALL SELECT 'hybrid', recall FROM m3 UNION ALL SELECT 'rerank', recall FROM m4 UNION ALL SELECT 'conservative', recall FROM m5) GROUP BY strategy")
+def o13(spark, d):
+    """Recall at 5 of the lexical retrievers for the same searches."""
+    index, q = index_of(spark, d), searches(spark, d)
+    again = lambda rows, c: rows.select("query_id", "chunk_id", F.col(c).alias("rank"))
+    reranked = reranked_hits(spark, d)
+    runs = {"bm25": bm25_hits(spark, d), "keyword": lexical.keyword(index, q, 5), "hybrid": fused_hits(spark, d), "rerank": again(reranked.where("rerank_rank <= 5"), "rerank_rank"), "conservative": again(ranking.conservative_fusion(reranked, 5), "fused_rank")}
+    rows = [recalls(spark, d, hits).select(F.lit(name).alias("strategy"), "recall") for name, hits in runs.items()]
+    return reduce(DataFrame.union, rows).groupBy("strategy").agg(F.count("*").alias("n"), F.round(F.avg("recall"), 6).alias("recall"))
+
+
 @query("o19_fixed_demos", f"WITH {CASES}, {CHUNKS}, r AS (SELECT case_id, unnest(relevant_chunk_ids) AS chunk_id FROM ca WHERE answerable) SELECT case_id, r.chunk_id, coalesce(source_type, 'unknown') AS source_type, coalesce(title, 'unknown') AS title FROM r LEFT JOIN ch ON ch.chunk_id = r.chunk_id")
 def o19(spark, d):
     wanted = cases(spark, d).where("answerable").select("case_id", F.explode("relevant_chunk_ids").alias("chunk_id"))

@@ -174,12 +174,6 @@ def l13(spark, d):
     return a.exceptAll(b).agg(F.count("*").cast("int").alias("n_missing")).crossJoin(b.exceptAll(a).agg(F.count("*").cast("int").alias("n_extra")))  # one row each
 
 
-@query("o13_retrieval_matrix", f"WITH {BOTH_RUNS} SELECT 'bm25' AS strategy, round(avg(recall), 6) AS recall FROM pm UNION ALL SELECT 'keyword', round(avg(recall), 6) FROM km")
-def o13(spark, d):
-    rows = search_metrics(spark, d).select(F.lit("bm25").alias("strategy"), "recall").union(keyword_metrics(spark, d).select(F.lit("keyword"), "recall"))
-    return rows.groupBy("strategy").agg(F.round(F.avg("recall"), 6).alias("recall"))
-
-
 @query("o10_disagreements", f"WITH {RULE} SELECT case_id FROM rs WHERE intent <> expected_intent OR NOT (list_sort(sources) = list_sort(list_distinct(coalesce(expected_sources, []))))")
 def o10(spark, d):
     own = cases(spark, d).select("case_id", "expected_intent", F.array_sort(F.array_distinct(F.coalesce("expected_sources", F.array().cast("array<string>")))).alias("goal"))

@@ -71,14 +71,14 @@ def e4(spark, d):
     return state.top_memories(memories(spark, d), 20, F.desc("importance"), F.desc("collected_at"), "memory_id").select("user_id", "memory_id", "rank")
 
 
-OWN = f"{UNIT}, mv AS (SELECT grp || '/' || source_type AS owner, chunk_id, source_type, unit, TRY_CAST(split_part(chunk_id, '-', 2) AS BIGINT) % 10 / 10.0 AS importance FROM un WHERE source_type IS NOT NULL), mq AS (SELECT owner, chunk_id AS query_id, unit FROM mv WHERE TRY_CAST(split_part(chunk_id, '-', 2) AS BIGINT) % 100 = 0), mp AS (SELECT query_id, v.chunk_id, v.source_type, v.importance, list_inner_product(q.unit, v.unit) AS cosine FROM mq q JOIN mv v ON q.owner = v.owner AND q.query_id <> v.chunk_id)"
+OWN = f"{UNIT}, mv AS (SELECT grp || '/' || source_type AS owner, chunk_id, source_type, unit, coalesce(TRY_CAST(split_part(chunk_id, '-', 2) AS BIGINT) % 10 / 10.0, 0.0) AS importance FROM un WHERE source_type IS NOT NULL), mq AS (SELECT owner, chunk_id AS query_id, unit FROM mv WHERE TRY_CAST(split_part(chunk_id, '-', 2) AS BIGINT) % 100 = 0), mp AS (SELECT query_id, v.chunk_id, v.source_type, v.importance, list_inner_product(q.unit, v.unit) AS cosine FROM mq q JOIN mv v ON q.owner = v.owner AND q.query_id <> v.chunk_id)"
 
 
 def recalled(spark, d, boost: float, k: int):
     """The searches among the vectors of their own source type; a vector's importance is the last digit of its number."""
     v = dense.usable(table(spark, d, "chunk_vectors"), 64).where("source_type is not null")
     number = F.expr("try_cast(split_part(chunk_id, '-', 2) as bigint)")
-    v = v.select(F.concat("embedding_version", F.lit("/"), "source_type").alias("grp"), "chunk_id", "source_type", "unit", (number % 10 / 10.0).alias("importance")).withColumn("boost", F.lit(boost) * F.col("importance")).withColumn("tie", -F.col("importance"))
+    v = v.select(F.concat("embedding_version", F.lit("/"), "source_type").alias("grp"), "chunk_id", "source_type", "unit", F.coalesce(number % 10 / 10.0, F.lit(0.0)).alias("importance")).withColumn("boost", F.lit(boost) * F.col("importance")).withColumn("tie", -F.col("importance"))
     q = v.where(number % 100 == 0).select("grp", F.col("chunk_id").alias("query_id"), "unit")
     return dense.exact_top_k(q, v, k, positive_only=False)
 

@@ -10,7 +10,8 @@ TEXT_SUFFIXES = ("md", "txt")
 
 
 def text_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``(source_path, text)`` of all Markdown and text files below a folder, a row a file; others are skipped."""
+    """``(source_path, text)`` of all Markdown and text files below a folder, a row a file; others and empty ones are
+    skipped."""
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(TEXT_SUFFIXES) + "}").text(folder, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("source_path"), F.col("value").alias("text"))
 
