@@ -149,7 +149,8 @@ class CrossSplit:
         apart = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in CODE), F.lit(0))
         near = a.join(b, "block").where((F.col("cls_a") != F.col("cls_b")) & (F.col("topic_a") == F.col("topic_b")) & (apart <= radius(similarity)))
         near = staged(near.select(F.col("topic_a").alias("topic"), "cls_a", "cls_b").distinct(), "near")
-        grams = cases.groupBy("cls").agg(F.first("grams").alias("grams"))
+        wanted = near.select(F.col("cls_a").alias("cls")).union(near.select("cls_b")).distinct()
+        grams = cases.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("grams").alias("grams"))
         texts = near.select("cls_a", "cls_b").distinct()
         texts = texts.join(grams.withColumnsRenamed({"cls": "cls_a", "grams": "ga"}), "cls_a").join(grams.withColumnsRenamed({"cls": "cls_b", "grams": "gb"}), "cls_b")
         both = F.size(F.array_intersect("ga", "gb"))

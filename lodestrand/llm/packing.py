@@ -102,10 +102,11 @@ def _packed(items: DataFrame, capacity: int) -> DataFrame:
 
 
 def fill_containers(df: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, rounds: int = 3, items_per_partition: int = ITEMS_PER_PARTITION) -> DataFrame:
-    """``(container_id, id_col, piece_no, n_pieces, first_token, n_tokens, fill, certified)``: one row per document,
-    or per piece of a document that exceeds the capacity alone.
+    """``(container_id, id_col, piece_no, n_pieces, first_token, n_tokens, fill, certified, partition, above_bound)``: one
+    row per document, or per piece of a document that exceeds the capacity alone.
 
-    ``certified`` tells that the container's partition uses no more containers than its lower bound. Null ids and
+    ``certified`` tells that the container is full or its partition uses no more containers than its lower bound;
+    ``above_bound`` is how many more the partition uses, 0 for certified containers. Null ids and
     texts give no row; a text without tokens is put somewhere at size 0; an id's repeated rows count once (the fewest
     tokens); other columns are ignored; the same table gives the same containers."""
     items = staged(pieces_of(df, capacity, id_col, text_col, tokenizer), "sizes")
@@ -135,13 +136,18 @@ def fill_containers(df: DataFrame, capacity: int = 2048, id_col: str = "doc_id",
     for more in done[1:]:
         out = out.unionByName(more)
     name = F.concat_ws("-", F.lit("r"), "round", "part", "bin")
-    columns = lambda container, fill, certified: [container.alias("container_id"), F.col("k").alias(id_col), F.col("piece").alias("piece_no"), "n_pieces", "first_token", F.col("size").alias("n_tokens"), fill.alias("fill"), certified.alias("certified")]
-    whole = full.select(*columns(F.concat_ws("-", F.lit("w"), F.col("k").cast("string"), "piece"), F.col("size"), F.lit(True)))
-    return out.select(*columns(name, F.col("fill"), F.col("n_bins") <= F.col("bound"))).union(whole)
+    columns = lambda container, fill, certified, partition, above: [container.alias("container_id"), F.col("k").alias(id_col), F.col("piece").alias("piece_no"), "n_pieces", "first_token", F.col("size").alias("n_tokens"), fill.alias("fill"), certified.alias("certified"), partition.alias("partition"), above.cast("int").alias("above_bound")]
+    whole = full.select(*columns(F.concat_ws("-", F.lit("w"), F.col("k").cast("string"), "piece"), F.col("size"), F.lit(True), F.lit("w"), F.lit(0)))
+    sure = (F.col("n_bins") <= F.col("bound")) | (F.col("fill") >= capacity)
+    above = F.when(sure, 0).otherwise(F.col("n_bins") - F.col("bound"))
+    return out.select(*columns(name, F.col("fill"), sure, F.concat_ws("-", F.lit("r"), "round", "part"), above)).union(whole)
 
 
 def packing_report(containers: DataFrame, capacity: int = 2048) -> DataFrame:
-    """``(n_containers, n_rows, n_tokens, least_containers, unused_share)``; ``least_containers`` is what the tokens
-    alone need."""
-    total = containers.agg(F.count_distinct("container_id").alias("n_containers"), F.count("*").alias("n_rows"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))
-    return total.select("*", F.ceil(F.col("n_tokens") / capacity).alias("least_containers"), (1 - F.col("n_tokens") / F.nullif(F.col("n_containers") * capacity, F.lit(0))).alias("unused_share"))
+    """``(n_containers, n_rows, n_tokens, least_containers, unused_share, n_uncertified, above_bound)``;
+    ``least_containers`` is what the tokens alone need, ``n_uncertified`` counts the containers without a certificate and
+    ``above_bound`` by how many their partitions exceed their bounds."""
+    open_parts = containers.where("not certified").groupBy("partition").agg(F.max("above_bound").alias("a")).agg(F.coalesce(F.sum("a"), F.lit(0)).alias("above_bound"))
+    total = containers.agg(F.count_distinct("container_id").alias("n_containers"), F.count("*").alias("n_rows"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.count_distinct(F.when(~F.col("certified"), F.col("container_id"))).alias("n_uncertified"))
+    unused = (1 - F.col("n_tokens") / F.nullif(F.col("n_containers") * capacity, F.lit(0))).alias("unused_share")
+    return total.crossJoin(open_parts).select("n_containers", "n_rows", "n_tokens", F.ceil(F.col("n_tokens") / capacity).alias("least_containers"), unused, "n_uncertified", "above_bound")  # one row each

@@ -57,6 +57,9 @@ def test_containers(spark):
     assert len(fill) <= 1.05 * sum(size.values()) / 128 + 4
     report = packing.packing_report(packing.fill_containers(df, 128, items_per_partition=60), 128).first()
     assert report.n_containers == len(fill) and report.n_rows == len(got)
+    assert report.n_uncertified == len({r.container_id for r in got if not r.certified})
+    assert report.above_bound == sum({r.partition: r.above_bound for r in got if not r.certified}.values())
+    assert all(r.certified == (r.above_bound == 0) for r in got) and all(r.certified for r in got if r.fill == 128)
     assert packing.fill_containers(df.limit(0), 128).count() == 0
 
 
