@@ -1,5 +1,6 @@
 """Small inputs with known results."""
 
+import math
 import random
 
 import pytest
@@ -380,3 +381,36 @@ def test_managed_context(spark):
     assert take("recent_window") == take("no_memory") and take("full_history") == take("no_memory")
     with pytest.raises(ValueError, match="no such mode"):
         context.segments(parts, "other")
+
+
+def test_pairs_of_queries_and_chunks_stay_in_their_task(spark, monkeypatch):
+    """Only the best of a task are shuffled, whatever the number of chunks that share a word with a query; blocks of
+    documents, of queries and of tokens change nothing."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(12)]
+    texts = {f"c{i:03}": " ".join(["all", *rng.choices(words, k=rng.randint(1, 9))]) for i in range(300)}
+    index = lexical.build_index(spark.createDataFrame([(c, rng.choice(["jd", "resume", None]), t) for c, t in texts.items()], "chunk_id string, source_type string, text string").repartition(3))
+    queries = {"one": "all", "same": "ALL all", "two": "all w1 w2", "six": "w3 w4 w5 w6 w7 unknown", "none": "unknown", "void": "", "null": None}
+    q = spark.createDataFrame(list(queries.items()), "query_id string, query string")
+    where = {r.chunk_id: r.source_type for r in index.documents.collect()}
+    order = lambda c: (where[c] is not None, where[c] or "", c)
+
+    def best(score):
+        out = []
+        for name, text in queries.items():
+            s = {c: score(set((text or "").lower().split()), t.split()) for c, t in texts.items()}
+            near = sorted((c for c in s if s[c] > 0), key=lambda c: (-round(s[c], 9), *order(c)))[:4]
+            out += [(name, c, n, round(s[c], 6)) for n, c in enumerate(near, 1)]
+        return sorted(out)
+
+    df = {w: sum(w in t.split() for t in texts.values()) for w in ["all", *words]}
+    length = sum(len(t.split()) for t in texts.values()) / len(texts)
+    okapi = lambda q, t: sum(math.log(1 + (300 - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / length)) for w in q if w in t)
+    share = lambda q, t: len(q & set(t)) / max(1, len(q))
+    rows = lambda hits: sorted((r.query_id, r.chunk_id, r["rank"], round(r.score, 6)) for r in hits.collect())
+    assert rows(lexical.bm25(index, q, 4)) == best(okapi) and rows(lexical.keyword(index, q, 4)) == best(share)
+    plan = lexical.keyword(index, q, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "token#" not in plan  # no postings are joined
+    for name, size in (("BLOCK_CHUNKS", 16), ("BLOCK_QUERIES", 2), ("MOST_TOKENS", 4)):
+        monkeypatch.setattr(lexical, name, size)
+    assert rows(lexical.bm25(index, q, 4)) == best(okapi) and rows(lexical.keyword(index, q, 4)) == best(share)
