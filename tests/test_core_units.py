@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions import text as T
 from lodestrand.functions import vectors as V
-from lodestrand.operators import chunking, context, dedup, gates, graph, lexical, metrics, ranking, routing
+from lodestrand.operators import chunking, context, dedup, gates, graph, labelling, lexical, metrics, ranking, routing
 from lodestrand.sources import files, html
 from lodestrand.streaming import events
 
@@ -414,3 +414,15 @@ def test_pairs_of_queries_and_chunks_stay_in_their_task(spark, monkeypatch):
     for name, size in (("BLOCK_CHUNKS", 16), ("BLOCK_QUERIES", 2), ("MOST_TOKENS", 4)):
         monkeypatch.setattr(lexical, name, size)
     assert rows(lexical.bm25(index, q, 4)) == best(okapi) and rows(lexical.keyword(index, q, 4)) == best(share)
+
+
+def test_labels_of_a_large_path_are_not_paired_with_its_chunks(spark, monkeypatch):
+    monkeypatch.setattr(labelling, "BLOCK", 10)
+    monkeypatch.setattr(labelling, "FEW", 5)
+    rng = random.Random(8)
+    parts = ["ab", "abc", "x\0y", "z", "q"]
+    texts = {f"c{i:02}": ("hub" if i < 50 else f"p{i % 9}", "".join(rng.choices(parts, k=rng.randint(0, 4)))) for i in range(80)}
+    labels = [(f"k{i}", rng.choice(list(texts)), rng.choice([["abc", "z"], ["ab", "ab", "q"], ["x\0y", None], ["", "nowhere"], ["nowhere"], ["bx", "y"]])) for i in range(60)]
+    best = {(k, c): min((-sum(p is not None and p in t for p in points), d) for d, (path, t) in texts.items() if path == texts[c][0]) for k, c, points in labels}
+    rows = labelling.remapped(spark.createDataFrame(labels + labels[:3], "case_id string, chunk_id string, points array<string>"), spark.createDataFrame([(c, *x) for c, x in texts.items()], "chunk_id string, source_path string, t string"))
+    assert sorted(map(tuple, rows.collect())) == sorted((k, c, d, -n) for (k, c), (n, d) in best.items())
