@@ -426,3 +426,22 @@ def test_labels_of_a_large_path_are_not_paired_with_its_chunks(spark, monkeypatc
     best = {(k, c): min((-sum(p is not None and p in t for p in points), d) for d, (path, t) in texts.items() if path == texts[c][0]) for k, c, points in labels}
     rows = labelling.remapped(spark.createDataFrame(labels + labels[:3], "case_id string, chunk_id string, points array<string>"), spark.createDataFrame([(c, *x) for c, x in texts.items()], "chunk_id string, source_path string, t string"))
     assert sorted(map(tuple, rows.collect())) == sorted((k, c, d, -n) for (k, c), (n, d) in best.items())
+
+
+def test_linked_chunks_picks_the_first_of_each_node_beforehand(spark):
+    held = spark.createDataFrame([("hub", f"c{i:03}") for i in range(0, 200, 2)] + [("side", f"c{i:03}") for i in range(1, 40, 3)], "node_id string, chunk_id string")
+    links = spark.createDataFrame([("a", "hub"), ("b", "hub"), ("b", "side"), ("d", "side")], "query_id string, node string")
+    got = graph.linked_chunks(links, graph.Graph(None, None, held, None), 5)
+    rows = {q: [r.chunk_id for r in got.where(f"query_id = '{q}'").orderBy("rank").collect()] for q in "abd"}
+    assert rows == {"a": ["c000", "c002", "c004", "c006", "c008"], "b": ["c000", "c001", "c002", "c004", "c006"], "d": ["c001", "c004", "c007", "c010", "c013"]}
+    assert graph.first_chunks(held, 5, "node_id").count() == 10
+
+
+def test_reach_counts_agree_with_the_walks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SETS", 2)
+    rng = random.Random(5)
+    pairs = {(f"n{rng.randrange(30):02}", f"n{rng.randrange(30):02}") for _ in range(40)} | {("n00", f"m{i}") for i in range(20)}
+    edges = spark.createDataFrame([(f"e{i}", "uses", a, b) for i, (a, b) in enumerate(sorted(pairs))], "edge_id string, edge_type string, source_node_id string, target_node_id string")
+    links = spark.createDataFrame([(f"q{i}", f"n{rng.randrange(30):02}") for i in range(6) for _ in range(3)] + [("lone", "nowhere"), ("copy", "n00"), ("like", "n00")], "query_id string, node string")
+    want = graph.reach(links, edges, 2).groupBy("query_id", "hops").count()
+    assert sorted(map(tuple, graph.reach_counts(links, edges, 2).collect())) == sorted(map(tuple, want.collect()))
