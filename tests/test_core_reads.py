@@ -12,8 +12,8 @@ FOLDER = "/root/testdata/sf0.001"
 Words, Count = namedtuple("Words", "g n tokens allowed"), namedtuple("Count", "token df")
 
 
-def plan(spark, name):
-    return core_queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+def plan(spark, name, folder=FOLDER):
+    return core_queries()[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("stats", [None, (600, 3.0)])
@@ -25,3 +25,7 @@ def test_no_more_than_the_best_leave_a_task(monkeypatch, stats):
     rows = pa.record_batch([pa.array([f"c{(i * 7) % 600:03}" for i in range(600)]), pa.array(["jd"] * 600), pa.array(tokens)], ["chunk_id", "source_type", "tokens"])
     got = pa.Table.from_batches(lexical._Scorer(sets, 4, stats, 1.5, 0.75, False)(rows.slice(i, 70) for i in range(0, 600, 70))).to_pylist()
     assert sorted((r["g"], r["chunk_id"]) for r in got) == [(g, f"c{i:03}") for g in (7, 8) for i in (1, 3, 5, 7)]
+
+
+def test_source_expansion_reads_the_first_attempt_once(spark):
+    assert plan(spark, "h2_source_expansion", "/root/testdata/sf0.01").count("MapInArrow") == 1  # the second attempt
