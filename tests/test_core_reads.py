@@ -29,3 +29,13 @@ def test_no_more_than_the_best_leave_a_task(monkeypatch, stats):
 
 def test_source_expansion_reads_the_first_attempt_once(spark):
     assert plan(spark, "h2_source_expansion", "/root/testdata/sf0.01").count("MapInArrow") == 1  # the second attempt
+
+
+@pytest.mark.parametrize("stats", [None, (90, 2.0)])
+def test_ranks_for_a_fusion_leave_a_task_once(monkeypatch, stats):
+    """Better chunks in later blocks replace those of earlier ones; the last block may end with the task."""
+    monkeypatch.setattr(lexical, "BLOCK_CHUNKS", 30)
+    sets = [Words(1, 3, [Count(w, 90) for w in "abc"], [])]
+    rows = pa.record_batch([pa.array([f"c{i:02}" for i in range(90)]), pa.array([None] * 90, pa.string()), pa.array([list("abc"[: 1 + i // 30]) for i in range(90)])], ["chunk_id", "source_type", "tokens"])
+    got = pa.Table.from_batches(lexical._Scorer(sets, 20, stats, 1.5, 0.75, False)([rows])).to_pylist()
+    assert [r["chunk_id"] for r in got] == [f"c{i}" for i in range(60, 80)]
