@@ -39,3 +39,9 @@ def test_ranks_for_a_fusion_leave_a_task_once(monkeypatch, stats):
     rows = pa.record_batch([pa.array([f"c{i:02}" for i in range(90)]), pa.array([None] * 90, pa.string()), pa.array([list("abc"[: 1 + i // 30]) for i in range(90)])], ["chunk_id", "source_type", "tokens"])
     got = pa.Table.from_batches(lexical._Scorer(sets, 20, stats, 1.5, 0.75, False)([rows])).to_pylist()
     assert [r["chunk_id"] for r in got] == [f"c{i}" for i in range(60, 80)]
+
+
+def test_a_matrix_of_retrievers_reads_the_documents_once_for_each_ranking(spark):
+    """Both are kept, and neither is made again for the runs that build on it."""
+    text = plan(spark, "o13_retrieval_matrix")
+    assert "MapInArrow" not in text and "chunks.parquet" not in text
