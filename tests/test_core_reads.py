@@ -45,3 +45,17 @@ def test_a_matrix_of_retrievers_reads_the_documents_once_for_each_ranking(spark)
     """Both are kept, and neither is made again for the runs that build on it."""
     text = plan(spark, "o13_retrieval_matrix")
     assert "MapInArrow" not in text and "chunks.parquet" not in text
+
+
+def test_packing_reads_the_texts_of_hits_only(spark, monkeypatch):
+    """The ids go to the chunks, and other texts aren't shuffled; too many ids are joined with the same result."""
+    from lodestrand.plans import registry
+
+    assert "MapInArrow" not in plan(spark, "h4_source_balanced")
+    hits = registry.chunks(spark, FOLDER).orderBy("chunk_id").limit(7).select("chunk_id")
+    few = registry.chunks_of(spark, FOLDER, hits)
+    monkeypatch.setattr(registry, "MOST_IDS", 3)
+    many = registry.chunks_of(spark, FOLDER, hits)
+    want = registry.chunks(spark, FOLDER).orderBy("chunk_id").limit(7).collect()
+    assert sorted(few.collect()) == sorted(many.collect()) == sorted(want)
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
