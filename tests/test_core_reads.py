@@ -59,3 +59,7 @@ def test_packing_reads_the_texts_of_hits_only(spark, monkeypatch):
     want = registry.chunks(spark, FOLDER).orderBy("chunk_id").limit(7).collect()
     assert sorted(few.collect()) == sorted(many.collect()) == sorted(want)
     assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_evidence_gate_takes_sources_from_the_hits(spark):
+    assert "chunks.parquet" not in plan(spark, "h1_evidence_gate")
