@@ -63,3 +63,8 @@ def test_packing_reads_the_texts_of_hits_only(spark, monkeypatch):
 
 def test_the_evidence_gate_takes_sources_from_the_hits(spark):
     assert "chunks.parquet" not in plan(spark, "h1_evidence_gate")
+
+
+def test_rerank_deltas_read_the_documents_once(spark):
+    text = plan(spark, "o11_rerank_deltas")
+    assert "MapInArrow" not in text and "chunks.parquet" not in text
