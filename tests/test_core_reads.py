@@ -68,3 +68,11 @@ def test_the_evidence_gate_takes_sources_from_the_hits(spark):
 def test_rerank_deltas_read_the_documents_once(spark):
     text = plan(spark, "o11_rerank_deltas")
     assert "MapInArrow" not in text and "chunks.parquet" not in text
+
+
+def test_equal_shares_leave_a_task_once(monkeypatch):
+    """The first of the ties may stand in any block."""
+    monkeypatch.setattr(lexical, "BLOCK_CHUNKS", 10)
+    rows = pa.record_batch([pa.array([f"c{99 - i:02}" for i in range(100)]), pa.array([["z", None, "y", "x"][i % 4] for i in range(100)]), pa.array([["a"]] * 100)], ["chunk_id", "source_type", "tokens"])
+    got = pa.Table.from_batches(lexical._Scorer([Words(1, 2, [Count("a", 100)], [])], 5, None, 1.5, 0.75, False)([rows])).to_pylist()
+    assert [(r["chunk_id"], r["source_type"], r["score"]) for r in got] == [(f"c{i:02}", None, 0.5) for i in (2, 6, 10, 14, 18)]
