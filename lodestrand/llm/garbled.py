@@ -1,10 +1,9 @@
 """Texts decoded with a wrong encoding.
 
 A hidden Markov model with one clean state and one state for each encoding pair labels the characters of a text; paths
-may go from one pair's state to another's. The emissions of a pair's state come from clean text of a bounded sample and
-from the alphabets of fixed scripts, encoded the true way and decoded the wrong way; in the states of UTF-8 they also
-depend on whether a character stands in a well-formed sequence. Those of the clean state come from the characters of all texts, less the documents in which a first pass finds garbled spans:
-exactly so within the sample, by the sample's share of such documents for the rest of a character's texts. ASCII
+may go from one pair's state to another's. The emissions of a pair's state come from the clean texts and from the alphabets of fixed scripts, encoded the true way and decoded the wrong way; in the states of UTF-8 they also
+depend on whether a character stands in a well-formed sequence. Those of the clean state come from the characters of all
+texts, less those in which a first pass over all of them finds garbled spans. ASCII
 characters look the same in every state and carry no evidence. Each labelled span gets its state's inverse transform,
 which is checked: bytes have to decode in the true encoding, letters that no clean text has need enough of their own
 script beside them, and for the weaker encodings the result has to be likelier as clean text than what stood there.
@@ -26,6 +25,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.llm import forms
 from lodestrand.llm.samples import least_hashes
+from lodestrand.session import dropped, staged
 
 SINGLE_BYTE = ("cp1252", "latin-1", "cp1251", "cp1250", "cp850", "cp437", "mac_roman", "koi8_r")
 #: (true encoding, encoding it was read in). A text garbled twice is restored by repeating the inverse.
@@ -37,13 +37,12 @@ PAIRS = (
 )
 #: Where the encoding read in stands among the single-byte ones; -1 for others, -2 for UTF-8, whose spans hold losses only.
 READ_AT = np.array([SINGLE_BYTE.index(w) if w in SINGLE_BYTE else -2 if w == "utf-8" else -1 for _, w in PAIRS])
-SAMPLE_ROWS = 2000
 REACH = 12  # labelled characters this near to each other are restored together
 ENTER = 4.0  # cost of leaving the clean state, in nats; going back costs the same
 SWITCH = 6.0  # cost of going from one pair's state to another's
 FORM, MISFORM = 1.5, -1.5  # evidence of a UTF-8 state: the character is part of a well-formed sequence, or is not
 OWN_SCRIPT = 3  # letters unknown to the table's clean text that a text needs of one script to be believed
-#: Ranges of letters whose encodings every pair's state knows, whatever the sample holds.
+#: Ranges of letters whose encodings every pair's state knows, whatever the texts hold.
 SCRIPTS = ((0xC0, 0x17F), (0x391, 0x3C9), (0x410, 0x451), (0x5D0, 0x5EA), (0x621, 0x64A), (0x905, 0x939), (0xE01, 0xE2E), (0x3042, 0x3093), (0x30A2, 0x30F3), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
 LOST = "�"
 
@@ -120,6 +119,15 @@ def text_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _counts(forms.encode(["".join(set(t)) for t in texts if not t.isascii()])[0])
 
 
+def emissions(lines: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each pair how often the encoded lines have each byte from 128 on (by its place), if they are read in a single-byte
+    encoding, else each character other than ASCII that they are read as. Counts of several sets of lines add up."""
+    text = "\n".join(lines)
+    data = {true: text.encode(true, "ignore") for true in dict.fromkeys(true for true, _ in PAIRS)}
+    of = {true: np.bincount(np.frombuffer(x, np.uint8), minlength=256)[128:] for true, x in data.items()}
+    return [(np.arange(128), of[true]) if wrong in SINGLE_BYTE else _counts(forms.encode([data[true].decode(wrong, "replace")])[0]) for true, wrong in PAIRS]
+
+
 def _best_run(gain: np.ndarray) -> float:
     """The largest sum of consecutive rows in any column."""
     total = np.cumsum(gain, axis=0)
@@ -138,20 +146,23 @@ class Model:
         if clean:
             self.fit(clean, everywhere and _less_garbled(everywhere, text_counts(texts), text_counts(clean)))
 
-    def fit(self, texts: list[str], everywhere: tuple[np.ndarray, np.ndarray] | None = None) -> None:
-        # every distinct line that has other than ASCII letters counts once, whatever its share of the sample
-        lines = "\n".join(dict.fromkeys(x for t in texts for x in t.split("\n") if not x.isascii()))
+    @classmethod
+    def of(cls, everywhere: tuple[np.ndarray, np.ndarray], emitted: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+        """From the counts of a whole table."""
+        model = cls.__new__(cls)
+        model.fit([], everywhere, emitted)
+        return model
+
+    def fit(self, texts: list[str], everywhere: tuple[np.ndarray, np.ndarray] | None = None, emitted: list[tuple[np.ndarray, np.ndarray]] | None = None) -> None:
+        # every distinct line that has other than ASCII letters counts once, whatever its share of the texts
+        emitted = emitted or emissions(list(dict.fromkeys(x for t in texts for x in t.split("\n") if not x.isascii())))
         # the clean state counts texts, not characters: a garbled text is longer than others
         counts = [everywhere or text_counts(texts)]
-        data = {true: lines.encode(true, "ignore") for true, _ in PAIRS}
-        fixed = {true: script_letters().encode(true, "ignore") for true, _ in PAIRS}
         part = lambda x: x / max(1, x.sum())
-        for true, wrong in PAIRS:
-            if wrong in SINGLE_BYTE:  # sample, scripts, and an even share
-                of = [part(np.bincount(np.frombuffer(x[true], np.uint8), minlength=256)[128:]) for x in (data, fixed)]
-                counts.append((np.array([ord(c) for c in byte_table(wrong)[128:]]), 0.5 * of[0] + 0.25 * of[1] + 0.25 / 128))
+        for (_, wrong), (a, n), (b, m) in zip(PAIRS, emitted, emissions([script_letters()])):
+            if wrong in SINGLE_BYTE:  # texts, scripts, and an even share
+                counts.append((np.array([ord(c) for c in byte_table(wrong)[128:]]), 0.5 * part(n) + 0.25 * part(m) + 0.25 / 128))
             else:
-                (a, n), (b, m) = (_counts(forms.encode([x[true].decode(wrong, "replace")])[0]) for x in (data, fixed))
                 codes = np.union1d(a, b)
                 share = np.zeros(len(codes))
                 share[np.searchsorted(codes, a)] += 0.95 * part(n)
@@ -400,15 +411,59 @@ def table_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return got["code"].to_numpy(np.int64), got["n"].to_numpy(np.float64)
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model from the characters of all texts and at most ``sample_rows`` whole ones, those of least hash. Without
+def table_emissions(rows: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The ``emissions`` of all distinct lines of ``rows(t)`` that have other than ASCII letters; as many numbers come to the
+    driver as the pairs have different characters."""
+
+    def run(batches):
+        held: list | None = None
+        for batch in batches:
+            new = emissions(batch.column(0).to_pylist())
+            if held:
+                for p, ((a, n), (b, m)) in enumerate(zip(held, new)):
+                    codes = np.union1d(a, b)
+                    total = np.zeros(len(codes), np.int64)
+                    total[np.searchsorted(codes, a)] += n
+                    total[np.searchsorted(codes, b)] += m
+                    new[p] = codes, total
+            held = new
+        for p, (codes, n) in enumerate(held or []):
+            yield pa.record_batch([pa.array(np.full(len(codes), p, np.int32)), pa.array(codes.astype(np.int32)), pa.array(n.astype(np.int64))], ["pair", "code", "n"])
+
+    lines = rows.select(F.explode(F.split("t", "\n")).alias("line")).where(F.col("line").rlike("[^\\x00-\\x7f]")).distinct()
+    got = lines.mapInArrow(run, "pair int, code int, n long").groupBy("pair", "code").agg(F.sum("n").alias("n")).toPandas().sort_values(["pair", "code"])
+    out = []
+    for p, empty in enumerate(emissions([])):
+        own = got[got["pair"] == p]
+        out.append((own["code"].to_numpy(np.int64), own["n"].to_numpy(np.int64)) if len(own) else empty)
+    return out
+
+
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int | None = None) -> Model:
+    """A model from all texts: a first one from all of them, and from it one without the texts in which it finds garbled
+    spans. With ``sample_rows``, only the characters are counted in all texts, and the rest in so many of least hash. Without
     texts it knows no garbled character."""
     rows = df.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).where("k is not null and t is not null")
-    picked = least_hashes(rows, rows.count(), sample_rows).select("t")
-    return Model([r.t for r in picked.collect()] or [""], table_counts(rows))
+    everywhere = table_counts(rows)
+    if sample_rows is not None:
+        picked = least_hashes(rows, rows.count(), sample_rows).select("t")
+        return Model([r.t for r in picked.collect()] or [""], everywhere)
+    first = Model.of(everywhere, table_emissions(rows))
+    shared = df.sparkSession.sparkContext.broadcast(first)
+
+    def clean(batches):
+        for batch in batches:
+            found = {k for k, *_ in shared.value.spans(batch.column(0).to_pylist())}
+            yield batch.take(pa.array([k for k in range(batch.num_rows) if k not in found], pa.int64()))
+
+    kept = staged(rows.select("t").mapInArrow(clean, "t string"), "clean")
+    counts = table_counts(kept)
+    out = Model.of(_less_garbled(everywhere, everywhere, counts), table_emissions(kept)) if len(counts[0]) else first
+    dropped(kept)
+    return out
 
 
-def restore(df: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def restore(df: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int | None = None) -> DataFrame:
     """One row per garbled text: ``(id_col, restored, n_spans, n_restored, encodings)``.
 
     ``restored`` is the whole text with every span that can be restored put right; spans that cannot be (characters

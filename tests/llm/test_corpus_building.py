@@ -209,3 +209,10 @@ def test_two_encodings_in_one_run(model):
     first, second = "für Größe".encode().decode("latin-1"), "省调用费用".encode().decode("cp1252", "ignore")
     spans = model.spans([first + second + " plain"])
     assert spans and spans[0][1] <= first.index("Ã")
+
+
+def test_a_model_of_a_table_is_that_of_all_its_texts(spark):
+    rows = [(i, f"{CLEAN[i % len(CLEAN)]} {i}\nplain {CLEAN[0]}") for i in range(2500)] + [(9000 + i, "x " + CLEAN[0].encode().decode("latin-1") + f" {i}") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole, local = garbled.fit(df), garbled.Model([t for _, t in rows])
+    assert np.allclose(whole.gain[whole.row], local.gain[local.row]) and np.allclose(whole.clean[whole.row], local.clean[local.row])
