@@ -76,3 +76,21 @@ def test_equal_shares_leave_a_task_once(monkeypatch):
     rows = pa.record_batch([pa.array([f"c{99 - i:02}" for i in range(100)]), pa.array([["z", None, "y", "x"][i % 4] for i in range(100)]), pa.array([["a"]] * 100)], ["chunk_id", "source_type", "tokens"])
     got = pa.Table.from_batches(lexical._Scorer([Words(1, 2, [Count("a", 100)], [])], 5, None, 1.5, 0.75, False)([rows])).to_pylist()
     assert [(r["chunk_id"], r["source_type"], r["score"]) for r in got] == [(f"c{i:02}", None, 0.5) for i in (2, 6, 10, 14, 18)]
+
+
+def test_the_index_shuffles_only_rows_of_repeated_ids(spark, monkeypatch, tmp_path):
+    """A null id is an id; too many repeated ids are shuffled with all others, with the same result."""
+    from lodestrand.plans import registry, retrieval_queries
+
+    rows = [("a", "jd", "x"), ("a", None, "w"), ("b", "jd", "y"), ("c", None, None), (None, "jd", "z"), (None, "cv", "v"), ("d", None, "u"), ("d", None, "u"), ("e", "cv", "")]
+    spark.createDataFrame([(c, s, "p", "t", x) for c, s, x in rows], "chunk_id string, source_type string, source_path string, title string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    monkeypatch.setattr(lexical, "build_index", lambda rows: rows)
+    few = retrieval_queries.index_of(spark, str(tmp_path))
+    text = few.select("text")._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in text and "Exchange hashpartitioning" not in text[: text.index("Aggregate")]
+    monkeypatch.setattr(registry, "MOST_IDS", 2)
+    many = registry.chunks_in_place(spark, str(tmp_path))
+    assert "Union" not in many._jdf.queryExecution().executedPlan().toString()
+    key = lambda r: tuple((x is not None, x or "") for x in r)
+    want = sorted(registry.chunks(spark, str(tmp_path)).collect(), key=key)
+    assert len(want) == 5 and sorted(few.collect(), key=key) == sorted(many.collect(), key=key) == want
