@@ -94,3 +94,14 @@ def test_the_index_shuffles_only_rows_of_repeated_ids(spark, monkeypatch, tmp_pa
     key = lambda r: tuple((x is not None, x or "") for x in r)
     want = sorted(registry.chunks(spark, str(tmp_path)).collect(), key=key)
     assert len(want) == 5 and sorted(few.collect(), key=key) == sorted(many.collect(), key=key) == want
+
+
+def test_the_gate_groups_only_chunks_of_repeated_ids(spark, monkeypatch, tmp_path):
+    from lodestrand.plans import registry
+
+    (tmp_path / "own").symlink_to(FOLDER)  # another path, so the index is built
+    grouped, group = [], registry._one_a_chunk
+    monkeypatch.setattr(registry, "_one_a_chunk", lambda rows: grouped.append(rows.count()) or group(rows))
+    assert core_queries()["f28_metric_gate"](spark, str(tmp_path / "own")).count() == 2
+    ids = [r.chunk_id for r in spark.read.parquet(f"{FOLDER}/chunks.parquet").where("text is not null").collect()]
+    assert grouped == [sum(ids.count(c) > 1 for c in ids)] and grouped[0] < len(ids)
