@@ -216,3 +216,24 @@ def test_a_model_of_a_table_is_that_of_all_its_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     whole, local = garbled.fit(df), garbled.Model([t for _, t in rows])
     assert np.allclose(whole.gain[whole.row], local.gain[local.row]) and np.allclose(whole.clean[whole.row], local.clean[local.row])
+
+
+def test_only_texts_that_may_be_garbled_are_searched(spark, monkeypatch):
+    """Paths are searched where one may leave the clean state, with the same result as in all texts and of any grouping, and the
+    fit keeps the garbled texts, not the others."""
+    bad = ["".join(map(garbled.byte_table("cp1252").__getitem__, t.encode())) for t in ("Où est le café déjà payé ?", "Größe übrigens ähnlich")]
+    texts = [f"{c} {i} é" for i in range(60) for c in CLEAN] + bad
+    model, searched, paths = garbled.Model(texts), [], garbled.Model._paths
+    monkeypatch.setattr(garbled.Model, "_paths", lambda self, gains: searched.append(len(gains)) or paths(self, gains))
+    got = model.spans(texts)
+    assert {k for k, *_ in got} == {len(texts) - 2, len(texts) - 1} and sum(searched) < len(texts) / 2
+    monkeypatch.setattr(garbled, "SPAN_TEXTS", 7)
+    assert model.spans(texts) == got
+    monkeypatch.setattr(garbled.Model, "_candidates", lambda self, coded, starts: np.flatnonzero(np.diff(starts)).tolist())
+    monkeypatch.setattr(garbled, "_may_leave", lambda *_: True)
+    assert model.spans(texts) == got
+    monkeypatch.undo()
+    kept, staged = [], garbled.staged
+    monkeypatch.setattr(garbled, "staged", lambda df, label: kept.append(df.count()) or staged(df, label))
+    garbled.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert kept == [2]
