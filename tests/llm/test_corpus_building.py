@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -237,3 +238,34 @@ def test_only_texts_that_may_be_garbled_are_searched(spark, monkeypatch):
     monkeypatch.setattr(garbled, "staged", lambda df, label: kept.append(df.count()) or staged(df, label))
     garbled.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert kept == [2]
+
+
+def test_only_texts_with_something_believable_are_searched(model, monkeypatch):
+    """Paths that leave the clean state at a rare sign or two only, whose spans are rejected, are not searched, with the same
+    result as if they were, in blocks of any size; whether a text is garbled at all is told as by its spans."""
+    rng = random.Random(2)
+    searched, paths = [], garbled.Model._paths
+    monkeypatch.setattr(garbled.Model, "_paths", lambda self, gains: searched.append(len(gains)) or paths(self, gains))
+    signs = [f"Plain words \xa4\xa6 number {i}, and more plain words ‚„ after them." for i in range(50)]
+    assert model.spans(signs) == [] and not searched
+    letters = "éüÖß–“”„‚…\xa0\xa4\xa6为了检索をた障ทีมйЩжΩ" + garbled.LOST
+    bad = [true.encode(t, "ignore").decode(w, "replace") for true in CLEAN for t, w in garbled.PAIRS]
+    bad += ["".join(map(garbled.byte_table(w).__getitem__, true.encode())) for true in CLEAN for w in garbled.SINGLE_BYTE]
+    texts = ["".join(rng.choice((" ", "ab ", "plain words here ", rng.choice(letters), rng.choice(letters), rng.choice(bad)[a : a + rng.randrange(1, 12)])) for _ in range(rng.randrange(1, 25)) if (a := rng.randrange(30)) >= 0) for _ in range(1500)]
+    texts += signs + CLEAN + bad
+    got, few = model.spans(texts), sum(searched)
+    assert len({k for k, *_ in got}) > 300 and model.garbled(texts) == sorted({k for k, *_ in got})
+    monkeypatch.setattr(garbled, "BLOCK_CHARACTERS", 5)
+    assert model.spans(texts) == got
+    searched.clear()
+    monkeypatch.setattr(garbled.Model, "_believable", lambda self, chars, coded, high, starts: self._candidates(coded, starts))
+    assert model.spans(texts) == got and sum(searched) > few // 2
+
+
+def test_emissions_of_parts_are_those_of_lines():
+    rng = random.Random(3)
+    lines = ["".join(rng.choice("é为ทйã\x81 01ab~|检") for _ in range(rng.randrange(30))) for _ in range(3000)] + CLEAN
+    for (true, wrong), (codes, n) in zip(garbled.PAIRS, garbled.emissions(lines)):
+        data = "\n".join([*lines, ""]).encode(true, "ignore")
+        read = [b - 128 for b in data if b > 127] if wrong in garbled.SINGLE_BYTE else [ord(c) for c in data.decode(wrong, "replace") if c > "\x7f"]
+        assert {c: k for c, k in zip(codes.tolist(), n.tolist()) if k} == dict(Counter(read)), (true, wrong)
