@@ -164,13 +164,21 @@ def emissions(lines: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def part_emissions(parts: Counter[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """The ``emissions`` of lines that have these parts."""
-    text, times = "\n".join(parts) + "\n", np.fromiter(parts.values(), np.float64, len(parts))
+    once, often = [p for p, n in parts.items() if n == 1], {p: n for p, n in parts.items() if n > 1}
+    text, times = "\n".join([*once, *often, ""]), np.fromiter(often.values(), np.float64, len(often))
 
     def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
         codes = forms.encode([text])[0]
-        high, part = codes > 0x7F, np.cumsum(codes == 10, dtype=np.int32)  # no part has a line's end
-        n = np.bincount(codes[high], times[part[high]])
-        return np.flatnonzero(n), n[n > 0].astype(np.int64)
+        ends = np.flatnonzero(codes == 10)  # no part has a line's end
+        first = int(ends[len(once) - 1]) if once else 0
+        n, rest = np.bincount(codes[:first], minlength=128), codes[first:]
+        high, part = rest > 0x7F, np.cumsum(rest == 10, dtype=np.int32) - bool(once)
+        m = np.bincount(rest[high], times[part[high]])
+        total = np.zeros(max(len(n), len(m)), np.int64)
+        total[: len(n)] += n
+        total[: len(m)] += m.astype(np.int64)
+        total[:128] = 0
+        return np.flatnonzero(total), total[total > 0]
 
     codes, n = counted(text)
     of = {}
